@@ -11,6 +11,7 @@ from citeloom.llm.encodings import restore_encodings
 from citeloom.llm.groups import work_groups
 from citeloom.llm.language import wrong_labels
 from citeloom.llm.leakage import leaked_items
+from citeloom.llm.names import linked_names
 from citeloom.llm.pairs import basket_items, cooccurrence
 from citeloom.llm.survivors import paper_survivors, surviving_links
 from citeloom.tables import table
@@ -44,6 +45,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return wrong_labels(table(spark, folder, "raw_references"), table(spark, folder, "lang_samples")).select("link_id", "lang")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_names(table(spark, folder, "raw_references"), table(spark, folder, "openalex_authors"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     found = leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"))
     return found.where("n_windows > 0").select(F.col("id").alias("doc_id"), "item_id")
@@ -58,7 +63,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restore_encodings(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "lang_samples")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_pairs, p5_found, p8_found, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_pairs, p5_found, p6_found, p8_found, p10_found, p10_restored)}
 
 _BASKETS = """
 with items as (
