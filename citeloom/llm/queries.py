@@ -11,8 +11,11 @@ from citeloom.llm.encodings import restore_encodings
 from citeloom.llm.groups import work_groups
 from citeloom.llm.language import wrong_labels
 from citeloom.llm.leakage import leaked_items
+from citeloom.llm.mixing import mixture, shares
 from citeloom.llm.names import linked_names
+from citeloom.llm.neighbours import similar_pairs, similar_vectors, usable_vectors
 from citeloom.llm.pairs import basket_items, cooccurrence
+from citeloom.llm.splitting import split_texts
 from citeloom.llm.survivors import paper_survivors, surviving_links
 from citeloom.tables import table
 
@@ -21,6 +24,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return work_groups(table(spark, folder, "reference_papers"), table(spark, folder, "articles"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_pairs(table(spark, folder, "article_embeddings"))
+
+
+def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five vectors most similar to each usable vector, nearest first."""
+    return similar_vectors(usable_vectors(table(spark, folder, "article_embeddings"))).select("model", "key", F.posexplode("neighbours").alias("rank", "x")).select("model", "key", "rank", F.col("x.key").alias("near_key"), F.col("x.sim").alias("similarity"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_links(table(spark, folder, "raw_references"), table(spark, folder, "source_trust"))
 
@@ -49,11 +61,30 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return linked_names(table(spark, folder, "raw_references"), table(spark, folder, "openalex_authors"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_pieces(spark, folder).select("article_id", "chunk_index").distinct()
+
+
+def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of the oversized tasks."""
+    return split_texts(table(spark, folder, "embed_tasks"), ["article_id", "chunk_index"], "text")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     found = leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"))
     return found.where("n_windows > 0").select(F.col("id").alias("doc_id"), "item_id")
 
 
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of the mixture that are reached."""
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "source_targets")
+    return shares(mixture(documents, targets), documents, targets)
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return restore_encodings(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "lang_samples")).select(F.col("id").alias("doc_id")).distinct()
 
@@ -63,7 +94,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restore_encodings(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "lang_samples")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p3_survivors, p4_found, p4_pairs, p5_found, p6_found, p8_found, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p3_survivors, p4_found, p4_pairs, p5_found, p6_found, p7_found, p7_pieces, p8_found, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 _BASKETS = """
 with items as (
@@ -100,6 +131,7 @@ ranked as (
 
 SQL: dict[str, str] = {
     "p3_found": _SURVIVORS + "select paper_id, field_name, link_id from ranked join many using (paper_id) where k = 1",
+    "p7_found": "select distinct article_id, chunk_index from embed_tasks where length(text) > 4000",
     "p4_found": _BASKETS + "select field_name, item_a, item_b from lifted",
     "p4_pairs": _BASKETS + "select * from lifted",
 }
