@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: set[str] = set()
+
 
 def build_session(app: str = "citeloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; further settings by keyword, dots as underscores."""
@@ -35,10 +38,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder of written tables in the shared checkpoint folder; it goes when the driver's Python ends, or with drop_scratch."""
+    folder = f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(drop_scratch, spark, folder)
+    return folder
+
+
+def drop_scratch(spark: SparkSession, folder: str | None = None) -> None:
+    """Deletes the written tables; frames that read them are of no more use."""
+    try:
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder or scratch_dir(spark))
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder, its lineage cut there; a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written once as a table to the shared checkpoint folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_empty(df: DataFrame) -> bool:
