@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("bibliometrics", "facets", "matching")
+MODULES: tuple[str, ...] = ("bibliometrics", "facets", "matching", "networks")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
