@@ -6,10 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: set[str] = set()
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "citeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,6 +25,21 @@ def build_session(app: str = "citeloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python this package, once for each application, wherever the driver found it."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    _SHIPPED.add(application)
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="citeloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/citeloom.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent).as_posix())
+    spark.sparkContext.addPyFile(f"{folder}/citeloom.zip")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; a temporary one where that is unset (local runs only)."""
     context = spark.sparkContext
