@@ -127,11 +127,11 @@ def strip_html(c: Column | str) -> Column:
     for entity, plain in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(plain))
     text = F.regexp_replace(text, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def strip_rtf(c: Column | str) -> Column:
     """Control words and groups' braces off; paragraph marks as line ends."""
     text = F.regexp_replace(as_column(c), r"\\par[d]?\b ?", "\n")
     text = F.regexp_replace(text, r"\\'[0-9a-fA-F]{2}|\\[a-zA-Z]+-?\d* ?|[{}]", "")
-    return F.trim(text)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
