@@ -183,6 +183,6 @@ def detect_languages(texts: DataFrame, key: str, text: Column | str, samples: Da
 def wrong_labels(references: DataFrame, samples: DataFrame) -> DataFrame:
     """(link_id, lang, label, share, confidence, segments) of abstracts whose label is missing or wrong, or that are in several languages."""
     label = F.coalesce(language_label("language"), F.lit(""))
-    rows = references.select(F.to_json(F.struct("link_id", label.alias("label"))).alias("key"), "abstract_text")
+    rows = references.where("link_id is not null").select(F.to_json(F.struct("link_id", label.alias("label"))).alias("key"), "abstract_text")
     found = detect_languages(rows, "key", "abstract_text", samples).where((F.col("share") < 1) | (F.get_json_object("id", "$.label") != F.col("lang")))
     return found.select(F.get_json_object("id", "$.link_id").alias("link_id"), "lang", F.nullif(F.get_json_object("id", "$.label"), F.lit("")).alias("label"), "share", "confidence", "segments").dropDuplicates(["link_id", "lang"])
