@@ -33,7 +33,10 @@ def duplicate_pairs(rows: DataFrame) -> DataFrame:
     long = x.where("not short_x"), y.where("not short_y")
     close = lambda share: F.abs(F.length("title_x") - F.length("title_y")) <= (1 - share) * F.greatest(F.length("title_x"), F.length("title_y"))
     score = similarity("title_x", "title_y")
-    by_year = long[0].join(long[1], (F.col("year_x") == F.col("year_y")) & ordered & close(0.7)).withColumn("score", score).where("score >= 0.7").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
+    # bands of length in which neighbours differ by the factor that the threshold allows: pairs lie in one band or next to it
+    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(1 / 0.7))).cast("int")
+    wide = long[0].withColumn("band", F.explode(F.sequence(band("title_x") - 1, band("title_x") + 1)))
+    by_year = wide.join(long[1].withColumn("band_y", band("title_y")), (F.col("year_x") == F.col("year_y")) & (F.col("band") == F.col("band_y")) & ordered & close(0.7)).withColumn("score", score).where("score >= 0.7").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
     by_author = long[0].join(long[1], (F.col("author_x") == F.col("author_y")) & (F.col("author_x") != "") & ordered & close(0.8)).withColumn("score", score).where("score >= 0.8").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(4).alias("tier"), "score")
     best = by_doi.union(by_year).union(by_author).groupBy("a", "b").agg(F.min(F.struct("tier", "score")).alias("m"))
     return best.select("a", "b", F.when(F.col("m.tier") <= 2, "exact").otherwise("fuzzy").alias("kind"), F.round("m.score", 6).alias("score"))
