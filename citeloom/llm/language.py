@@ -176,7 +176,9 @@ def detect_languages(texts: DataFrame, key: str, text: Column | str, samples: Da
     """
     model = train(samples.select("lang", "text").toPandas())
     own = F.regexp_replace(F.regexp_replace(text if isinstance(text, Column) else F.col(text), MARKUP, " "), CUT_MARK, "")
-    rows = texts.select(F.col(key).cast("string").alias("id"), own.alias("text"), own_text(own).alias("own")).where("own is not null and id is not null").select("id", "text")
+    rows = texts.select(F.col(key).cast("string").alias("id"), own.alias("text")).where("id is not null and text is not null")
+    # no placeholder is longer than this; the expressions that tell them from text are for short ones
+    rows = rows.where(((F.length("text") > 80) & F.col("text").rlike(r"\p{L}{2}")) | own_text("text").isNotNull())
     return rows.mapInPandas(lambda batches: detect(batches, model), "id string, lang string, share double, confidence double, segments array<array<int>>")
 
 
