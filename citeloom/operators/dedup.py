@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import normalize_doi
 from citeloom.functions.text import last_name, normalize_title, short_title
+from citeloom.session import spread
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -15,9 +16,12 @@ def prepared(rows: DataFrame) -> DataFrame:
     return rows.select("id", normalize_doi("doi").alias("doi"), normalize_title("title").alias("title"), F.col("publication_year").alias("year"), last_name(F.get("authors", F.lit(0))).alias("author"), short_title("title").alias("short")).distinct()
 
 
-def similarity(a: str, b: str) -> F.Column:
+def similarity(a: str, b: str, least: float) -> Column:
+    """1 - distance / longer length where that is least or more, else a value below; the distance stops at what least allows."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(F.col(a), F.col(b)) / longest)
+    most = F.floor((1 - least) * longest + 1e-9).cast("int")
+    distance = F.call_function("levenshtein", F.col(a), F.col(b), most)
+    return F.when(longest == 0, 1.0).when(distance < 0, 0.0).otherwise(1 - distance / longest)
 
 
 def duplicate_pairs(rows: DataFrame) -> DataFrame:
@@ -32,12 +36,11 @@ def duplicate_pairs(rows: DataFrame) -> DataFrame:
     by_doi = x.join(y, (F.col("doi_x") == F.col("doi_y")) & ordered).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
     long = x.where("not short_x"), y.where("not short_y")
     close = lambda share: F.abs(F.length("title_x") - F.length("title_y")) <= (1 - share) * F.greatest(F.length("title_x"), F.length("title_y"))
-    score = similarity("title_x", "title_y")
     # bands of length in which neighbours differ by the factor that the threshold allows: pairs lie in one band or next to it
     band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(1 / 0.7))).cast("int")
     wide = long[0].withColumn("band", F.explode(F.sequence(band("title_x") - 1, band("title_x") + 1)))
-    by_year = wide.join(long[1].withColumn("band_y", band("title_y")), (F.col("year_x") == F.col("year_y")) & (F.col("band") == F.col("band_y")) & ordered & close(0.7)).withColumn("score", score).where("score >= 0.7").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
-    by_author = long[0].join(long[1], (F.col("author_x") == F.col("author_y")) & (F.col("author_x") != "") & ordered & close(0.8)).withColumn("score", score).where("score >= 0.8").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(4).alias("tier"), "score")
+    by_year = spread(wide, "year_x", "band").join(spread(long[1].withColumn("band_y", band("title_y")), "year_y", "band_y"), (F.col("year_x") == F.col("year_y")) & (F.col("band") == F.col("band_y")) & ordered & close(0.7)).withColumn("score", similarity("title_x", "title_y", 0.7)).where("score >= 0.7").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
+    by_author = spread(long[0], "author_x").join(spread(long[1], "author_y"), (F.col("author_x") == F.col("author_y")) & (F.col("author_x") != "") & ordered & close(0.8)).withColumn("score", similarity("title_x", "title_y", 0.8)).where("score >= 0.8").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(4).alias("tier"), "score")
     best = by_doi.union(by_year).union(by_author).groupBy("a", "b").agg(F.min(F.struct("tier", "score")).alias("m"))
     return best.select("a", "b", F.when(F.col("m.tier") <= 2, "exact").otherwise("fuzzy").alias("kind"), F.round("m.score", 6).alias("score"))
 

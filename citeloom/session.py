@@ -82,5 +82,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df hashed on keys into as many partitions as the session asks for, two for each core at least: for joins whose work is in the pairs, not in the bytes, which adaptive execution would put into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """A scan that has fewer partitions than the session has cores dealt out to all of them, for work that is far dearer than its bytes; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
