@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.cleaning import CUT_MARK, MARKUP, own_text, trimmed_lower
+from citeloom.session import widened
 
 #: Hash buckets of trigrams and of single characters.
 TRIGRAMS, SINGLES = 1 << 16, 1 << 12
@@ -175,8 +176,8 @@ def detect_languages(texts: DataFrame, key: str, text: Column | str, samples: Da
     whole. Null, empty and placeholder texts have no row; a key that stands on several different texts has the rows of each.
     """
     model = train(samples.select("lang", "text").toPandas())
-    own = F.regexp_replace(F.regexp_replace(text if isinstance(text, Column) else F.col(text), MARKUP, " "), CUT_MARK, "")
-    rows = texts.select(F.col(key).cast("string").alias("id"), own.alias("text")).where("id is not null and text is not null")
+    raw = widened(texts.select(F.col(key).cast("string").alias("id"), (text if isinstance(text, Column) else F.col(text)).alias("text")).where("id is not null and text is not null"))
+    rows = raw.select("id", F.regexp_replace(F.regexp_replace("text", MARKUP, " "), CUT_MARK, "").alias("text"))
     # no placeholder is longer than this; the expressions that tell them from text are for short ones
     rows = rows.where(((F.length("text") > 80) & F.col("text").rlike(r"\p{L}{2}")) | own_text("text").isNotNull())
     return rows.mapInPandas(lambda batches: detect(batches, model), "id string, lang string, share double, confidence double, segments array<array<int>>")

@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.session import widened
+
 #: Words of a window, bits in which two fingerprints may differ, blocks of the 64 bits. RADIUS < BLOCKS: two fingerprints within the radius agree on a block.
 WINDOW, RADIUS, BLOCKS = 13, 3, 4
 #: Windows of items that are held against the corpus in one pass; more items take more passes.
@@ -184,5 +186,5 @@ def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame) -> Da
     held = sorted({(int(r[0]), r[1]) for r in items.select("item_id", "text").where("item_id is not null and text is not null").collect()})
     tables = index_items(held)
     rows = corpus.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    found = rows.mapInPandas(lambda batches: leaks(batches, tables), f"id {dict(rows.dtypes)['id']}, item_id long, n_windows long, containment double, n_near long")
+    found = widened(rows).mapInPandas(lambda batches: leaks(batches, tables), f"id {dict(rows.dtypes)['id']}, item_id long, n_windows long, containment double, n_near long")
     return found.groupBy("id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("containment").alias("containment"), F.max("n_near").alias("n_near"))
