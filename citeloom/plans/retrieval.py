@@ -181,7 +181,12 @@ STOP = ", ".join(repr(w) for w in STOP_WORDS)
 WORDS = ", ".join(repr(w) for w in QUERY.split() if w not in STOP_WORDS)
 D = f"d as (select distinct doc_id, text, article_id from documents where text is not null), tk as (select doc_id, article_id, {SPLIT.format('text')} as t from d), po as (select doc_id, len(t) as size, token, count(*) as tf from (select doc_id, t, unnest(t) as token from tk) group by doc_id, len(t), token)"
 SC = "q as (select embedding as q from embeddings order by vec_id limit 1), s as (select vec_id, label, round(list_cosine_similarity(embedding::double[], q::double[]), 4) as score from embeddings, q)"
+HTML = r"regexp_replace(regexp_replace(text, '(?i)</?(?:p|div|br|h[1-6]|li|tr|table)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _entity, _plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+    HTML = f"replace({HTML}, '{_entity}', '{_plain}')"
+HTML = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({HTML}, '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 SQL = {
+    "html_to_text": f"with {D} select doc_id, {HTML} as plain from d where regexp_matches(text, '</?[A-Za-z]')",
     "token_counts": f"with {D} select token, sum(tf) as n, count(*) as n_docs from po group by 1",
     "bm25_search": f"with {D}, st as (select count(*) as docs, avg(len(t)) as av from tk where len(t) > 0), h as (select * from po where token in ({WORDS})), f as (select token, count(*) as df from h group by 1) select doc_id, round(sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / av))), 6) as score from h join f using (token), st group by 1 order by 2 desc, 1 limit 30",
     "containment_best": f"""with {D}, q as (select item_id, case when len(m) = 0 then r else m end as t from (select item_id, r, list_filter(r, lambda w: w not in ({STOP})) as m from (select item_id, {SPLIT.format('text')} as r from eval_items))),
