@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.names import FULL_FORM, ORGANISATION_WORDS, PARTICLES, WEAK_WORDS, given_names, institution_key, tokens
+from citeloom.llm.groups import connected_groups
 from citeloom.session import cut
 
 #: Letters of a gram, and grams that one typing error (a letter wrong, missing, added, or two swapped) can destroy at most.
 GRAM, DESTROYED = 3, 4
 #: Shortest rare token that is joined despite an error.
 LEAST_TYPO = 6
+#: Share of the weight of each of two organisations' tokens that the other must have; what a token counts that is one typing error apart; letters of an abbreviation.
+SAME, NEAR, SHORTEST = 0.75, 0.9, 3
 
 
 def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,23 +33,118 @@ def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for raw, parts, joined, organisation, core in zip(batch["raw"], batch["parts"], batch["joined"], batch["organisation"], batch["core"], strict=True):
-            rows.append((raw, core, *(("#", "", "") if organisation else given_names(list(parts), list(joined), core))))
+        for raw, parts, joined, core in zip(batch["raw"], batch["parts"], batch["joined"], batch["core"], strict=True):
+            rows.append((raw, core, *given_names(list(parts), list(joined), core)))
         yield pd.DataFrame(rows, columns=["raw", "core", "initial", "given", "second"])
 
 
 def name_forms(names: DataFrame) -> DataFrame:
     """(raw, core, initial, given, second) of distinct raw names: the core is the rarest token, weighed over all distinct names.
 
-    An organisation's core is the first token that counts. Tokens that are given names, words of organisations or second parts of a hyphenated word are cores only where a name has nothing else. Names without a token of three letters have no row.
+    Tokens that are given names or second parts of a hyphenated word are cores only where a name has nothing else. Names without a token of three letters have no row. An organisation has the initial '#' and, as core, a name for all its spellings.
     """
     parsed = cut(names.select("raw").distinct().mapInPandas(parse, "raw string, parts array<string>, joined array<string>, organisation boolean"))
-    exploded = parsed.select("raw", F.posexplode("parts").alias("pos", "t"), "joined", "organisation").where(F.length("t") >= 3)
+    parsed = parsed.drop("organisation").join(hidden_organisations(parsed), "raw")
+    people = parsed.where("not organisation")
+    exploded = people.select("raw", F.explode("parts").alias("t"), "joined").where(F.length("t") >= 3)
     df = exploded.groupBy("t").agg(F.count("*").alias("df"))
     common = list({*FULL_FORM, *ORGANISATION_WORDS, *WEAK_WORDS, *PARTICLES})
     rank = F.when(F.col("t").isin(common) | F.array_contains("joined", F.col("t")), 1).otherwise(0)
-    cores = exploded.join(df, "t").groupBy("raw").agg(F.min(F.struct(rank.alias("rank"), F.when(F.col("organisation"), F.col("pos")).otherwise(F.col("df")).alias("o"), (-F.length("t")).alias("l"), F.col("t"))).alias("m")).select("raw", F.col("m.t").alias("core"))
-    return parsed.join(cores, "raw").mapInPandas(shape, "raw string, core string, initial string, given string, second string")
+    cores = exploded.join(df, "t").groupBy("raw").agg(F.min(F.struct(rank.alias("rank"), "df", (-F.length("t")).alias("l"), F.col("t"))).alias("m")).select("raw", F.col("m.t").alias("core"))
+    forms = people.join(cores, "raw").mapInPandas(shape, "raw string, core string, initial string, given string, second string")
+    return forms.union(organisations(parsed.where("organisation").select("raw", "parts")))
+
+
+def hidden_organisations(parsed: DataFrame) -> DataFrame:
+    """(raw, organisation): an organisation also where no word says so, but all the name's words, two or more, are met in organisations more than in other names ('Noklanosi Sleep SG')."""
+    words = parsed.select("raw", "organisation", F.explode("parts").alias("t")).where(F.length("t") >= SHORTEST)
+    share = words.groupBy("t").agg((F.sum(F.col("organisation").cast("int")) * 2 > F.count("*")).alias("theirs")).where("theirs")
+    other = words.where("not organisation").join(share, "t", "left").groupBy("raw").agg((F.bool_and(F.col("theirs").isNotNull()) & (F.count("*") > 1)).alias("hidden"))
+    return parsed.join(other, "raw", "left").select("raw", (F.col("organisation") | F.coalesce("hidden", F.lit(False))).alias("organisation"))
+
+
+def expanded(token: str) -> str:
+    """The word that an abbreviation of a kind of organisation stands for."""
+    return ORGANISATION_WORDS.get(token, token)
+
+
+def one_error(a: str, b: str) -> bool:
+    """Whether two different tokens are one typing error apart."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    a, b = sorted((a, b), key=len)
+    i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+    if len(a) < len(b):
+        return a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or (a[i + 2 :] == b[i + 2 :] and a[i : i + 2] == b[i : i + 2][::-1])
+
+
+def token_likeness(a: str, b: str) -> float:
+    """1 for equal tokens, abbreviations by prefix and initials; less for other abbreviations ('slp' for 'sleep') and tokens one typing error apart; else 0."""
+    short, long = sorted((a, b), key=len)
+    if a == b or (long.startswith(short) and (len(short) >= SHORTEST or len(short) == 1)):
+        return 1.0
+    rest = iter(long[1:])
+    letters = len(short) >= SHORTEST and len(short) < len(long) and short[0] == long[0] and all(c in rest for c in short[1:])
+    return NEAR if letters or (len(short) > SHORTEST and one_error(a, b)) else 0.0
+
+
+def same_organisation(a: list[str], wa: list[float], b: list[str], wb: list[float]) -> bool:
+    """Whether each of two sets of tokens holds enough of the other's weight, token by token, the likest and heaviest first.
+
+    Where each has a word of its own that the other has nothing like, they are two organisations.
+    """
+    found = sorted(((token_likeness(x, y), wa[i] + wb[j], i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
+    mine, theirs, ma, mb = set(range(len(a))), set(range(len(b))), 0.0, 0.0
+    for like, _, i, j in found:
+        if like and i in mine and j in theirs:
+            mine.discard(i)
+            theirs.discard(j)
+            ma, mb = ma + like * wa[i], mb + like * wb[j]
+    if any(len(a[i]) > 1 for i in mine) and any(len(b[j]) > 1 for j in theirs):
+        return False
+    return ma >= SAME * sum(wa) and mb >= SAME * sum(wb)
+
+
+def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        same = [same_organisation(*map(list, x)) for x in zip(batch["ta"], batch["wa"], batch["tb"], batch["wb"], strict=True)]
+        yield batch.loc[same, ["a", "b"]]
+
+
+def organisations(parsed: DataFrame) -> DataFrame:
+    """(raw, core, initial, given, second) of organisations parsed into (raw, parts): names whose tokens agree by weight, directly or by a chain, have one core.
+
+    Weights are those of rarity among all distinct organisations. Of two that agree, each has enough of its weight in the other, so one
+    of its heaviest tokens, which hold more than may be missing, has a like token there: those are joined with all tokens.
+    """
+    word = F.udf(expanded, "string")
+    few = ["the", "of", "for", "and", "on", "in"]
+    kept = F.filter("parts", lambda t: ~t.isin(few))
+    keys = cut(parsed.select("raw", F.concat_ws(" ", F.array_sort(F.array_distinct(kept))).alias("written")))
+    words = keys.select("written", F.explode(F.split("written", " ")).alias("t")).distinct()
+    words = words.join(words.select("t").distinct().withColumn("w", word("t")), "t")
+    named = cut(words.groupBy("written").agg(F.concat_ws(" ", F.array_sort(F.collect_set("w"))).alias("name")))
+    each = named.select("name").distinct().select("name", F.explode(F.split("name", " ")).alias("t"))
+    n = named.select("name").distinct().count()
+    df = each.groupBy("t").agg(F.count("*").alias("df"))
+    weight = F.log(F.lit(1.0) + F.lit(float(n)) / F.col("df"))
+    sets = cut(each.join(df, "t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-weight).alias("m"), "t"))).alias("s")).select("name", F.transform("s", lambda x: x["t"]).alias("t"), F.transform("s", lambda x: -x["m"]).alias("w")))
+    # the heaviest tokens, as many as hold more weight than may be missing
+    heavy = F.udf(lambda t, w: t[: next((i + 1 for i in range(len(w)) if math.fsum(w[: i + 1]) > (1 - SAME) * math.fsum(w) + 1e-9), len(t))], "array<string>")
+    first = sets.select("name", F.explode(heavy("t", "w")).alias("t")).where(F.length("t") > 1)
+    tokens_of = df.select(F.col("t").alias("core"))
+    start = lambda c: F.substring(c, 1, SHORTEST)
+    long = df.where(F.length("t") >= SHORTEST)
+    begins = long.select(F.col("t").alias("a"), start("t").alias("p")).join(long.select(F.col("t").alias("b"), start("t").alias("p")), "p").where("a <> b and (startswith(a, b) or startswith(b, a))").select("a", "b")
+    alike = df.select(F.col("t").alias("a"), F.col("t").alias("b")).union(near_cores(tokens_of, tokens_of)).union(begins).distinct()
+    others = sets.select("name", F.explode("t").alias("t"))
+    near_names = first.select(F.col("name").alias("a"), F.col("t").alias("x")).join(alike.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").join(others.select(F.col("name").alias("b"), F.col("t").alias("y")), "y").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda k: sets.select(F.col("name").alias(k), F.col("t").alias(f"t{k}"), F.col("w").alias(f"w{k}"))
+    links = near_names.join(side("a"), "a").join(side("b"), "b").mapInPandas(compared, "a string, b string")
+    groups = connected_groups(links).select(F.col("record").alias("name"), "group")
+    empty = F.lit("")
+    return keys.join(named, "written").join(groups, "name", "left").select("raw", F.coalesce("group", "name").alias("core"), F.lit("#").alias("initial"), empty.alias("given"), empty.alias("second"))
 
 
 def near(a: Column, b: Column) -> Column:
@@ -113,7 +212,8 @@ def author_entities(authors: DataFrame, forms: DataFrame) -> DataFrame:
     filled = lambda c: F.collect_set(F.when(F.col(c) != "", F.col(c)))
     nodes = cut(rows.groupBy("core", "initial").agg(F.countDistinct("author_id").alias("n"), filled("given").alias("givens"), filled("second").alias("seconds"), filled("place").alias("places")))
     # a core stands for the better supported one among those an error away, if all else that is known agrees
-    pairs = near_cores(nodes, nodes)
+    people = nodes.where("initial <> '#'")
+    pairs = near_cores(people, people)
     x = nodes.select(F.col("core").alias("a"), "initial", F.col("n").alias("na"), F.col("givens").alias("ga"), F.col("seconds").alias("sa"), F.col("places").alias("pa"))
     y = nodes.select(F.col("core").alias("b"), "initial", F.col("n").alias("nb"), F.col("givens").alias("gb"), F.col("seconds").alias("sb"), F.col("places").alias("pb"))
     better = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
@@ -148,8 +248,8 @@ def entity_of_names(found: DataFrame, forms: DataFrame) -> DataFrame:
         return joined.where(fits("given", "givens") & fits("second", "seconds")).groupBy("core", "initial", "given", "second").agg(F.max(score).alias("m")).select("core", "initial", "given", "second", F.col("m.entity").alias("entity"))
 
     same = pick(shapes.join(known, ["core", "initial"]))
-    left = cut(shapes.join(known.select("core").distinct(), "core", "left_anti"))
-    pairs = near_cores(left, known)
+    left = cut(shapes.where("initial <> '#'").join(known.select("core").distinct(), "core", "left_anti"))
+    pairs = near_cores(left, known.where("initial <> '#'"))
     typo = pick(left.join(pairs.select(F.col("a").alias("core"), "b"), "core").join(known.withColumnRenamed("core", "b"), ["b", "initial"]))
     typo = cut(typo)
     # two spellings with an error each are two apart, but one apart from the right one, which may stand among the names

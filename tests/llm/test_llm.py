@@ -196,6 +196,14 @@ def test_names(spark):
     assert names.linked_names(refs.limit(0), authors.limit(0)).count() == 0
 
 
+def test_organisations_by_all_their_tokens(spark):
+    a = [("A1", "European Sleep Society"), ("A2", "Sleep Soc., European"), ("A3", "European Heart Association"), ("A4", "European Hearth Association"), ("A5", "Nordic Kidney Research Network"), ("A6", "The European Sleep Soc.")]
+    r = [("l1", ["Europ. Sleep Society", "Europaen Heart Assoc.", "Nordic Kidnney Res. Netw.", "Nordic Liver Research Network", "European Slp. Society", "European Sleep S"])]
+    authors = spark.createDataFrame([(*x, None) for x in a], "author_id string, display_name string, institution string")
+    got = rows(names.linked_names(spark.createDataFrame(r, "link_id string, authors array<string>"), authors))
+    assert got == {("A1", "A2"), ("A1", "A6"), ("A2", "A6"), ("A3", "A4"), ("A1", "l1#1"), ("A3", "l1#2"), ("A5", "l1#3"), ("A1", "l1#5"), ("A1", "l1#6")}
+
+
 def test_near_cores_equal_brute_force(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abde") for _ in range(rng.randrange(6, 10))) for _ in range(120)]
