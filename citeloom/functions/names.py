@@ -60,6 +60,22 @@ def tokens(name: str) -> tuple[list[str], list[str], bool]:
     return out, joined, organisation
 
 
+def name_roles(name: str, parts: list[str], joined: list[str]) -> tuple[list[str], list[str]]:
+    """(tokens that stand as a surname, tokens that stand as a given name) in this spelling, as far as commas, initials or the order show it."""
+    head, comma, _ = fold(name).partition(",")
+    if comma:
+        surnames = [t for t in tokens(f"{head},")[0] if t in parts]
+        return surnames, [t for t in parts if len(t) > 1 and t not in surnames]
+    words = [t for t in parts if len(t) > 1 and t not in joined]
+    if len(words) == 1:
+        return (words, []) if len(parts) > 1 else ([], [])
+    last = max((i for i, t in enumerate(parts) if len(t) == 1), default=None)
+    if last is None or not words:
+        return [], words[:1]
+    after = [t for t in words if parts.index(t) > last]
+    return after, [t for t in words if t not in after] if after else []
+
+
 def given_names(parts: list[str], joined: list[str], core: str) -> tuple[str, str, str]:
     """(first initial, first given name in full or '', second initial) of a name whose rare token is core; short forms as their full names."""
     at = parts.index(core) if core in parts else len(parts)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.names import FULL_FORM, ORGANISATION_WORDS, PARTICLES, WEAK_WORDS, given_names, institution_key, tokens
+from citeloom.functions.names import FULL_FORM, ORGANISATION_WORDS, PARTICLES, WEAK_WORDS, given_names, institution_key, name_roles, tokens
 from citeloom.llm.groups import connected_groups
 from citeloom.session import cut
 
@@ -26,8 +26,8 @@ def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for raw in batch["raw"]:
             parts, joined, organisation = tokens(raw)
-            rows.append((raw, parts, joined, organisation))
-        yield pd.DataFrame(rows, columns=["raw", "parts", "joined", "organisation"])
+            rows.append((raw, parts, joined, organisation, *name_roles(raw, parts, joined)))
+        yield pd.DataFrame(rows, columns=["raw", "parts", "joined", "organisation", "surnames", "givens"])
 
 
 def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -41,17 +41,20 @@ def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def name_forms(names: DataFrame) -> DataFrame:
     """(raw, core, initial, given, second) of distinct raw names: the core is the rarest token, weighed over all distinct names.
 
-    Tokens that are given names or second parts of a hyphenated word are cores only where a name has nothing else. Names without a token of three letters have no row. An organisation has the initial '#' and, as core, a name for all its spellings.
+    Tokens that stand as given names more often than as surnames, as commas, initials and the order of all names show it, or second parts of a hyphenated word, are cores only where a name has nothing else; the list of given names adds one vote. Names without a token of three letters have no row. An organisation has the initial '#' and, as core, a name for all its spellings.
     """
-    parsed = cut(names.select("raw").distinct().mapInPandas(parse, "raw string, parts array<string>, joined array<string>, organisation boolean"))
+    parsed = cut(names.select("raw").distinct().mapInPandas(parse, "raw string, parts array<string>, joined array<string>, organisation boolean, surnames array<string>, givens array<string>"))
     parsed = parsed.drop("organisation").join(hidden_organisations(parsed), "raw")
     people = parsed.where("not organisation")
-    exploded = people.select("raw", F.explode("parts").alias("t"), "joined").where(F.length("t") >= 3)
-    df = exploded.groupBy("t").agg(F.count("*").alias("df"))
-    common = list({*FULL_FORM, *ORGANISATION_WORDS, *WEAK_WORDS, *PARTICLES})
-    rank = F.when(F.col("t").isin(common) | F.array_contains("joined", F.col("t")), 1).otherwise(0)
+    exploded = people.select("raw", F.explode("parts").alias("t"), "joined", "surnames", "givens").where(F.length("t") >= 3)
+    known = F.when(F.col("t").isin(list(FULL_FORM)), 1).otherwise(0)
+    stands = lambda c: F.sum(F.array_contains(c, F.col("t")).cast("int"))
+    df = exploded.groupBy("t").agg(F.count("*").alias("df"), stands("surnames").alias("s"), stands("givens").alias("g"))
+    common = list({*ORGANISATION_WORDS, *WEAK_WORDS, *PARTICLES})
+    rank = F.when(F.col("t").isin(common) | F.array_contains("joined", F.col("t")) | (F.col("g") + known > F.col("s")), 1).otherwise(0)
     cores = exploded.join(df, "t").groupBy("raw").agg(F.min(F.struct(rank.alias("rank"), "df", (-F.length("t")).alias("l"), F.col("t"))).alias("m")).select("raw", F.col("m.t").alias("core"))
-    forms = people.join(cores, "raw").mapInPandas(shape, "raw string, core string, initial string, given string, second string")
+    forms = cut(people.join(cores, "raw").mapInPandas(shape, "raw string, core string, initial string, given string, second string"))
+    forms = forms.join(right_givens(forms), ["core", "given"], "left").select("raw", "core", F.when(F.col("right") != "", F.substring("right", 1, 1)).otherwise(F.col("initial")).alias("initial"), F.coalesce("right", "given").alias("given"), "second")
     return forms.union(organisations(parsed.where("organisation").select("raw", "parts")))
 
 
@@ -63,6 +66,24 @@ def hidden_organisations(parsed: DataFrame) -> DataFrame:
     return parsed.join(other, "raw", "left").select("raw", (F.col("organisation") | F.coalesce("hidden", F.lit(False))).alias("organisation"))
 
 
+def right_givens(forms: DataFrame) -> DataFrame:
+    """(core, given, right) of given names taken as slips of the pen: one error apart from a better supported one.
+
+    A real given name is met with several surnames, a slip with one; the right one is met with the same surname, or with several others.
+    Of four letters or less nothing is a slip, as too many short names are neighbours.
+    """
+    used = cut(forms.where(F.length("given") > 4).groupBy("core", "given").agg(F.count("*").alias("n")))
+    support = cut(used.groupBy("given").agg(F.count("*").alias("cores"), F.sum("n").alias("n")))
+    names = support.select(F.col("given").alias("core"))
+    a = support.where("cores = 1").select(F.col("given").alias("a"), F.col("n").alias("na"))
+    b = support.select(F.col("given").alias("b"), F.col("cores").alias("cb"), F.col("n").alias("nb"))
+    better = (F.col("cb") > 1) | (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.length("b") < F.length("a"))) | ((F.col("nb") == F.col("na")) & (F.length("b") == F.length("a")) & (F.col("b") < F.col("a")))
+    slips = near_cores(a.select(F.col("a").alias("core")), names).join(a, "a").join(b, "b").where(better)
+    mine = used.select("core", F.col("given").alias("a")).join(slips, "a").join(used.select("core", F.col("given").alias("b"), F.lit(True).alias("same")), ["core", "b"], "left")
+    best = mine.where("same or cb >= 3").groupBy("core", "a").agg(F.max(F.struct(F.coalesce("same", F.lit(False)).alias("same"), "cb", "nb", "b")).alias("m"))
+    return best.select("core", F.col("a").alias("given"), F.col("m.b").alias("right"))
+
+
 def expanded(token: str) -> str:
     """The word that an abbreviation of a kind of organisation stands for."""
     return ORGANISATION_WORDS.get(token, token)

@@ -196,6 +196,13 @@ def test_names(spark):
     assert names.linked_names(refs.limit(0), authors.limit(0)).count() == 0
 
 
+def test_given_names_outside_the_list(spark):
+    a = [("A1", "Xiomara Lopez"), ("A2", "X. Lopez"), ("A3", "Rodrigo Lopez"), ("A4", "Lopez, Rodirgo"), ("A5", "Tendai Lopez"), ("A6", "Lopez, Xoimara"), ("A7", "Ebuka Brankovitz"), ("A8", "Brankovitz E")]
+    authors = spark.createDataFrame([(*x, None) for x in a], "author_id string, display_name string, institution string")
+    got = rows(names.linked_names(spark.createDataFrame([("l1", ["Lopez, Xiomarra", "E. Brankovitz"])], "link_id string, authors array<string>"), authors))
+    assert got == {("A1", "A2"), ("A1", "A6"), ("A2", "A6"), ("A3", "A4"), ("A7", "A8"), ("A1", "l1#1"), ("A7", "l1#2")}
+
+
 def test_organisations_by_all_their_tokens(spark):
     a = [("A1", "European Sleep Society"), ("A2", "Sleep Soc., European"), ("A3", "European Heart Association"), ("A4", "European Hearth Association"), ("A5", "Nordic Kidney Research Network"), ("A6", "The European Sleep Soc.")]
     r = [("l1", ["Europ. Sleep Society", "Europaen Heart Assoc.", "Nordic Kidnney Res. Netw.", "Nordic Liver Research Network", "European Slp. Society", "European Sleep S"])]
