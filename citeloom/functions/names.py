@@ -41,6 +41,8 @@ def tokens(name: str) -> tuple[list[str], list[str], bool]:
     shouting = text.upper() == text and sum(c.isalpha() for c in text) > 5
     head, comma, tail = text.partition(",")
     ordered = f"{tail} {head}" if comma else text
+    # of a short name in capitals with one word of more than a letter, as 'WU J', that word is no run of initials
+    lone = text.upper() == text and sum(len(w) > 1 for w in WORD.findall(text)) == 1
     out, joined = [], []
     for m in WORD.finditer(ordered):
         raw = m.group().replace("'", "")
@@ -50,7 +52,7 @@ def tokens(name: str) -> tuple[list[str], list[str], bool]:
         if low in PARTICLES and not (raw.isupper() and not shouting):
             continue
         given = bool(comma) and m.start() < len(tail)
-        if raw.isupper() and 1 < len(raw) <= (3 if not shouting else 2 if given else 0):
+        if raw.isupper() and not (lone or (comma and not given)) and 1 < len(raw) <= (3 if not shouting else 2 if given else 0):
             out += list(low)
             continue
         if m.start() and ordered[m.start() - 1] == "-" and out and len(out[-1]) > 1:

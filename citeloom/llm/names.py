@@ -15,8 +15,10 @@ from citeloom.session import cut
 
 #: Letters of a gram, and grams that one typing error (a letter wrong, missing, added, or two swapped) can destroy at most.
 GRAM, DESTROYED = 3, 4
-#: Shortest rare token that is joined despite an error.
+#: Letters of a rare token from which grams find an error in it; shorter ones are found by what is left without one of their letters.
 LEAST_TYPO = 6
+#: Letters of the shortest token that is compared despite an error.
+LEAST_NEAR = 3
 #: Share of the weight of each of two organisations' tokens that the other must have; what a token counts that is one typing error apart; letters of an abbreviation.
 SAME, NEAR, SHORTEST = 0.75, 0.9, 3
 
@@ -41,17 +43,21 @@ def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def name_forms(names: DataFrame) -> DataFrame:
     """(raw, core, initial, given, second) of distinct raw names: the core is the rarest token, weighed over all distinct names.
 
-    Tokens that stand as given names more often than as surnames, as commas, initials and the order of all names show it, or second parts of a hyphenated word, are cores only where a name has nothing else; the list of given names adds one vote. Names without a token of three letters have no row. An organisation has the initial '#' and, as core, a name for all its spellings.
+    Tokens that stand as given names more often than as surnames, as commas, initials and the order of all names show it, or second parts of a hyphenated word, are cores only where a name has nothing else; the list of given names adds one vote. Names of initials alone have no row. An organisation has the initial '#' and, as core, a name for all its spellings.
     """
     parsed = cut(names.select("raw").distinct().mapInPandas(parse, "raw string, parts array<string>, joined array<string>, organisation boolean, surnames array<string>, givens array<string>"))
-    parsed = parsed.drop("organisation").join(hidden_organisations(parsed), "raw")
+    parsed = cut(parsed.drop("organisation").join(hidden_organisations(parsed), "raw"))
     people = parsed.where("not organisation")
-    exploded = people.select("raw", F.explode("parts").alias("t"), "joined", "surnames", "givens").where(F.length("t") >= 3)
+    exploded = people.select("raw", F.explode("parts").alias("t"), "joined", "surnames", "givens", F.size("parts").alias("size"))
+    # one letter is a name only before a comma or in a script whose letters are words
+    exploded = exploded.where((F.length("t") > 1) | (F.col("t") >= "\u2e80") | F.array_contains("surnames", F.col("t")))
     known = F.when(F.col("t").isin(list(FULL_FORM)), 1).otherwise(0)
     stands = lambda c: F.sum(F.array_contains(c, F.col("t")).cast("int"))
     df = exploded.groupBy("t").agg(F.count("*").alias("df"), stands("surnames").alias("s"), stands("givens").alias("g"))
     common = list({*ORGANISATION_WORDS, *WEAK_WORDS, *PARTICLES})
-    rank = F.when(F.col("t").isin(common) | F.array_contains("joined", F.col("t")) | (F.col("g") + known > F.col("s")), 1).otherwise(0)
+    # a word of one or two letters is weak beside longer ones, unless it stands as a surname
+    short = (F.length("t") < 3) & (F.col("t") < "\u2e80") & (F.col("size") > 1) & (F.col("s") <= F.col("g"))
+    rank = F.when(short | F.col("t").isin(common) | F.array_contains("joined", F.col("t")) | (F.col("g") + known > F.col("s")), 1).otherwise(0)
     cores = exploded.join(df, "t").groupBy("raw").agg(F.min(F.struct(rank.alias("rank"), "df", (-F.length("t")).alias("l"), F.col("t"))).alias("m")).select("raw", F.col("m.t").alias("core"))
     forms = cut(people.join(cores, "raw").mapInPandas(shape, "raw string, core string, initial string, given string, second string"))
     forms = forms.join(right_givens(forms), ["core", "given"], "left").select("raw", "core", F.when(F.col("right") != "", F.substring("right", 1, 1)).otherwise(F.col("initial")).alias("initial"), F.coalesce("right", "given").alias("given"), "second")
@@ -78,7 +84,7 @@ def right_givens(forms: DataFrame) -> DataFrame:
     a = support.where("cores = 1").select(F.col("given").alias("a"), F.col("n").alias("na"))
     b = support.select(F.col("given").alias("b"), F.col("cores").alias("cb"), F.col("n").alias("nb"))
     better = (F.col("cb") > 1) | (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.length("b") < F.length("a"))) | ((F.col("nb") == F.col("na")) & (F.length("b") == F.length("a")) & (F.col("b") < F.col("a")))
-    slips = near_cores(a.select(F.col("a").alias("core")), names).join(a, "a").join(b, "b").where(better)
+    slips = cut(near_cores(a.select(F.col("a").alias("core")), names).join(a, "a").join(b, "b").where(better))
     mine = used.select("core", F.col("given").alias("a")).join(slips, "a").join(used.select("core", F.col("given").alias("b"), F.lit(True).alias("same")), ["core", "b"], "left")
     best = mine.where("same or cb >= 3").groupBy("core", "a").agg(F.max(F.struct(F.coalesce("same", F.lit(False)).alias("same"), "cb", "nb", "b")).alias("m"))
     return best.select("core", F.col("a").alias("given"), F.col("m.b").alias("right"))
@@ -148,7 +154,7 @@ def organisations(parsed: DataFrame) -> DataFrame:
     named = cut(words.groupBy("written").agg(F.concat_ws(" ", F.array_sort(F.collect_set("w"))).alias("name")))
     each = named.select("name").distinct().select("name", F.explode(F.split("name", " ")).alias("t"))
     n = named.select("name").distinct().count()
-    df = each.groupBy("t").agg(F.count("*").alias("df"))
+    df = cut(each.groupBy("t").agg(F.count("*").alias("df")))
     weight = F.log(F.lit(1.0) + F.lit(float(n)) / F.col("df"))
     sets = cut(each.join(df, "t").groupBy("name").agg(F.array_sort(F.collect_list(F.struct((-weight).alias("m"), "t"))).alias("s")).select("name", F.transform("s", lambda x: x["t"]).alias("t"), F.transform("s", lambda x: -x["m"]).alias("w")))
     # the heaviest tokens, as many as hold more weight than may be missing
@@ -158,7 +164,7 @@ def organisations(parsed: DataFrame) -> DataFrame:
     start = lambda c: F.substring(c, 1, SHORTEST)
     long = df.where(F.length("t") >= SHORTEST)
     begins = long.select(F.col("t").alias("a"), start("t").alias("p")).join(long.select(F.col("t").alias("b"), start("t").alias("p")), "p").where("a <> b and (startswith(a, b) or startswith(b, a))").select("a", "b")
-    alike = df.select(F.col("t").alias("a"), F.col("t").alias("b")).union(near_cores(tokens_of, tokens_of)).union(begins).distinct()
+    alike = cut(df.select(F.col("t").alias("a"), F.col("t").alias("b")).union(near_cores(tokens_of, tokens_of)).union(begins).distinct())
     others = sets.select("name", F.explode("t").alias("t"))
     near_names = first.select(F.col("name").alias("a"), F.col("t").alias("x")).join(alike.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").join(others.select(F.col("name").alias("b"), F.col("t").alias("y")), "y").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda k: sets.select(F.col("name").alias(k), F.col("t").alias(f"t{k}"), F.col("w").alias(f"w{k}"))
@@ -186,12 +192,19 @@ def grams(cores: DataFrame) -> DataFrame:
 
 
 def near_cores(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) of different cores of left and right one error apart: two such share a gram of their prefixes, at most one place apart."""
-    both = cut(left.select("core").union(right.select("core")).distinct().where(F.length("core") >= LEAST_TYPO))
-    prefix = grams(both)
+    """(a, b) of different cores of left and right one error apart: two such share a gram of their prefixes, at most one place apart; cores under LEAST_TYPO letters share a deletion."""
+    every = cut(left.select("core").union(right.select("core")).distinct().where(F.length("core") >= LEAST_NEAR))
+    prefix = cut(grams(every.where(F.length("core") >= LEAST_TYPO)))
     a = left.select("core").distinct().join(prefix, "core").select(F.col("core").alias("a"), "gram", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
     b = right.select("core").distinct().join(prefix, "core").select(F.col("core").alias("b"), "gram", "pos")
-    return a.join(b, ["gram", "pos"]).where((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") != F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    long = a.join(b, ["gram", "pos"]).select("a", "b")
+    # short ones one error apart are equal once a letter is left out of one or both
+    without = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, F.length("core"))))
+    less = every.where(F.length("core") <= LEAST_TYPO).select("core", F.explode(F.array_distinct(F.array_append(without, F.col("core")))).alias("less"))
+    x = left.select("core").distinct().join(less, "core").select(F.col("core").alias("a"), "less")
+    y = right.select("core").distinct().join(less, "core").select(F.col("core").alias("b"), "less")
+    brief = x.join(y, "less").where(F.least(F.length("a"), F.length("b")) < LEAST_TYPO).select("a", "b")
+    return long.union(brief).where((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") != F.col("b")) & near(F.col("a"), F.col("b"))).distinct()
 
 
 def agree(x: str, y: str) -> Column:
@@ -224,6 +237,11 @@ def entities(batches: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["author_id", "entity"])
 
 
+def certain(a: str, b: str, givens: Column) -> Column:
+    """Short cores have many neighbours: of those an error apart, the given name in full must be the same."""
+    return (F.least(F.length(a), F.length(b)) >= LEAST_TYPO) | givens
+
+
 def author_entities(authors: DataFrame, forms: DataFrame) -> DataFrame:
     """(author_id, core, block, initial, given, second, entity) of authors(author_id, display_name, institution): entity is the smallest author_id of the person or organisation."""
     place = F.udf(institution_key, "string")
@@ -238,7 +256,7 @@ def author_entities(authors: DataFrame, forms: DataFrame) -> DataFrame:
     x = nodes.select(F.col("core").alias("a"), "initial", F.col("n").alias("na"), F.col("givens").alias("ga"), F.col("seconds").alias("sa"), F.col("places").alias("pa"))
     y = nodes.select(F.col("core").alias("b"), "initial", F.col("n").alias("nb"), F.col("givens").alias("gb"), F.col("seconds").alias("sb"), F.col("places").alias("pb"))
     better = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
-    ok = pairs.join(x, "a").join(y, ["b", "initial"]).where(better & agree("ga", "gb") & agree("sa", "sb") & agree("pa", "pb"))
+    ok = pairs.join(x, "a").join(y, ["b", "initial"]).where(better & certain("a", "b", F.arrays_overlap("ga", "gb")) & agree("ga", "gb") & agree("sa", "sb") & agree("pa", "pb"))
     best = ok.groupBy("a", "initial").agg(F.max(F.struct(F.arrays_overlap("pa", "pb").alias("same"), F.col("nb"), F.col("b"))).alias("m")).select(F.col("a").alias("core"), "initial", F.col("m.b").alias("to"))
     best = cut(best)
     twice = best.select(F.col("core").alias("to"), "initial", F.col("to").alias("to2"))
@@ -271,13 +289,14 @@ def entity_of_names(found: DataFrame, forms: DataFrame) -> DataFrame:
     same = pick(shapes.join(known, ["core", "initial"]))
     left = cut(shapes.where("initial <> '#'").join(known.select("core").distinct(), "core", "left_anti"))
     pairs = near_cores(left, known.where("initial <> '#'"))
-    typo = pick(left.join(pairs.select(F.col("a").alias("core"), "b"), "core").join(known.withColumnRenamed("core", "b"), ["b", "initial"]))
+    sure = certain("core", "b", F.array_contains("givens", F.col("given")))
+    typo = pick(left.join(pairs.select(F.col("a").alias("core"), "b"), "core").join(known.withColumnRenamed("core", "b"), ["b", "initial"]).where(sure))
     typo = cut(typo)
     # two spellings with an error each are two apart, but one apart from the right one, which may stand among the names
     hop = known.select("entity", "givens", "seconds", "n").dropDuplicates(["entity"]).join(typo.select(F.col("core").alias("b"), "initial", "entity").distinct(), "entity")
     rest = cut(left.join(typo.select("core", "initial", "given", "second"), ["core", "initial", "given", "second"], "left_anti"))
     pairs = near_cores(rest, hop.select(F.col("b").alias("core")))
-    twice = pick(rest.join(pairs.select(F.col("a").alias("core"), "b"), "core").join(hop, ["b", "initial"]))
+    twice = pick(rest.join(pairs.select(F.col("a").alias("core"), "b"), "core").join(hop, ["b", "initial"]).where(sure))
     return forms.join(same.union(typo).union(twice), ["core", "initial", "given", "second"]).select("raw", "entity")
 
 

@@ -196,6 +196,22 @@ def test_names(spark):
     assert names.linked_names(refs.limit(0), authors.limit(0)).count() == 0
 
 
+def test_short_names(spark):
+    a = [("A1", "Li, X."), ("A2", "X Li"), ("A3", "Wu J"), ("A4", "NG, A."), ("A5", "李明"), ("A6", "Marta Brown"), ("A7", "M. Bronw"), ("A8", "Chen, Y."), ("A9", "Cheng, Y."), ("B1", "J. Y.")]
+    r = [("l1", ["Li X", "WU J", "A. Ng", "李明", "Brwn, Marta", "J. Y.", "Li, Y."])]
+    authors = spark.createDataFrame([(*x, None) for x in a], "author_id string, display_name string, institution string")
+    got = rows(names.linked_names(spark.createDataFrame(r, "link_id string, authors array<string>"), authors))
+    assert got == {("A1", "A2"), ("A1", "l1#1"), ("A3", "l1#2"), ("A4", "l1#3"), ("A5", "l1#4"), ("A6", "l1#5")}
+
+
+def test_near_cores_of_few_letters(spark):
+    rng = random.Random(7)
+    cores = sorted({"".join(rng.choice("abd") for _ in range(rng.randrange(3, 7))) for _ in range(150)})
+    df = spark.createDataFrame([(c,) for c in cores], "core string")
+    got = rows(names.near_cores(df, df))
+    assert {(a, b) for a in cores for b in cores if a != b and names.one_error(a, b)} <= got
+
+
 def test_given_names_outside_the_list(spark):
     a = [("A1", "Xiomara Lopez"), ("A2", "X. Lopez"), ("A3", "Rodrigo Lopez"), ("A4", "Lopez, Rodirgo"), ("A5", "Tendai Lopez"), ("A6", "Lopez, Xoimara"), ("A7", "Ebuka Brankovitz"), ("A8", "Brankovitz E")]
     authors = spark.createDataFrame([(*x, None) for x in a], "author_id string, display_name string, institution string")
