@@ -19,6 +19,8 @@ READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r
 WRITTEN_IN = ("cp1252", "mac_roman", "cp1251", "koi8_r", "cp1254", "cp1250", "cp1256", "cp1253", "cp866", "iso8859_5", "iso8859_6", "cp437", "cp850", "gb18030", "cp932", "euc_jp", "big5", "euc_kr")
 #: Nats that a repair must gain in all and for each character that it changes; re-decodings in a row; states opened for a stretch.
 LEAST_GAIN, LEAST_GAIN_EACH, DEPTH, STATES = 4.0, 1.2, 3, 60
+#: Nats for each re-decoding of several in a row that pass through a dearer text, or come after a sound one was found, and of which any bytes survive one: the logarithm of how many there are to choose from. A single one is paid by LEAST_GAIN.
+AGAIN = math.log(len(READ_AS) * len(WRITTEN_IN))
 #: Nats a character that make a stretch worth a search.
 ODD = 4.5
 #: Nats a character above which a text that any bytes could give is no repair.
@@ -174,23 +176,27 @@ class Plausibility:
 
 
 def restore(text: str, model: Plausibility) -> str:
-    """The cheapest text that re-decodings reach from text, or text itself: best first, each state once, by cost."""
+    """The cheapest text that re-decodings reach from text, or text itself: best first, each state once, by cost, dearer ones too; ends when a sound text has nothing cheaper about it, or after STATES opened."""
     start = model.cost(text)
-    best, least, seen, queue, tick = text, start, {text}, [(start, 0, 0, text)], 0
-    while queue and tick < STATES:
-        cost, depth, _, state = heapq.heappop(queue)
-        if depth == DEPTH:
-            continue
+    best, least, seen, queue, opened = text, start, {text}, [(start, 0, 0, False, False, text)], 0
+    while queue and opened < STATES:
+        cost, _, depth, free, dear, state = heapq.heappop(queue)
+        sound = best != text and not model.odd(best)
+        if cost > least and sound:
+            break  # the best is sound and has been opened itself
+        opened += 1
         for new, checked in neighbours(state):
             if new in seen:
                 continue
             seen.add(new)
-            c = model.cost(new)
-            tick += 1
-            if c < least and (checked or not model.odd(new, SOUND)):
+            loose = free or not checked
+            c = model.cost(new) + (AGAIN * (depth + 1) if loose and depth and (dear or sound) else 0.0)
+            # what has no width speaks for no text that any bytes could give
+            unseen = loose and dear and len(HIDDEN.findall(new)) > len(HIDDEN.findall(text))
+            if c < least and not unseen and (checked or not model.odd(new, SOUND)):
                 best, least = new, c
-            if c < cost:
-                heapq.heappush(queue, (c, depth + 1, tick, new))
+            if depth + 1 < DEPTH:
+                heapq.heappush(queue, (c, len(seen), depth + 1, loose, dear or c >= cost, new))
     changed = max(1, sum((Counter(text) - Counter(best)).values()))
     return best if start - least >= max(LEAST_GAIN, LEAST_GAIN_EACH * min(changed, 12)) else text
 

@@ -369,6 +369,26 @@ def test_twice_misread(model):
     assert encodings.repair(text.encode().decode("latin-1").encode().decode("latin-1"), model)[0] == text
 
 
+def test_thrice_misread(model):
+    text = bad = "L'étude présente a été répétée à l'hôpital après la première année."
+    for _ in range(3):
+        bad = bad.encode().decode("latin-1")
+    assert encodings.repair(bad, model) == (text, False)
+
+
+@pytest.mark.parametrize("dear", [200.0])
+def test_repair_through_a_dearer_state(monkeypatch, dear):
+    class Costs:
+        def cost(self, text):
+            return {"aé": 100.0, "bé": dear, "cé": 1.0}[text]
+
+        def odd(self, text, most=0.0):
+            return text == "aé"
+
+    monkeypatch.setattr(encodings, "neighbours", lambda text: iter({"aé": [("bé", True)], "bé": [("cé", True)], "cé": []}[text]))
+    assert encodings.restore("aé", Costs()) == "cé"
+
+
 @pytest.mark.parametrize("text", ["The letters Ã and Â occur in the place names SÃO VELDO and ÂNGRA.", "O título “EDUCAÇÃO E GESTÃO” consta em maiúsculas (NÃO é erro).", "Örn Ðalvík and Þóra Ýrsdal are invented names.", "Costs: £5, ¥8, §4 and ¶2 apply © the authors.", "Ψ, Σ and Δ denote fixed effects; ½ dose at 9 °C.", "We write √(n) ≈ 4 and ∂f/∂x ≤ 1 throughout.", "stored as &eacute;tude &amp; r&eacute;sum&eacute;", "Doses were 5 µg ± 0.4 per day.", ""])
 def test_sound_texts_stay(model, text):
     assert encodings.repair(text, model) == (text, False)
