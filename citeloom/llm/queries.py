@@ -86,7 +86,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    return restore_encodings(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "lang_samples")).select(F.col("id").alias("doc_id")).distinct()
+    return restore_encodings(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "lang_samples")).where("misread").select(F.col("id").alias("doc_id")).distinct()
 
 
 def p10_restored(spark: SparkSession, folder: str) -> DataFrame:

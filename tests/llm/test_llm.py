@@ -394,6 +394,60 @@ def test_sound_texts_stay(model, text):
     assert encodings.repair(text, model) == (text, False)
 
 
+FOREIGN = {
+    "pl": "Zażółć gęślą jaźń. Łódź, Kraków i Gdańsk są piękne.",
+    "cs": "Příliš žluťoučký kůň úpěl ďábelské ódy. Dvě děti šly do školy, protože je to důležité.",
+    "hu": "Árvíztűrő tükörfúrógép. A gyűrűk ára ötezer forint.",
+    "el": "Το γρήγορο καφέ αλεπού πηδάει πάνω από το σκυλί.",
+    "vi": "Tiếng Việt rất đẹp và phong phú.",
+    "he": "שלום עולם, מה שלומך היום",
+    "hi": "नमस्ते दुनिया",
+    "th": "สวัสดีชาวโลก",
+    "ko": "안녕하세요 세계",
+    "uk": "Привіт, як справи? Її ім’я — Ґалина.",
+    "da": "Blåbærsyltetøy på brødskive, søndag morgen.",
+    "is": "Ég get borðað gler án þess að meiða mig. Þetta er ágætt.",
+    "lv": "Rīts ir ļoti skaists, ģimene ēd brokastis.",
+}
+RARE = ["K. Süß and Ö. Groß (2001).", "Brontë", "We read Emily Brontë and coöperate with MÜLLER.", "Bjørn Åkesson", "MAÇÃ", "½ cup of milk", "α", "the α and β levels", "¡Hola! ¿Qué tal?", "┌───┐\n│ a │\n└───┘", "line\x85line", "icon \uf0b7 item", "The cost was €4 per visit, £5, ¥800, §4.", "à €9 per visit", "Smith† and Jones‡ agree", "H₂O CO₂ m² 10°C 5′–3′ ∞ 3×4 µm Å", "“État” « été » l’École", "США»; Её «Россия»", "don´t do it", "emoji 😀 👍🏽 here", "co\xadop\xaderation", "price ￥5 №3 ℃ ™ ® ©", "Íñigo Núñez y Ángel Gutiérrez", "İstanbul’da ığdır şehri", "naïve façade — résumé…"]
+
+
+@pytest.mark.parametrize("text", [*FOREIGN.values(), *RARE])
+def test_rare_and_foreign_texts_stay(model, text):
+    assert encodings.repair(text, model) == (text, False)
+
+
+@pytest.mark.parametrize("text", ["caf&Atilde;&copy; au lait", "caf\\u00c3\\u00a9 au lait", "caf&#195;&#169; au lait"])
+def test_misread_then_escaped(model, text):
+    assert encodings.repair(text, model) == ("café au lait", False)
+
+
+def test_mac_read_as_windows(model):
+    assert encodings.repair("The dÈj‡ vu item was dropped.", model)[0] == "The déjà vu item was dropped."
+
+
+def test_restored_is_what_was_written(spark, model):
+    clean = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang in ('de', 'fr', 'es', 'pt', 'it', 'ru', 'tr')").select("text").collect()]
+    clean = [t for t in clean if t and not t.isascii() and encodings.repair(t, model) == (t, False)][:150]
+    right = total = 0
+    for i, text in enumerate(clean):
+        read_as = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman")[i % 5]
+        try:
+            bad = text.encode().decode(read_as)
+        except UnicodeDecodeError:
+            continue
+        total += 1
+        right += encodings.repair(bad, model)[0] == text
+    assert total > 80 and right >= 0.95 * total, (right, total)
+
+
+def test_cut_search_is_reported(spark, monkeypatch):
+    m = encodings.Plausibility(["Ein Text."])
+    monkeypatch.setattr(encodings, "STATES", 0)
+    assert list(encodings.repairs(iter([__import__("pandas").DataFrame({"id": [1], "text": ["schÃ¶n"]})]), ["Ein Text."]))[0]["searched"].tolist() == [False]
+    assert encodings.mend("schÃ¶n", m)[2] is False
+
+
 def test_encodings_on_edges(spark):
     s = spark.read.parquet(SAMPLES)
     docs = [(1, "The cafÃ©-based sessions ran weekly."), (2, "Lost caf� here."), (3, "plain"), (4, None), (5, ""), (6, "Die gute Ernährung der Fälle."), (7, "Sound line.\n" * 3000 + "The cafÃ©-based sessions."), (1, "The cafÃ©-based sessions ran weekly."), (None, "cafÃ©")]
