@@ -9,13 +9,28 @@ from citeloom.functions.text import author_key
 from citeloom.tables import table
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
-    """The library's articles, exact repeats once."""
-    return table(spark, folder, "articles").distinct()
+#: What tells rows of a table apart but for exact repeats: an article stands once for each source that it came from.
+KEYS = {"articles": ("id", "import_source"), "reference_papers": ("id",), "audit_entries": ("id",)}
 
 
-def papers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "reference_papers").distinct()
+def once(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The key and the columns of a table, exact repeats once. No other column is read or shuffled, and filters on these reach the scan."""
+    return table(spark, folder, name).select(*dict.fromkeys((*KEYS[name], *columns))).distinct()
+
+
+def articles(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The library's articles, exact repeats once, with the columns asked for."""
+    return once(spark, folder, "articles", *columns)
+
+
+def papers(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The reference papers, exact repeats once, with the columns asked for."""
+    return once(spark, folder, "reference_papers", *columns)
+
+
+def entries(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The audit log, exact repeats once, with the columns asked for."""
+    return once(spark, folder, "audit_entries", *columns)
 
 
 def links(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import normalize_journal
-from citeloom.operators.views import articles, author_bridge, links, papers
+from citeloom.functions.text import author_key, normalize_journal
+from citeloom.operators.views import articles, links
 from citeloom.tables import table
 
 #: The year that counts as the current one where an operator needs it.
@@ -16,18 +16,18 @@ DECAY = [0.02, 0.08, 0.13, 0.17, 0.15, 0.11]
 
 
 def kpi_bundle(spark: SparkSession, folder: str) -> DataFrame:
-    a = articles(spark, folder).where("status = 'included'")
+    a = articles(spark, folder, "status", "publication_year", "num_cited").where("status = 'included'")
     years = F.countDistinct("publication_year")
     return a.agg(F.count("*").alias("n_articles"), F.coalesce(F.sum("num_cited"), F.lit(0)).alias("citations"), F.min("publication_year").alias("first_year"), F.max("publication_year").alias("last_year"), F.when(years > 0, F.round(F.count("*") / years, 6)).otherwise(0.0).alias("pubs_per_year"))
 
 
 def pubs_by_year(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).where("status = 'included' and publication_year is not null").groupBy("publication_year").agg(F.count("*").alias("n"))
+    return articles(spark, folder, "status", "publication_year").where("status = 'included' and publication_year is not null").groupBy("publication_year").agg(F.count("*").alias("n"))
 
 
 def refs_by_year(spark: SparkSession, folder: str) -> DataFrame:
     """References (links of type 1) of the included articles by the article's year."""
-    a = articles(spark, folder).where("status = 'included' and publication_year is not null").select("id", "publication_year")
+    a = articles(spark, folder, "status", "publication_year").where("status = 'included' and publication_year is not null").select("id", "publication_year")
     n = links(spark, folder).where("type = 1").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("k"))
     return a.join(n, "id", "left").groupBy("publication_year").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_references"))
 
@@ -45,9 +45,9 @@ def growth_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def citations_by_year(spark: SparkSession, folder: str) -> DataFrame:
     """Citing papers by their year; citations of articles without citing papers spread by DECAY, rounded each year, the rest on the current year."""
-    a = articles(spark, folder).where("status = 'included'").select("id", "publication_year", "num_cited")
+    a = articles(spark, folder, "status", "publication_year", "num_cited").where("status = 'included'").select("id", "publication_year", "num_cited")
     cites = links(spark, folder).where("type = 0").select(F.col("parent").alias("id"), "paper")
-    years = papers(spark, folder).groupBy(F.col("id").alias("paper")).agg(F.min("publication_year").alias("year"))
+    years = table(spark, folder, "reference_papers").groupBy(F.col("id").alias("paper")).agg(F.min("publication_year").alias("year"))
     detail = cites.join(a.select("id"), "id", "left_semi").join(years, "paper").where("year is not null").groupBy("year").agg(F.count("*").alias("n"))
     plain = a.join(cites, "id", "left_anti").where("publication_year is not null and num_cited > 0")
     step = F.posexplode(F.array(*(F.lit(x) for x in DECAY))).alias("k", "share")
@@ -57,61 +57,89 @@ def citations_by_year(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def journal_year(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).where("status = 'included' and publication_year is not null").groupBy(F.coalesce(F.upper(F.trim("journal")), F.lit("")).alias("journal"), "publication_year").agg(F.count("*").alias("n"))
+    return articles(spark, folder, "status", "publication_year", "journal").where("status = 'included' and publication_year is not null").groupBy(F.coalesce(F.upper(F.trim("journal")), F.lit("")).alias("journal"), "publication_year").agg(F.count("*").alias("n"))
 
 
 def journal_info(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).where("journal is not null").groupBy(normalize_journal("journal").alias("journal")).agg(F.count("*").alias("n"), F.min("publication_year").alias("first_year"), F.max("publication_year").alias("last_year"), F.coalesce(F.sum("num_cited"), F.lit(0)).alias("citations"))
+    return articles(spark, folder, "journal", "publication_year", "num_cited").where("journal is not null").groupBy(normalize_journal("journal").alias("journal")).agg(F.count("*").alias("n"), F.min("publication_year").alias("first_year"), F.max("publication_year").alias("last_year"), F.coalesce(F.sum("num_cited"), F.lit(0)).alias("citations"))
 
 
 def top_journals(spark: SparkSession, folder: str) -> DataFrame:
     return journal_year(spark, folder).where("journal <> ''").groupBy("journal").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "journal").limit(10)
 
 
-def _author_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """(author, article_id, num_cited, publication_year): each author and article once."""
-    a = articles(spark, folder)
-    return author_bridge(a).select("author", "article_id").distinct().join(a.select(F.col("id").alias("article_id"), "num_cited", "publication_year"), "article_id")
+def _author_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(author, id, copies, num_cited, publication_year, places, first, last, alone): each author and article once; copies is how many rows the article has, one for each source.
+
+    The articles are shuffled once, the authors once more; nothing is joined.
+    """
+    rows = table(spark, folder, "articles").groupBy("id").agg(F.max(F.struct("authors", "num_cited", "publication_year")).alias("m"), F.size(F.collect_set(F.coalesce("import_source", F.lit("")))).cast("long").alias("copies")).select("id", "copies", "m.*")
+    keyed = F.filter(F.transform("authors", lambda x, i: F.struct(author_key(x).alias("author"), i.alias("place"))), lambda s: s["author"] != "")
+    rows = rows.withColumn("keyed", keyed).where(F.size("keyed") > 0)
+    each = rows.select("id", "copies", "num_cited", "publication_year", F.element_at("keyed", -1)["place"].alias("end"), (F.size("keyed") * F.col("copies") == 1).alias("alone"), F.explode("keyed").alias("x"))
+    each = each.select("x.author", "id", "copies", "num_cited", "publication_year", "alone", F.col("x.place").alias("place"), "end")
+    return each.groupBy("author", "id").agg(*(F.max(c).alias(c) for c in ("copies", "num_cited", "publication_year", "alone")), F.count("*").alias("places"), F.count_if(F.col("place") == 0).alias("first"), F.count_if(F.col("place") == F.col("end")).alias("last"))
+
+
+def _author_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """One row an author: sums, years, places, and counts (num_cited, n) by number of citations, the most cited first. The list is as long as an author's citation counts are various."""
+    r, k = _author_rows(spark, folder), F.col("copies")
+    by_count = r.groupBy("author", "num_cited").agg(
+        F.sum(k).alias("n"), F.sum(F.when(F.col("publication_year").isNotNull(), k)).alias("n_years"), F.sum(k * F.col("publication_year")).alias("years"), F.min("publication_year").alias("y0"), F.max("publication_year").alias("y1"),
+        F.sum(k * k * F.col("first")).alias("n_first"), F.sum(k * k * F.col("last")).alias("n_last"), F.sum(F.when(F.col("alone"), k * k * F.col("places")).otherwise(0)).alias("n_alone"),
+        F.sum(F.when(F.col("publication_year") > CURRENT_YEAR - 5, k * k * F.col("places")).otherwise(0)).alias("n_recent"),
+    )
+    counts = F.sort_array(F.collect_list(F.when(F.col("num_cited").isNotNull(), F.struct(F.col("num_cited").cast("long").alias("c"), F.col("n").alias("n")))), asc=False)
+    return by_count.groupBy("author").agg(
+        F.sum("n").alias("n_articles"), F.coalesce(F.sum(F.col("n") * F.col("num_cited")), F.lit(0)).alias("citations"), F.round(F.sum("years") / F.sum("n_years"), 6).alias("avg_year"), (F.max("y1") - F.min("y0") + 1).alias("years_active"),
+        *(F.sum(c).alias(c) for c in ("n_first", "n_last", "n_alone", "n_recent")), F.sum(F.when(F.col("num_cited") >= 10, F.col("n")).otherwise(0)).alias("i10_index"), counts.alias("counts"),
+    )
+
+
+def _h(counts: str) -> Column:
+    """The most h such that h articles are cited h times or more: over the counts from above, the greatest of least(count, articles so far)."""
+    step = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), F.greatest(s["h"], F.least(x["c"], s["n"] + x["n"])).alias("h"))
+    return F.aggregate(counts, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("h")), step, lambda s: s["h"])
+
+
+def _g(counts: str) -> Column:
+    """The most g such that the g most cited articles together are cited g squared times or more: within equal counts c behind n articles of s citations, the greatest root of g * g <= s + (g - n) * c."""
+
+    def step(s: Column, x: Column) -> Column:
+        c = F.greatest(x["c"], F.lit(0).cast("long"))
+        root = F.floor((c + F.sqrt((c * c + 4 * (s["s"] - s["n"] * c)).cast("double"))) / 2)
+        g = F.least(root, s["n"] + x["n"])
+        return F.struct((s["n"] + x["n"]).alias("n"), (s["s"] + x["n"] * c).alias("s"), F.when(g > s["n"], g).otherwise(s["g"]).alias("g"))
+
+    return F.aggregate(counts, F.struct(*(F.lit(0).cast("long").alias(k) for k in ("n", "s", "g"))), step, lambda s: s["g"])
 
 
 def author_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return _author_articles(spark, folder).groupBy("author").agg(F.count("*").alias("n_articles"), F.coalesce(F.sum("num_cited"), F.lit(0)).alias("citations"), F.round(F.avg("publication_year"), 6).alias("avg_year"))
+    return _author_stats(spark, folder).select("author", "n_articles", "citations", "avg_year")
 
 
 def h_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The most h such that h articles are cited h times or more; an aggregate on ranks, null counts dropped."""
-    w = Window.partitionBy("author").orderBy(F.desc("num_cited"))
-    ranked = _author_articles(spark, folder).where("num_cited is not null").withColumn("r", F.row_number().over(w))
-    return ranked.groupBy("author").agg(F.count_if(F.col("num_cited") >= F.col("r")).alias("h_index"))
+    """The h-index of authors with a citation count."""
+    return _author_stats(spark, folder).where(F.size("counts") > 0).select("author", _h("counts").alias("h_index"))
 
 
 def g_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The most g such that the g most cited articles together are cited g squared times or more."""
-    w = Window.partitionBy("author").orderBy(F.desc("c"))
-    cum = _author_articles(spark, folder).where("num_cited is not null").withColumn("c", F.greatest("num_cited", F.lit(0))).withColumn("r", F.row_number().over(w)).withColumn("s", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return cum.groupBy("author").agg(F.coalesce(F.max(F.when(F.col("s") >= F.col("r") * F.col("r"), F.col("r"))), F.lit(0)).cast("long").alias("g_index"))
+    """The g-index of authors with a citation count."""
+    return _author_stats(spark, folder).where(F.size("counts") > 0).select("author", _g("counts").alias("g_index"))
 
 
 def i10_index(spark: SparkSession, folder: str) -> DataFrame:
-    return _author_articles(spark, folder).groupBy("author").agg(F.count_if(F.col("num_cited") >= 10).alias("i10_index"))
+    return _author_stats(spark, folder).select("author", "i10_index")
 
 
 def author_positions(spark: SparkSession, folder: str) -> DataFrame:
     """How often an author stands first, last and alone, and in the five latest years."""
-    a = articles(spark, folder)
-    b = author_bridge(a)
-    size = b.groupBy("article_id").agg(F.max("author_order").alias("last"), F.count("*").alias("n"))
-    j = b.join(size, "article_id").join(a.select(F.col("id").alias("article_id"), "publication_year"), "article_id")
-    return j.groupBy("author").agg(F.count_if(F.col("author_order") == 0).alias("n_first"), F.count_if(F.col("author_order") == F.col("last")).alias("n_last"), F.count_if(F.col("n") == 1).alias("n_alone"), F.count_if(F.col("publication_year") > CURRENT_YEAR - 5).alias("n_recent"))
+    return _author_stats(spark, folder).select("author", "n_first", "n_last", "n_alone", "n_recent")
 
 
 def author_rankings(spark: SparkSession, folder: str) -> DataFrame:
-    m, h, g, i = author_metrics(spark, folder), h_index(spark, folder), g_index(spark, folder), i10_index(spark, folder)
-    span = _author_articles(spark, folder).groupBy("author").agg((F.max("publication_year") - F.min("publication_year") + 1).alias("years_active"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    j = m.join(h, "author", "left").join(g, "author", "left").join(i, "author", "left").join(span, "author", "left").join(author_positions(spark, folder), "author", "left")
     productivity = F.round(F.when(F.col("years_active") > 0, F.col("n_articles") / F.col("years_active")).otherwise(F.col("n_articles").cast("double")), 6)
-    return j.select("author", "n_articles", "citations", "avg_year", zero("h_index"), zero("g_index"), zero("i10_index"), "years_active", "n_first", "n_last", "n_alone", "n_recent", productivity.alias("productivity"))
+    return _author_stats(spark, folder).select("author", "n_articles", "citations", "avg_year", _h("counts").alias("h_index"), _g("counts").alias("g_index"), "i10_index", "years_active", "n_first", "n_last", "n_alone", "n_recent", productivity.alias("productivity"))
 
 
 def author_kpis(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,13 +160,13 @@ def geo_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def status_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("included", "working", "rejected", "duplicate")))
+    return articles(spark, folder, "status").agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("included", "working", "rejected", "duplicate")))
 
 
 def articles_of_interest(spark: SparkSession, folder: str) -> DataFrame:
     """The ten papers outside the library that are used most, more than twice."""
     uses = links(spark, folder).groupBy("paper").agg(F.count("*").alias("uses")).where("uses > 2")
-    unmatched = papers(spark, folder).where("match_status = 'unmatched'").select(F.col("id").alias("paper")).distinct()
+    unmatched = table(spark, folder, "reference_papers").where("match_status = 'unmatched'").select(F.col("id").alias("paper")).distinct()
     return uses.join(unmatched, "paper", "left_semi").orderBy(F.desc("uses"), "paper").limit(10)
 
 
@@ -152,18 +180,18 @@ def uses_by_paper(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def language_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).groupBy(F.coalesce(F.lower(F.trim("language")), F.lit("")).alias("language")).agg(F.count("*").alias("n"))
+    return articles(spark, folder, "language").groupBy(F.coalesce(F.lower(F.trim("language")), F.lit("")).alias("language")).agg(F.count("*").alias("n"))
 
 
 def field_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How many of an article's fields are filled."""
     filled = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("abstract_text", "authors", "publication_year", "doi", "journal", "language", "num_cited")), F.lit(0))
-    return articles(spark, folder).select("id", filled.alias("n_fields")).distinct()
+    return table(spark, folder, "articles").select("id", filled.alias("n_fields")).distinct()
 
 
 def longest_article(spark: SparkSession, folder: str) -> DataFrame:
     size = F.length("title") + F.coalesce(F.length("abstract_text"), F.lit(0))
-    return articles(spark, folder).agg(F.coalesce(F.max(size), F.lit(0)).alias("max_chars"))
+    return table(spark, folder, "articles").agg(F.coalesce(F.max(size), F.lit(0)).alias("max_chars"))
 
 
 QUERIES = {

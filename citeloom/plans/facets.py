@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.operators.views import articles, links, papers
+from citeloom.operators.views import KEYS, articles, links, papers
 from citeloom.tables import table
 
 
@@ -62,16 +62,17 @@ class ArticleFilter:
             out.append(F.col("import_source").isin(list(self.sources)))
         return out
 
-    def apply(self, rows: DataFrame) -> DataFrame:
-        """The page of rows: filters that reach the scan, then the order with nulls last and the id as last key, then offset and limit."""
-        rows = rows.where(reduce(lambda x, y: x & y, self.predicates(), F.lit(True)))
+    def apply(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """The page of rows: filters that reach the scan, exact repeats once by the narrow key of articles, then the order with nulls last and the id as last key, then offset and limit."""
+        kept = rows.where(reduce(lambda x, y: x & y, self.predicates(), F.lit(True)))
+        once = kept.select(*dict.fromkeys((*KEYS["articles"], *columns, *([] if self.limit is None else [self.sort])))).distinct()
         if self.limit is None:
-            return rows
-        key = F.lower(self.sort) if dict(rows.dtypes)[self.sort] == "string" else F.col(self.sort)
-        return rows.orderBy(key.desc_nulls_last() if self.descending else key.asc_nulls_last(), "id").offset(self.offset).limit(self.limit)
+            return once.select(*columns)
+        key = F.lower(self.sort) if dict(once.dtypes)[self.sort] == "string" else F.col(self.sort)
+        return once.orderBy(key.desc_nulls_last() if self.descending else key.asc_nulls_last(), "id").offset(self.offset).limit(self.limit).select(*columns)
 
     def count(self, rows: DataFrame) -> DataFrame:
-        return rows.where(reduce(lambda x, y: x & y, self.predicates(), F.lit(True))).agg(F.count("*").alias("n"))
+        return rows.where(reduce(lambda x, y: x & y, self.predicates(), F.lit(True))).select(*KEYS["articles"]).distinct().agg(F.count("*").alias("n"))
 
 
 def parse_toolbar(text: str) -> ArticleFilter:
@@ -99,34 +100,34 @@ PAGE = ("id", "title", "publication_year", "status")
 
 def facet_query(spark: SparkSession, folder: str) -> DataFrame:
     f = ArticleFilter(statuses=["included", "working"], search="trial", year_from=2005, year_to=2020, author="a", sources=["openalex", "ris_import", "legacy_upload"])
-    return f.apply(articles(spark, folder)).select(*PAGE)
+    return f.apply(table(spark, folder, "articles"), PAGE)
 
 
 def facet_page(spark: SparkSession, folder: str) -> DataFrame:
-    return ArticleFilter(sort="title", descending=False, limit=50, offset=25).apply(articles(spark, folder)).select(*PAGE)
+    return ArticleFilter(sort="title", descending=False, limit=50, offset=25).apply(table(spark, folder, "articles"), PAGE)
 
 
 def facet_count(spark: SparkSession, folder: str) -> DataFrame:
-    return ArticleFilter(language=["en", "english", "eng"], journal="reviews").count(articles(spark, folder))
+    return ArticleFilter(language=["en", "english", "eng"], journal="reviews").count(table(spark, folder, "articles"))
 
 
 def facet_doi_empty(spark: SparkSession, folder: str) -> DataFrame:
-    return ArticleFilter(doi_empty=True).apply(articles(spark, folder)).select(*PAGE)
+    return ArticleFilter(doi_empty=True).apply(table(spark, folder, "articles"), PAGE)
 
 
 def facet_toolbar(spark: SparkSession, folder: str) -> DataFrame:
-    return parse_toolbar("y: 2010-2012").apply(articles(spark, folder)).select(*PAGE)
+    return parse_toolbar("y: 2010-2012").apply(table(spark, folder, "articles"), PAGE)
 
 
 def facet_all_of(spark: SparkSession, folder: str) -> DataFrame:
     """Papers that carry all of the wanted keywords, whatever their case: one grouped semi join for any number of keywords."""
     wanted = ["adult", "systematic review"]
-    words = papers(spark, folder).select("id", F.explode("keywords").alias("k")).select("id", F.lower(F.trim("k")).alias("k")).where(F.col("k").isin(wanted)).groupBy("id").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(wanted))
+    words = table(spark, folder, "reference_papers").select("id", F.explode("keywords").alias("k")).select("id", F.lower(F.trim("k")).alias("k")).where(F.col("k").isin(wanted)).groupBy("id").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(wanted))
     return words.select("id")
 
 
 def facet_none_of(spark: SparkSession, folder: str) -> DataFrame:
-    p = papers(spark, folder).select("id", "keywords")
+    p = table(spark, folder, "reference_papers").select("id", "keywords")
     has = p.where(F.exists("keywords", lambda k: F.lower(F.trim(k)).isin("adult", "humans"))).select("id")
     return p.select("id").distinct().join(has, "id", "left_anti")
 
@@ -134,22 +135,22 @@ def facet_none_of(spark: SparkSession, folder: str) -> DataFrame:
 def unknown_keywords(spark: SparkSession, folder: str) -> DataFrame:
     """Papers with a keyword that no raw reference has: array elements absent from a dimension, as an anti join."""
     known = table(spark, folder, "raw_references").select(F.explode("keywords").alias("k")).select(F.lower(F.trim("k")).alias("k")).distinct()
-    return papers(spark, folder).select("id", F.explode("keywords").alias("k")).select("id", F.lower(F.trim("k")).alias("k")).where("k <> ''").join(known, "k", "left_anti").select("id", "k").distinct()
+    return table(spark, folder, "reference_papers").select("id", F.explode("keywords").alias("k")).select("id", F.lower(F.trim("k")).alias("k")).where("k <> ''").join(known, "k", "left_anti").select("id", "k").distinct()
 
 
 def keyset_page(spark: SparkSession, folder: str) -> DataFrame:
     """The batch after a cursor: a range on the key, never an offset."""
-    return articles(spark, folder).where("status = 'working' and sequence_id > 100").orderBy("sequence_id", "id").limit(40).select("id", "sequence_id")
+    return articles(spark, folder, "status", "sequence_id").where("status = 'working' and sequence_id > 100").orderBy("sequence_id", "id").limit(40).select("id", "sequence_id")
 
 
 def multi_sort(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).orderBy(F.coalesce("num_cited", F.lit(-1)).desc(), F.col("publication_year").desc_nulls_last(), "id").limit(40).select("id", "num_cited", "publication_year")
+    return articles(spark, folder, "num_cited", "publication_year").orderBy(F.coalesce("num_cited", F.lit(-1)).desc(), F.col("publication_year").desc_nulls_last(), "id").limit(40).select("id", "num_cited", "publication_year")
 
 
 def paper_search(spark: SparkSession, folder: str) -> DataFrame:
     """Reference papers by text in title, abstract, DOI or journal, with their uses, most used first."""
     hit = reduce(lambda x, y: x | y, (F.lower(F.coalesce(c, F.lit(""))).contains("sleep") for c in ("title", "abstract_text", "doi", "journal")))
-    p = papers(spark, folder).where(hit & (F.col("match_status") == "unmatched")).select("id", "title").distinct()
+    p = table(spark, folder, "reference_papers").where(hit & (F.col("match_status") == "unmatched")).select("id", "title").distinct()
     uses = links(spark, folder).groupBy(F.col("paper").alias("id")).agg(F.count("*").alias("uses"))
     return p.join(uses, "id", "left").select("id", "title", F.coalesce("uses", F.lit(0)).alias("uses"))
 
@@ -158,12 +159,12 @@ def validation_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Records without title, abstract or authors, by message."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     errors = F.array_compact(F.array(F.when(blank("title"), "Missing title"), F.when(blank("abstract_text"), "Missing abstract"), F.when(F.coalesce(F.size("authors"), F.lit(0)) <= 0, "Missing authors")))
-    return papers(spark, folder).select("id", F.explode(errors).alias("message")).groupBy("message").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return papers(spark, folder, "title", "abstract_text", "authors").select("id", F.explode(errors).alias("message")).groupBy("message").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Articles that other articles are duplicates of: an IN list as a semi join."""
-    a = articles(spark, folder)
+    a = table(spark, folder, "articles").select("id", "title", "duplicate_of")
     return a.join(a.select(F.col("duplicate_of").alias("id")).where("id is not null"), "id", "left_semi").select("id", "title").distinct()
 
 

@@ -6,53 +6,49 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeloom.functions.text import SIGNIFICANT_STOP_WORDS
-from citeloom.operators.views import articles
+from citeloom.operators.views import articles, entries
 from citeloom.sources import bibtex, catalog, ris
 from citeloom.streaming import audit
 from citeloom.tables import table
 
 
-def entries(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "audit_entries").distinct()
-
-
 def activity_feed(spark: SparkSession, folder: str) -> DataFrame:
     """The hundred latest feed rows: entries as they are, imports grouped by their details."""
-    e = entries(spark, folder).where("ts is not null")
+    e = entries(spark, folder, "ts", "action", "details").where("ts is not null")
     single = e.where("action <> 'imported'").select("id", "ts", "action", "details", F.lit(1).alias("n"))
     grouped = e.where("action = 'imported'").groupBy("details").agg(F.min("id").alias("id"), F.min("ts").alias("ts"), F.count("*").alias("n")).select("id", "ts", F.lit("imported").alias("action"), "details", "n")
     return single.unionByName(grouped).orderBy(F.desc("ts"), "id").limit(100)
 
 
 def import_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return entries(spark, folder).where("action = 'imported'").groupBy("details").agg(F.min("ts").alias("ts"), F.count("*").alias("n"))
+    return entries(spark, folder, "action", "details", "ts").where("action = 'imported'").groupBy("details").agg(F.min("ts").alias("ts"), F.count("*").alias("n"))
 
 
 def feed_page(spark: SparkSession, folder: str) -> DataFrame:
     """The page before a time: a range on the key."""
-    return entries(spark, folder).where("ts < timestamp_ntz'2024-01-01 00:00:00'").orderBy(F.desc("ts"), "id").limit(50).select("id", "ts", "action")
+    return entries(spark, folder, "ts", "action").where("ts < timestamp_ntz'2024-01-01 00:00:00'").orderBy(F.desc("ts"), "id").limit(50).select("id", "ts", "action")
 
 
 def audit_latest(spark: SparkSession, folder: str) -> DataFrame:
     """Each article's latest entry; one aggregation."""
-    e = entries(spark, folder).where("article_id is not null and ts is not null")
+    e = table(spark, folder, "audit_entries").where("article_id is not null and ts is not null")
     return e.groupBy("article_id").agg(F.max(F.struct("ts", "id", "action")).alias("m")).select("article_id", "m.ts", "m.id", "m.action")
 
 
 def audit_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Entries by article title, cut at 55 characters, unknown articles under ''."""
-    t = articles(spark, folder).groupBy(F.col("id").alias("article_id")).agg(F.max(F.substring("title", 1, 55)).alias("title"))
-    return entries(spark, folder).join(t, "article_id", "left").groupBy(F.coalesce("title", F.lit("")).alias("title")).agg(F.count("*").alias("n"))
+    t = table(spark, folder, "articles").groupBy(F.col("id").alias("article_id")).agg(F.max(F.substring("title", 1, 55)).alias("title"))
+    return entries(spark, folder, "article_id").join(t, "article_id", "left").groupBy(F.coalesce("title", F.lit("")).alias("title")).agg(F.count("*").alias("n"))
 
 
 def audit_coalesce(spark: SparkSession, folder: str) -> DataFrame:
-    return audit.coalesced(entries(spark, folder))
+    return audit.coalesced(entries(spark, folder, "article_id", "action", "source", "ts", "to_status"))
 
 
 def late_entries(spark: SparkSession, folder: str) -> DataFrame:
     """How late entries are loaded, by action, in whole days."""
     days = F.datediff("loaded_at", "ts")
-    return entries(spark, folder).where("ts is not null and loaded_at is not null").groupBy("action").agg(F.count("*").alias("n"), F.count_if(days >= 1).alias("n_late"), F.max(days).alias("most_days"))
+    return entries(spark, folder, "ts", "loaded_at", "action").where("ts is not null and loaded_at is not null").groupBy("action").agg(F.count("*").alias("n"), F.count_if(days >= 1).alias("n_late"), F.max(days).alias("most_days"))
 
 
 def _record(a: DataFrame) -> DataFrame:
@@ -62,12 +58,12 @@ def _record(a: DataFrame) -> DataFrame:
 
 def ris_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Articles written as RIS and read again."""
-    return ris.parse_records(_record(articles(spark, folder))).select("id", "reference_type", "title", "publication_year", "doi", F.size("authors").alias("n_authors"), "journal").distinct()
+    return ris.parse_records(_record(table(spark, folder, "articles"))).select("id", "reference_type", "title", "publication_year", "doi", F.size("authors").alias("n_authors"), "journal").distinct()
 
 
 def bibtex_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Articles written as BibTeX, with unique keys, and read again."""
-    a = articles(spark, folder).groupBy("id").agg(F.max(F.struct("title", "publication_year", "doi", "authors", "journal")).alias("m")).select("id", "m.*")
+    a = table(spark, folder, "articles").groupBy("id").agg(F.max(F.struct("title", "publication_year", "doi", "authors", "journal")).alias("m")).select("id", "m.*")
     a = a.withColumn("key", bibtex.citation_key(F.col("authors"), F.col("publication_year"), F.col("title"), SIGNIFICANT_STOP_WORDS))
     a = bibtex.unique_keys(a, "key", ["id"])
     text = bibtex.write_entry(F.col("key"), F.lit("article"), {"author": F.array_join("authors", " and "), "title": F.col("title"), "journal": F.col("journal"), "year": F.col("publication_year").cast("string"), "doi": F.col("doi")})
@@ -76,19 +72,19 @@ def bibtex_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def citation_keys(spark: SparkSession, folder: str) -> DataFrame:
-    a = articles(spark, folder).select("id", "title", "publication_year", "authors").distinct()
+    a = table(spark, folder, "articles").select("id", "title", "publication_year", "authors")
     return a.select("id", bibtex.citation_key(F.col("authors"), F.col("publication_year"), F.col("title"), SIGNIFICANT_STOP_WORDS).alias("key")).distinct()
 
 
 def inverted_index_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     """Abstracts turned into inverted indexes and back: words between single blanks."""
-    a = articles(spark, folder).where(r"abstract_text rlike '\\S'").select("id", "abstract_text").distinct()
+    a = table(spark, folder, "articles").where(r"abstract_text rlike '\\S'").select("id", "abstract_text").distinct()
     return catalog.index_rows(a, "id", "abstract_text").select("id", catalog.abstract_of_index("abstract_inverted_index").alias("abstract_text"))
 
 
 def project_json(spark: SparkSession, folder: str) -> DataFrame:
     """Articles as the JSON objects of a project export, read again."""
-    a = articles(spark, folder).select("id", "sequence_id", "title", "publication_year", "num_cited")
+    a = table(spark, folder, "articles").select("id", "sequence_id", "title", "publication_year", "num_cited")
     text = catalog.to_camel(a).select(F.to_json(F.struct("*")).alias("j"))
     back = text.select(F.from_json("j", "id string, sequenceId bigint, title string, publicationYear int, numCited int").alias("x"))
     return back.select("x.id", F.col("x.sequenceId").alias("sequence_id"), "x.title", F.col("x.publicationYear").alias("publication_year"), F.col("x.numCited").alias("num_cited")).distinct()

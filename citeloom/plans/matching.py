@@ -11,75 +11,76 @@ from citeloom.operators.dedup import duplicate_pairs, greedy_groups, tiered_matc
 from citeloom.operators.graph import blocks_of_pairs
 from citeloom.operators.views import articles, author_bridge, links, papers
 from citeloom.session import cut
+from citeloom.tables import table
 
 
 def doi_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    return papers(spark, folder).select("id", normalize_doi("doi").alias("doi")).distinct()
+    return table(spark, folder, "reference_papers").select("id", normalize_doi("doi").alias("doi")).distinct()
 
 
 def title_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    return papers(spark, folder).select("id", normalize_title("title").alias("title_key"), (F.octet_length(normalize_title("title")) < 10).alias("short")).distinct()
+    return table(spark, folder, "reference_papers").select("id", normalize_title("title").alias("title_key"), (F.octet_length(normalize_title("title")) < 10).alias("short")).distinct()
 
 
 def journal_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    return papers(spark, folder).select("journal", normalize_journal("journal").alias("journal_key")).where("journal is not null").distinct()
+    return table(spark, folder, "reference_papers").select("journal", normalize_journal("journal").alias("journal_key")).where("journal is not null").distinct()
 
 
 def name_normalize(spark: SparkSession, folder: str) -> DataFrame:
     """Author keys, display forms and last names of all raw names."""
-    b = author_bridge(papers(spark, folder))
+    b = author_bridge(table(spark, folder, "reference_papers"))
     return b.select("raw_name", "author", author_display("raw_name").alias("display"), last_name("raw_name").alias("last_name")).distinct()
 
 
 def text_measures(spark: SparkSession, folder: str) -> DataFrame:
-    a = articles(spark, folder)
+    a = table(spark, folder, "articles")
     return a.select("id", (F.length("title") + F.coalesce(F.length("abstract_text"), F.lit(0))).alias("data_length"), estimate_tokens("abstract_text").alias("token_estimate"), is_english("language").alias("english"), snippet("abstract_text").alias("snippet"), slug("title").alias("slug")).distinct()
 
 
 def paper_labels(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).select("id", paper_label(F.col("authors"), F.col("publication_year")).alias("label")).distinct()
+    return table(spark, folder, "articles").select("id", paper_label(F.col("authors"), F.col("publication_year")).alias("label")).distinct()
 
 
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Keywords of the papers as terms: sanitized, in lower case, with their papers."""
-    k = papers(spark, folder).select("id", F.explode("keywords").alias("raw")).where("raw is not null").select("id", F.lower(sanitize_term("raw")).alias("term")).where("term <> ''")
+    k = papers(spark, folder, "keywords").select("id", F.explode("keywords").alias("raw")).where("raw is not null").select("id", F.lower(sanitize_term("raw")).alias("term")).where("term <> ''")
     return k.groupBy("term").agg(F.countDistinct("id").alias("n_papers"), F.count("*").alias("frequency"))
 
 
 def significant_word_counts(spark: SparkSession, folder: str) -> DataFrame:
-    a = articles(spark, folder).select("id", F.explode(significant_words("title")).alias("word"))
+    a = articles(spark, folder, "title").select("id", F.explode(significant_words("title")).alias("word"))
     return a.groupBy("word").agg(F.count("*").alias("frequency"), F.countDistinct("id").alias("n_articles"))
 
 
 def semi_exists(spark: SparkSession, folder: str) -> DataFrame:
-    return papers(spark, folder).join(links(spark, folder), F.col("id") == F.col("paper"), "left_semi").select("id").distinct()
+    return papers(spark, folder).join(table(spark, folder, "article_links").where("parent is not null"), F.col("id") == F.col("paper"), "left_semi")
 
 
 def anti_missing(spark: SparkSession, folder: str) -> DataFrame:
-    return papers(spark, folder).join(links(spark, folder), F.col("id") == F.col("paper"), "left_anti").select("id").distinct()
+    return papers(spark, folder).join(table(spark, folder, "article_links").where("parent is not null"), F.col("id") == F.col("paper"), "left_anti")
 
 
 def dois_in_library(spark: SparkSession, folder: str) -> DataFrame:
-    own = articles(spark, folder).select(normalize_doi("doi").alias("doi")).where("doi is not null")
-    return papers(spark, folder).select(normalize_doi("doi").alias("doi")).distinct().join(own, "doi", "left_semi")
+    own = table(spark, folder, "articles").select(normalize_doi("doi").alias("doi")).where("doi is not null")
+    return table(spark, folder, "reference_papers").select(normalize_doi("doi").alias("doi")).distinct().join(own, "doi", "left_semi")
 
 
 def references_of_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Each article's references, newest first, numbered."""
-    p = papers(spark, folder).groupBy(F.col("id").alias("paper")).agg(F.max_by("title", F.struct("updated_at", "title")).alias("title"), F.max("publication_year").alias("year"))
+    p = table(spark, folder, "reference_papers").groupBy(F.col("id").alias("paper")).agg(F.max_by("title", F.struct("updated_at", "title")).alias("title"), F.max("publication_year").alias("year"))
     w = Window.partitionBy("parent").orderBy(F.col("year").desc_nulls_last(), "title", "paper")
     return links(spark, folder).where("type = 1").join(p, "paper").select("parent", "paper", F.row_number().over(w).alias("n"))
 
 
 def tiered_matches(spark: SparkSession, folder: str) -> DataFrame:
-    return tiered_match(papers(spark, folder), articles(spark, folder))
+    return tiered_match(table(spark, folder, "reference_papers"), table(spark, folder, "articles"))
 
 
 def merge_survivor(spark: SparkSession, folder: str) -> DataFrame:
     """For each DOI the paper that stays: matched or imported ones first, then unmatched, then the oldest."""
     order = F.when(F.col("match_status").isin("matched", "imported"), 0).when(F.col("match_status") == "unmatched", 1).otherwise(2)
     w = Window.partitionBy("doi").orderBy(order, "created_at", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return papers(spark, folder).select("id", "match_status", "created_at", normalize_doi("doi").alias("doi")).where("doi is not null").select("id", "doi", F.first("id").over(w).alias("survivor")).distinct()
+    return papers(spark, folder, "match_status", "created_at", "doi").select("id", "match_status", "created_at", normalize_doi("doi").alias("doi")).where("doi is not null").select("id", "doi", F.first("id").over(w).alias("survivor")).distinct()
 
 
 def links_after_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,20 +91,18 @@ def links_after_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedup_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicate_pairs(articles(spark, folder))
+    return duplicate_pairs(table(spark, folder, "articles"))
 
 
 def dedup_greedy(spark: SparkSession, folder: str) -> DataFrame:
     """The pairs that a pass in id order keeps, replayed in each block of records that pairs connect by their smallest record."""
-    pairs = duplicate_pairs(articles(spark, folder))
+    pairs = duplicate_pairs(table(spark, folder, "articles"))
     pairs = cut(pairs)
     blocks = blocks_of_pairs(pairs).withColumnRenamed("node", "a")
     return pairs.join(blocks, "a").groupBy("block").applyInPandas(lambda df: greedy_groups(df), "a string, b string, kind string, score double")
 
 
 def doc_exact_dups(spark: SparkSession, folder: str) -> DataFrame:
-    from citeloom.tables import table
-
     d = table(spark, folder, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash")).distinct()
     return d.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.text import sanitize_term
 from citeloom.operators import graph
-from citeloom.operators.views import articles, author_bridge, links, papers
+from citeloom.operators.views import author_bridge, links
+from citeloom.tables import table
 
 
 def coauthor_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of authors by list position: shared articles, fractional weight 1 / pairs, the longest author list."""
-    b = author_bridge(articles(spark, folder)).select("article_id", "author_order", "author").distinct()
+    b = author_bridge(table(spark, folder, "articles")).select("article_id", "author_order", "author").distinct()
     n = b.groupBy("article_id").agg(F.count("*").alias("n")).where("n > 1")
     b = b.join(n, "article_id")
     x, y = b.toDF("article_id", "i", "x", "n"), b.select("article_id", F.col("author_order").alias("j"), F.col("author").alias("y"))
@@ -22,7 +23,7 @@ def coauthor_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def _cited(spark: SparkSession, folder: str, least: int) -> tuple[DataFrame, DataFrame]:
     """(parent, paper, c) of the references of library articles whose paper has least articles or more, filtered before any pair is made; (n) articles in scope."""
-    scope = articles(spark, folder).where("status in ('included', 'working', 'rejected')").select(F.col("id").alias("parent")).distinct()
+    scope = table(spark, folder, "articles").where("status in ('included', 'working', 'rejected')").select(F.col("id").alias("parent")).distinct()
     refs = links(spark, folder).where("type = 1").select("parent", "paper").join(scope, "parent", "left_semi")
     counts = refs.groupBy("paper").agg(F.count("*").alias("c")).where(F.col("c") >= least)
     return refs.join(counts, "paper"), refs.agg(F.countDistinct("parent").alias("n"))
@@ -61,7 +62,7 @@ def cocitation_heatmap(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _terms(spark: SparkSession, folder: str) -> DataFrame:
-    k = papers(spark, folder).select("id", "publication_year", F.explode("keywords").alias("raw")).where("raw is not null")
+    k = table(spark, folder, "reference_papers").select("id", "publication_year", F.explode("keywords").alias("raw")).where("raw is not null")
     return k.withColumn("term", F.lower(sanitize_term("raw"))).where("term <> ''").select("id", "publication_year", "term").distinct()
 
 
@@ -78,8 +79,8 @@ def keyword_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def _citations(spark: SparkSession, folder: str) -> DataFrame:
     """(src, dst): src cites dst, both library articles; a matched paper stands for its article."""
-    own = articles(spark, folder).select("id").distinct()
-    match = papers(spark, folder).where("matched_article_id is not null").select(F.col("id").alias("paper"), F.col("matched_article_id").alias("other")).distinct()
+    own = table(spark, folder, "articles").select("id").distinct()
+    match = table(spark, folder, "reference_papers").where("matched_article_id is not null").select(F.col("id").alias("paper"), F.col("matched_article_id").alias("other")).distinct()
     e = links(spark, folder).join(match, "paper").select(F.when(F.col("type") == 1, F.col("parent")).otherwise(F.col("other")).alias("src"), F.when(F.col("type") == 1, F.col("other")).otherwise(F.col("parent")).alias("dst")).where("src <> dst").distinct()
     return e.join(own.toDF("src"), "src", "left_semi").join(own.toDF("dst"), "dst", "left_semi").select("src", "dst")
 
@@ -89,7 +90,7 @@ def citation_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _years(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).groupBy("id").agg(F.max("publication_year").alias("year"))
+    return table(spark, folder, "articles").groupBy("id").agg(F.max("publication_year").alias("year"))
 
 
 def back_edges(spark: SparkSession, folder: str) -> DataFrame:

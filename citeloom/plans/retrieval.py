@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from citeloom.functions.stemming import stem
 from citeloom.functions.text import STOP_WORDS, strip_html, tokenize, tokenize_for_match
 from citeloom.operators import segments
-from citeloom.operators.views import articles
 from citeloom.tables import table
 
 QUERY = "sleep quality and blood pressure in rural clinics"
@@ -20,7 +19,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", "text", "article_id").distinct()
+    """The documents with text; doc_id is unique by the table's contract, so that nothing is shuffled to find repeats."""
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", "text", "article_id")
 
 
 def _postings(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +74,7 @@ def containment_best(spark: SparkSession, folder: str) -> DataFrame:
 
 def title_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of distinct titles whose word sets are 0.8 alike: candidates share one of their rarest words, as many as the threshold leaves open."""
-    t = articles(spark, folder).groupBy(F.array_join(F.array_sort(F.array_distinct(tokenize("title"))), " ").alias("key")).agg(F.min("id").alias("id")).where("key <> ''")
+    t = table(spark, folder, "articles").groupBy(F.array_join(F.array_sort(F.array_distinct(tokenize("title"))), " ").alias("key")).agg(F.min("id").alias("id")).where("key <> ''")
     words = t.select("id", F.explode(F.split("key", " ")).alias("w"))
     df = words.groupBy("w").agg(F.count("*").alias("df"))
     ranked = words.join(df, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
@@ -125,7 +125,7 @@ def embedding_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def expected_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The row of title and abstract that each article should have: chunk -1, with the hash of its text."""
     text = F.concat_ws("\n\n", F.trim("title"), F.when(F.trim("abstract_text") != "", F.trim("abstract_text")))
-    return articles(spark, folder).select(F.col("id").alias("article_id"), F.lit(-1).alias("chunk_index"), F.sha2(text, 256).alias("input_hash")).distinct()
+    return table(spark, folder, "articles").select(F.col("id").alias("article_id"), F.lit(-1).alias("chunk_index"), F.sha2(text, 256).alias("input_hash")).distinct()
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from citeloom.plans import all_queries, all_sql
@@ -22,3 +24,30 @@ def test_entry(spark):
 
     assert set(e.entry(spark).columns) == {"a", "b", "raw", "cosine", "jaccard", "pearson"}
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize(
+    ("name", "table", "columns"),
+    [
+        ("pubs_by_year", "articles", {"id", "import_source", "status", "publication_year"}),
+        ("kpi_bundle", "articles", {"id", "import_source", "status", "publication_year", "num_cited"}),
+        ("facet_query", "articles", {"id", "import_source", "status", "title", "abstract_text", "publication_year", "authors", "duplicate_of"}),
+        ("author_rankings", "articles", {"id", "import_source", "authors", "publication_year", "num_cited"}),
+        ("bm25_search", "documents", {"doc_id", "text"}),
+        ("keyset_page", "articles", {"id", "import_source", "status", "sequence_id"}),
+        ("semi_exists", "reference_papers", {"id"}),
+    ],
+)
+def test_scans_read_the_columns_used(spark, name, table, columns):
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = all_queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    read = set()
+    for line in plan.splitlines():
+        if f"/{table}.parquet" in line and "ReadSchema: struct<" in line:
+            schema = re.sub(r"array<[^<>]*>", "array", line.split("ReadSchema: struct<", 1)[1])
+            read |= {c.split(":")[0] for c in schema.rsplit(">", 1)[0].split(",")}
+    assert read == columns
