@@ -134,7 +134,7 @@ def claim_key(c: Column | str) -> Column:
 
 def year_colour(year: Column, first: Column, last: Column) -> Column:
     """The colour of a year between the first and last one, as #rrggbb."""
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (year - first) / (last - first)))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(year - first, last - first)))
     hexes = [F.lpad(F.lower(F.hex(F.floor(a + share * (b - a) + 0.5).cast("long"))), 2, "0") for a, b in zip(FIRST_COLOUR, LAST_COLOUR, strict=True)]
     plain = "#" + "".join(f"{x:02X}" for x in FIRST_COLOUR)
     return F.when(year.isNull(), NO_COLOUR).when(last <= first, plain).otherwise(F.concat(F.lit("#"), *hexes))

@@ -33,6 +33,13 @@ class ArticleFilter:
     descending: bool = True
     limit: int | None = None
     offset: int = 0
+    criterion: str | None = None
+    criteria_outside: Sequence[str] | None = None
+    criteria_empty: bool = False
+    exclusion_empty: bool = False
+    overridden: bool | None = None
+    screening_error: bool = False
+    notes: str | None = None
     extra: Sequence[Column] = field(default_factory=tuple)
 
     def predicates(self) -> list[Column]:
@@ -60,6 +67,28 @@ class ArticleFilter:
             out.append(F.lower(F.trim("language")).isin([x.lower() for x in self.language]))
         if self.sources is not None:
             out.append(F.col("import_source").isin(list(self.sources)))
+        out += self.assessment_predicates()
+        return out
+
+    def assessment_predicates(self) -> list[Column]:
+        """Those on the columns matched_inclusion and matched_exclusion (JSON arrays; what is no JSON counts as empty), screened, overridden and notes."""
+        array = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+        both = lambda: F.concat(array("matched_inclusion"), array("matched_exclusion"))
+        out: list[Column] = []
+        if self.criterion is not None:
+            out.append(F.array_contains(both(), self.criterion))
+        if self.criteria_outside is not None:
+            out.append(F.exists(both(), lambda x: ~x.isin(list(self.criteria_outside))))
+        if self.criteria_empty:
+            out.append(F.size(both()) == 0)
+        if self.exclusion_empty:
+            out.append(F.size(array("matched_exclusion")) == 0)
+        if self.overridden is not None:
+            out.append(F.col("overridden") == self.overridden)
+        if self.screening_error:
+            out.append((F.col("status") == "working") & F.col("screened"))
+        if self.notes:
+            out.append(F.lower(F.coalesce("notes", F.lit(""))).contains(self.notes.lower()))
         return out
 
     def apply(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
