@@ -70,36 +70,75 @@ def main_path(weights: DataFrame) -> DataFrame:
 
 
 def blocks_of_pairs(pairs: DataFrame) -> DataFrame:
-    """(node, block) of the ends of pairs(a, b): block is the smallest node that pairs connect with it, by passing minima on until none changes."""
-    both = cut(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("block")))
-    while True:
-        heard = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("block").alias("new"))
-        nxt = cut(label.join(heard, "node").select("node", F.least("block", "new").alias("block"), (F.col("new") < F.col("block")).alias("moved")))
-        moved = not is_empty(nxt.where("moved"))
-        label = nxt.drop("moved")
-        if not moved:
-            return label
-
+    """(node, block) of the ends of pairs(a, b): block is the smallest node that pairs connect with it.
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, community): local moving by modularity at resolution 1, in synchronous rounds on edges(src, dst, weight).
-
-    In a round the nodes of one half, chosen by hash, move to the neighbouring community of the greatest modularity gain, ties to the
-    smaller; the halves take turns, so that two neighbours don't swap for ever. Communities carry their smallest member's name.
+    Each round every node takes the least label about it, labels jump to their labels' labels, and pairs are drawn between labels, so
+    that chains shorten by half; it ends when no pair of different labels is left.
+    """
+    edges = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    label = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("block", F.col("node")))
+    while not is_empty(edges):
+        both = edges.union(edges.select("b", "a")).toDF("x", "y")
+        least = cut(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("to")))
+        jumped = cut(least.join(least.toDF("to", "far"), "to", "left").select("x", F.least("to", F.coalesce("far", "to")).alias("to")))
+        label = cut(label.join(jumped.withColumnRenamed("x", "block"), "block", "left").select("node", F.coalesce("to", "block").alias("block")))
+        at = lambda c: F.coalesce(f"{c}_to", c)
+        moved = edges.join(jumped.toDF("a", "a_to"), "a", "left").join(jumped.toDF("b", "b_to"), "b", "left").select(F.least(at("a"), at("b")).alias("a"), F.greatest(at("a"), at("b")).alias("b"))
+        edges = cut(moved.where("a <> b").distinct())
+    return label
+
+
+def modularity(both: DataFrame, label: DataFrame) -> float:
+    """The modularity at resolution 1 of label(u, k, c) on edges both(u, v, w) in both directions, loops once with double weight; one figure."""
+    total = label.agg(F.sum("k")).first()[0] or 1.0
+    inside = both.join(label.select("u", "c"), "u").join(label.select(F.col("u").alias("v"), F.col("c").alias("d")), "v").where("c = d").agg(F.sum("w")).first()[0] or 0.0
+    squares = label.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
+    return inside / total - squares / (total * total)
+
+
+def moved_locally(both: DataFrame) -> tuple[DataFrame, float]:
+    """(u, k, c), modularity: nodes moved between the communities about them until no round gains.
+
+    In a round one half of the nodes, chosen by a hash that changes, and then the other move to the neighbouring community of the
+    greatest gain, ties to the smaller; two rounds without a better modularity end it, and the best state is kept.
     """
-    e = edges.where("src <> dst")
-    both = cut(e.select("src", "dst", "weight").union(e.select(F.col("dst"), F.col("src"), "weight")).toDF("u", "v", "w").groupBy("u", "v").agg(F.sum("w").alias("w")))
     degree = cut(both.groupBy("u").agg(F.sum("w").alias("k")))
     total = degree.agg(F.sum("k")).first()[0] or 1.0
-    label = cut(degree.select("u", "k", F.col("u").cast("string").alias("c")))
-    for r in range(rounds):
+    label = cut(degree.select("u", "k", F.col("u").alias("c")))
+    best, most, idle, r = label, modularity(both, label), 0, 0
+    links = both.where("u <> v")
+    while idle < 2:
         size = label.groupBy("c").agg(F.sum("k").alias("tot"))
-        to = both.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("inside"))
         own = label.select("u", "k", F.col("c").alias("old"))
+        to = links.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("inside"))
+        to = to.unionByName(own.select("u", F.col("old").alias("c"), F.lit(0.0).alias("inside"))).groupBy("u", "c").agg(F.sum("inside").alias("inside"))
         gain = to.join(size, "c").join(own, "u").withColumn("gain", F.col("inside") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / F.lit(total))
-        best = gain.groupBy("u").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), "c")).alias("m")).select("u", F.col("m.c").alias("best"))
-        turn = F.pmod(F.xxhash64("u"), F.lit(2)) == r % 2
-        label = cut(label.join(best, "u", "left").select("u", "k", F.when(turn, F.coalesce("best", "c")).otherwise(F.col("c")).alias("c")))
-    names = label.groupBy("c").agg(F.min("u").alias("community"))
-    return label.join(names, "c").select(F.col("u").alias("node"), "community")
+        stay = F.when(F.col("c") == F.col("old"), 0).otherwise(1)
+        target = gain.groupBy("u").agg(F.min(F.struct((-F.round("gain", 9)).alias("g"), stay.alias("s"), "c")).alias("m")).select("u", F.col("m.c").alias("to"))
+        turn = F.pmod(F.xxhash64("u", F.lit(r // 2)), F.lit(2)) == r % 2
+        label = cut(label.join(target, "u").select("u", "k", F.when(turn, F.col("to")).otherwise(F.col("c")).alias("c")))
+        r += 1
+        if r % 2 == 0:
+            now = modularity(both, label)
+            best, most, idle = (label, now, 0) if now > most + 1e-9 else (best, most, idle + 1)
+    return best, most
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community): Louvain at resolution 1 on edges(src, dst, weight): local moves until none gains, communities contracted to nodes, and again until contraction gains nothing.
+
+    Communities carry their smallest member's name.
+    """
+    e = edges.where("src <> dst")
+    both = cut(e.select("src", "dst", "weight").union(e.select(F.col("dst"), F.col("src"), "weight")).toDF("u", "v", "w").groupBy("u", "v").agg(F.sum("w").alias("w")))
+    names, most = None, None
+    while True:
+        label, now = moved_locally(both)
+        if most is not None and now <= most + 1e-9:
+            break
+        most = now
+        small = label.groupBy("c").agg(F.min("u").alias("community"))
+        to = cut(label.join(small, "c").select("u", "community"))
+        names = to.toDF("node", "community") if names is None else cut(names.join(to.toDF("community", "up"), "community").select("node", F.col("up").alias("community")))
+        both = cut(both.join(to, "u").withColumnRenamed("community", "cu").join(to.toDF("v", "cv"), "v").groupBy("cu", "cv").agg(F.sum("w").alias("w")).toDF("u", "v", "w"))
+    return names

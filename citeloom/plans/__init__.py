@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("bibliometrics", "facets", "matching", "networks", "retrieval", "feeds", "fields", "library", "pages")
+MODULES: tuple[str, ...] = ("bibliometrics", "facets", "matching", "networks", "retrieval", "feeds", "fields", "library", "pages", "exchange")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

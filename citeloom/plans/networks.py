@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.text import sanitize_term
+from citeloom.functions.fields import term_form
+from citeloom.functions.text import sanitize_term, significant_words
 from citeloom.operators import graph
-from citeloom.operators.views import author_bridge, links
+from citeloom.operators.views import article_tags, author_bridge, links
 from citeloom.tables import table
 
 
@@ -136,6 +137,65 @@ def keyword_communities(spark: SparkSession, folder: str) -> DataFrame:
     return graph.communities(e)
 
 
+def citation_network(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges among included articles, and faint ones to papers that no article stands for."""
+    own = table(spark, folder, "articles").where("status = 'included'").select("id").distinct()
+    inner = _citations(spark, folder).join(own.toDF("src"), "src", "left_semi").join(own.toDF("dst"), "dst", "left_semi").select("src", "dst", F.lit(1.0).alias("weight"), F.lit(False).alias("unmatched"))
+    loose = table(spark, folder, "reference_papers").where("matched_article_id is null").select(F.col("id").alias("paper"))
+    outer = links(spark, folder).join(own.toDF("parent"), "parent", "left_semi").join(loose, "paper", "left_semi")
+    ends = F.when(F.col("type") == 0, F.col("paper")).otherwise(F.col("parent")).alias("src"), F.when(F.col("type") == 0, F.col("parent")).otherwise(F.col("paper")).alias("dst")
+    return inner.unionByName(outer.select(*ends, F.lit(0.1).alias("weight"), F.lit(True).alias("unmatched")).distinct())
+
+
+def citation_network_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """All included articles, and each paper without an article that is linked to one of them, once; a paper's counts stand for each other."""
+    a = table(spark, folder, "articles").where("status = 'included'").groupBy("id").agg(F.max("publication_year").alias("year"), F.max(F.coalesce("num_cited", F.lit(0))).alias("cited")).withColumn("unmatched", F.lit(False))
+    own = a.select(F.col("id").alias("parent"))
+    linked = links(spark, folder).join(own, "parent", "left_semi").select(F.col("paper").alias("id"))
+    p = table(spark, folder, "reference_papers").where("matched_article_id is null").groupBy("id").agg(F.max("publication_year").alias("year"), F.max(F.coalesce("reference_count", F.lit(0))).alias("cited")).join(linked, "id", "left_semi").withColumn("unmatched", F.lit(True))
+    return a.unionByName(p)
+
+
+def induced_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The citations between articles of a range of years and those without a year."""
+    nodes = _years(spark, folder).where("year is null or year between 2005 and 2015").select("id")
+    return _citations(spark, folder).join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi").select("src", "dst")
+
+
+def keyword_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of keywords, tags and titles together: articles and papers of each, its most frequent spelling and source, its mean year by occurrence."""
+    p = table(spark, folder, "reference_papers").select("id", "publication_year", F.explode("keywords").alias("raw")).withColumn("source", F.lit("metadata"))
+    a = table(spark, folder, "articles").select("id", "publication_year", "title").distinct()
+    tags = article_tags(spark, folder).join(a.select(F.col("id").alias("article_id"), "publication_year"), "article_id").select(F.col("article_id").alias("id"), "publication_year", F.col("tag").alias("raw"), F.lit("tags").alias("source"))
+    words = a.select("id", "publication_year", F.explode(significant_words("title")).alias("raw"), F.lit("title").alias("source"))
+    rows = p.unionByName(tags).unionByName(words).where("raw is not null").distinct().withColumn("term", term_form("raw")).where("term <> ''")
+    spelled = rows.groupBy("term", "raw", "source").agg(F.count("*").alias("n"), F.sum("publication_year").alias("y"), F.count("publication_year").alias("ny"))
+    labels = spelled.groupBy("term", "raw").agg(F.sum("n").alias("n")).groupBy("term").agg(F.min(F.struct((-F.col("n")).alias("n"), "raw"))["raw"].alias("label"))
+    modes = spelled.groupBy("term", "source").agg(F.sum("n").alias("n")).groupBy("term").agg(F.min(F.struct((-F.col("n")).alias("n"), "source"))["source"].alias("source"))
+    years = spelled.groupBy("term").agg(F.round(F.try_divide(F.sum("y"), F.sum("ny")), 6).alias("avg_year"))
+    weight = rows.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("weight")).where("weight >= 5")
+    return weight.join(labels, "term").join(modes, "term").join(years, "term")
+
+
+def term_years(spark: SparkSession, folder: str) -> DataFrame:
+    """How many papers carry the network's terms in each year, and whether it is the busiest."""
+    t = _terms(spark, folder).where("publication_year is not null")
+    shown = t.groupBy("term").agg(F.countDistinct("id").alias("n")).where("n >= 5").select("term")
+    years = t.join(shown, "term", "left_semi").groupBy("publication_year").agg(F.count("*").alias("n"))
+    top = years.agg(F.max(F.struct("n", (-F.col("publication_year")).alias("y"))).alias("m"))  # one row
+    return years.crossJoin(F.broadcast(top)).select("publication_year", "n", (F.col("publication_year") == -F.col("m.y")).alias("busiest"))
+
+
+def community_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """The forty most cited papers of the largest keyword community."""
+    c = keyword_communities(spark, folder)
+    top = c.groupBy("community").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "community").limit(1).select("community")
+    terms = c.join(F.broadcast(top), "community", "left_semi").select(F.col("node").alias("term"))  # one row
+    ids = _terms(spark, folder).join(terms, "term", "left_semi").select("id").distinct()
+    p = table(spark, folder, "reference_papers").groupBy("id").agg(F.max("citation_count").alias("cited"), F.max("publication_year").alias("year"))
+    return p.join(ids, "id", "left_semi").orderBy(F.coalesce("cited", F.lit(-1)).desc(), F.coalesce("year", F.lit(-1)).desc(), "id").limit(40)
+
+
 def top_collaborators(spark: SparkSession, folder: str) -> DataFrame:
     """Each author's five collaborators with most shared articles."""
     e = coauthor_edges(spark, folder).where("a <> b")
@@ -155,7 +215,7 @@ def circular_layout(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (coauthor_edges, cocitation_network, cocitation_nodes, cocitation_heatmap, keyword_nodes, keyword_edges, citation_edges, back_edges, ancestry, progeny, citation_levels, spc_weights, main_path, keyword_communities, top_collaborators, circular_layout)
+    for f in (coauthor_edges, cocitation_network, cocitation_nodes, cocitation_heatmap, keyword_nodes, keyword_edges, citation_edges, back_edges, ancestry, progeny, citation_levels, spc_weights, main_path, keyword_communities, top_collaborators, circular_layout, citation_network, citation_network_nodes, induced_edges, keyword_sources, term_years, community_articles)
 }
 
 from citeloom.plans.bibliometrics import A, B, L  # noqa: E402
@@ -191,3 +251,21 @@ SQL = {
       up as (select node, 1 as k, 0 as level from (select src as node from dag union select dst from dag) where node not in (select src from dag) union all select dag.src, up.k, up.level + 1 from up join dag on dag.dst = up.node)
       select src, dst, (ns.n * nt.n)::double as weight from dag join (select node, count(*) as n from dn group by 1) ns on ns.node = src join (select node, count(*) as n from up group by 1) nt on nt.node = dst""",
 }
+
+from citeloom.functions.text import SIGNIFICANT_STOP_WORDS  # noqa: E402
+
+FORM = r"regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(lower({}), '^[\s,.;:\[\]]+|[\s,.;:\[\]]+$', '', 'g'), '-_', '  '), '[\[\]\"'']', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+OWN = "own as (select distinct id from articles where status = 'included')"
+SQL |= {
+    "citation_network": f"with ce as ({SQL['citation_edges']}), {OWN} select src, dst, 1.0::double as weight, false as unmatched from ce where src in (select id from own) and dst in (select id from own) union all select distinct case when type = 0 then paper else parent end, case when type = 0 then parent else paper end, 0.1::double, true from article_links where parent in (select id from own) and paper in (select id from reference_papers where matched_article_id is null)",
+    "citation_network_nodes": f"with {OWN} select id, max(publication_year) as year, max(coalesce(num_cited, 0)) as cited, false as unmatched from articles where status = 'included' group by 1 union all select id, max(publication_year), max(coalesce(reference_count, 0)), true from reference_papers where matched_article_id is null and id in (select paper from article_links where parent in (select id from own)) group by 1",
+    "induced_edges": f"with ce as ({SQL['citation_edges']}), n as (select id from articles group by id having max(publication_year) is null or max(publication_year) between 2005 and 2015) select * from ce where src in (select id from n) and dst in (select id from n)",
+    "keyword_sources": rf"""with t as (select distinct article_id, tag from (select matched_article_id as article_id, lower(trim(unnest(keywords))) as tag from reference_papers where matched_article_id is not null) where tag <> ''), a as (select distinct id, publication_year, title from articles),
+      r as (select id, publication_year, unnest(keywords) as raw, 'metadata' as source from reference_papers union select article_id, publication_year, tag, 'tags' from t join a on a.id = article_id
+        union select id, publication_year, unnest(list_filter(regexp_split_to_array(lower(title), '[^\p{{L}}\p{{N}}]+'), lambda w: strlen(w) >= 4 and w not in ({', '.join(repr(x) for x in SIGNIFICANT_STOP_WORDS)}))), 'title' from a),
+      k as (select *, {FORM.format('raw')} as term from r where raw is not null), s as (select * from k where term <> ''),
+      l as (select term, first(raw order by n desc, raw) as label from (select term, raw, count(*) as n from s group by all) group by 1), m as (select term, first(source order by n desc, source) as source from (select term, source, count(*) as n from s group by all) group by 1)
+      select term, count(distinct id) as weight, any_value(label) as label, any_value(m.source) as source, round(avg(publication_year), 6) as avg_year from s join l using (term) join m using (term) group by 1 having count(distinct id) >= 5""",
+    "term_years": r"""with k as (select distinct id, publication_year, lower(regexp_replace(regexp_replace(regexp_replace(raw, '[\[\]\"'']', '', 'g'), '^[\s,.;:]+|[\s,.;:]+$', '', 'g'), '\s+', ' ', 'g')) as term from (select id, publication_year, unnest(keywords) as raw from reference_papers) where raw is not null), t as (select * from k where term <> '' and publication_year is not null),
+      y as (select publication_year, count(*) as n from t where term in (select term from t group by 1 having count(distinct id) >= 5) group by 1) select publication_year, n, publication_year = (select publication_year from y order by n desc, publication_year limit 1) as busiest from y""",
+}
