@@ -135,7 +135,7 @@ def claim_matches(spark: SparkSession, folder: str) -> DataFrame:
     c = _contained(spark, folder)
     f = finalists(spark, folder).join(c, ["item_id", "doc_id"])
     kind = F.when(F.col("score") >= 0.6, "supports").when(F.col("score") >= 0.45, "related")
-    kept = f.select("item_id", "doc_id", "rank", kind.alias("kind"), F.round((F.col("alike") + 1) / 2, 6).alias("confidence")).where("kind is not null")
+    kept = f.select("item_id", "doc_id", "rank", kind.alias("kind"), F.round((F.col("alike") + 1) / 2, 4).alias("confidence")).where("kind is not null")
     return kept.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))).where("r <= 10").select("item_id", "doc_id", "kind", "confidence")
 
 
@@ -299,7 +299,7 @@ dw as (select doc_id, list_distinct({SPLIT.format('text')}) as w from d), sh as
 co as (select * from (select item_id, doc_id, round(k / len(t), 6) as score, round(k / (len(list_distinct(t)) + len(w) - k), 6) as alike from sh join q using (item_id) join dw using (doc_id)) where score >= 0.3)"""
 FI = f"""{CO}, ra as (select *, row_number() over (partition by item_id order by score desc, doc_id) as ra, row_number() over (partition by item_id order by alike desc, doc_id) as rb from co),
 fi as (select item_id, doc_id, row_number() over (partition by item_id order by case when ra <= 15 then 0 else 1 end, case when ra <= 15 then ra else rb end) as rank from ra where ra <= 15 or rb <= 5)"""
-CM = f"{FI}, cm as (select item_id, doc_id, kind, confidence from (select *, row_number() over (partition by item_id order by rank) as r from (select fi.item_id, fi.doc_id, rank, case when score >= 0.6 then 'supports' when score >= 0.45 then 'related' end as kind, round((alike + 1) / 2, 6) as confidence from fi join co using (item_id, doc_id)) where kind is not null) where r <= 10)"
+CM = f"{FI}, cm as (select item_id, doc_id, kind, confidence from (select *, row_number() over (partition by item_id order by rank) as r from (select fi.item_id, fi.doc_id, rank, case when score >= 0.6 then 'supports' when score >= 0.45 then 'related' end as kind, round((alike + 1) / 2, 4) as confidence from fi join co using (item_id, doc_id)) where kind is not null) where r <= 10)"
 SHARE = "len(list_intersect([{}], {})) / {}".format(", ".join(repr(w) for w in QUERY.split() if w not in STOP_WORDS), "{}", len([w for w in QUERY.split() if w not in STOP_WORDS]))
 NORM = r"lower(regexp_replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
 DESIGN = "case when contains(lower({0}), 'randomised trial') or contains(lower({0}), 'trial') then 'trial' when contains(lower({0}), 'cohort') then 'cohort' when contains(lower({0}), 'case series') then 'case series' when contains(lower({0}), 'systematic review') or contains(lower({0}), 'review') then 'review' when contains(lower({0}), 'protocol') then 'protocol' when contains(lower({0}), 'modelling') then 'modelling' end"

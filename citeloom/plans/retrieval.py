@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from citeloom.functions.stemming import stem
 from citeloom.functions.text import STOP_WORDS, strip_html, tokenize, tokenize_for_match
 from citeloom.operators import segments
+from citeloom.operators.pages import similar_sets
+from citeloom.operators.vectors import dot, nearest, pooled
 from citeloom.tables import table
 
 QUERY = "sleep quality and blood pressure in rural clinics"
@@ -67,47 +69,46 @@ def containment_best(spark: SparkSession, folder: str) -> DataFrame:
     q = table(spark, folder, "eval_items").select("item_id", tokenize_for_match("text").alias("t"))
     size = q.select("item_id", F.size("t").alias("n"))
     d = documents(spark, folder).select("doc_id", F.explode(F.array_distinct(tokenize("text"))).alias("token"))
-    shared = d.join(F.broadcast(q.select("item_id", F.explode(F.array_distinct("t")).alias("token"))), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("k"))
+    shared = d.join(q.select("item_id", F.explode(F.array_distinct("t")).alias("token")), "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("k"))
     best = shared.groupBy("item_id").agg(F.max(F.struct("k", (-F.col("doc_id")).alias("d"))).alias("m"))
     return best.join(size, "item_id").select("item_id", (-F.col("m.d")).alias("doc_id"), F.round(F.col("m.k") / F.col("n"), 6).alias("score")).where("score >= 0.3")
 
 
 def title_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of distinct titles whose word sets are 0.8 alike: candidates share one of their rarest words, as many as the threshold leaves open."""
-    t = table(spark, folder, "articles").groupBy(F.array_join(F.array_sort(F.array_distinct(tokenize("title"))), " ").alias("key")).agg(F.min("id").alias("id")).where("key <> ''")
-    words = t.select("id", F.explode(F.split("key", " ")).alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(df, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    prefix = ranked.select("id", F.expr("slice(s, 1, size(s) - cast(ceil(0.8 * size(s)) as int) + 1)").alias("p"), F.transform("s", lambda x: x["w"]).alias("set")).select("id", "set", F.explode("p").alias("x")).select("id", "set", F.col("x.w").alias("w"))
-    pairs = prefix.toDF("a", "sa", "w").join(prefix.toDF("b", "sb", "w"), "w").where("a < b").dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", F.round(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")), 6).alias("jaccard")).where("jaccard >= 0.8")
+    """Pairs of distinct titles whose word sets are 0.8 alike, between the smallest articles of equal sets; title_sets has the others."""
+    t = _title_sets(spark, folder).groupBy("key").agg(F.min("id").alias("id"))
+    return similar_sets(t.select("id", F.split("key", " ").alias("s")), "id", "s", 0.8)
 
 
-def _dot(a: str, b: str) -> F.Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def title_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of each article by its title's word set: the smallest article with the same."""
+    t = _title_sets(spark, folder)
+    return t.join(t.groupBy("key").agg(F.min("id").alias("class_id")), "key").select("id", "class_id").distinct()
 
 
-def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "embeddings")
-    q = e.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    norm = lambda c: F.sqrt(_dot(c, c))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", "label", F.round(_dot("embedding", "q") / (norm("embedding") * norm("q")), 4).alias("score"))
+def _title_sets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "articles").select("id", F.array_join(F.array_sort(F.array_distinct(tokenize("title"))), " ").alias("key")).where("key <> ''").distinct()
+
+
+def _queries(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").where("vec_id % 100 = 0")
 
 
 def cosine_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(30)
+    """The thirty vectors nearest to each of the queries, which are the vectors whose id is divisible by 100."""
+    return nearest(table(spark, folder, "embeddings"), _queries(spark, folder), "vec_id", "embedding", 30).select("query", F.col("key").alias("vec_id"), "score")
 
 
 def max_pool_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """The best vector of each group, and its score."""
-    return _scored(spark, folder).groupBy("label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m")).select("label", F.col("m.score").alias("score"), (-F.col("m.v")).alias("vec_id"))
+    """For each query the best vector of each group, and its score."""
+    return nearest(table(spark, folder, "embeddings"), _queries(spark, folder), "vec_id", "embedding", 1, "label").select("query", F.col("group").cast("int").alias("label"), "score", F.col("key").alias("vec_id"))
 
 
 def mean_pool(spark: SparkSession, folder: str) -> DataFrame:
     """The mean vector of each group, at length 1."""
-    each = table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    norm = each.groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("norm"))
-    return each.join(norm, "label").select("label", "pos", F.round(F.col("m") / F.col("norm"), 6).alias("value"))
+    p = pooled(table(spark, folder, "embeddings"), ["label"], "embedding", F.lit(1))
+    length = F.sqrt(dot("vector", "vector"))
+    return p.select("label", F.posexplode(F.transform("vector", lambda x: F.try_divide(x, length))).alias("pos", "value")).select("label", "pos", F.round("value", 6).alias("value"))
 
 
 def stale_embeddings(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,6 +147,21 @@ def criteria_rank(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("article_id", "doc_id", F.round(score, 6).alias("score")).where("score > 0").withColumn("r", F.row_number().over(w)).where("r <= 2")
 
 
+def criteria_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each article the two chunks of at most 600 words in which the query's words are densest, those of Methods ahead by a quarter, within 2,400 words together."""
+    words = {w: QUERY.split().count(w) for w in QUERY.split() if w not in STOP_WORDS}
+    d = table(spark, folder, "documents").where("article_id is not null and text is not null").select("doc_id", "article_id")
+    c = segments.chunk_documents(table(spark, folder, "documents").where("article_id is not null"), "doc_id", "text").where("word_count <= 600").join(d, F.col("id") == F.col("doc_id"))
+    c = c.select("article_id", "doc_id", "chunk_index", "section", "word_count", tokenize("chunk").alias("t"))
+    count = lambda w: F.size(F.filter("t", lambda x: x == w))
+    hits = sum((F.lit(n) * count(w) for w, n in words.items()), F.lit(0))
+    score = hits / F.col("word_count") + F.when(F.col("section") == "Methods", 0.25).otherwise(0.0)
+    w = Window.partitionBy("article_id").orderBy(F.desc("score"), "doc_id", "chunk_index")
+    top = c.where(hits > 0).withColumn("score", F.round(score, 6)).withColumn("r", F.row_number().over(w)).where("r <= 2")
+    used = F.sum("word_count").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return top.withColumn("used", used).where("used <= 2400 or r = 1").select("article_id", "doc_id", "chunk_index", "score", "r")
+
+
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     """Of each article the documents, in order, that fit 3,000 characters together: a running sum."""
     d = documents(spark, folder).where("article_id is not null").withColumn("n", F.length("text"))
@@ -173,14 +189,14 @@ def page_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, bm25_search, stem_counts, containment_best, title_jaccard, cosine_topk, max_pool_recall, mean_pool, stale_embeddings, embedding_coverage, expected_rows, chunk_documents, captions, criteria_rank, context_budget, html_to_text, wikilinks, page_headers)
+    for f in (token_counts, bm25_search, stem_counts, containment_best, title_jaccard, title_sets, criteria_chunks, cosine_topk, max_pool_recall, mean_pool, stale_embeddings, embedding_coverage, expected_rows, chunk_documents, captions, criteria_rank, context_budget, html_to_text, wikilinks, page_headers)
 }
 
 SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
 STOP = ", ".join(repr(w) for w in STOP_WORDS)
 WORDS = ", ".join(repr(w) for w in QUERY.split() if w not in STOP_WORDS)
 D = f"d as (select distinct doc_id, text, article_id from documents where text is not null), tk as (select doc_id, article_id, {SPLIT.format('text')} as t from d), po as (select doc_id, len(t) as size, token, count(*) as tf from (select doc_id, t, unnest(t) as token from tk) group by doc_id, len(t), token)"
-SC = "q as (select embedding as q from embeddings order by vec_id limit 1), s as (select vec_id, label, round(list_cosine_similarity(embedding::double[], q::double[]), 4) as score from embeddings, q)"
+SC = "s as (select q.vec_id as query, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 4) as score from embeddings e, embeddings q where q.vec_id % 100 = 0)"
 HTML = r"regexp_replace(regexp_replace(text, '(?i)</?(?:p|div|br|h[1-6]|li|tr|table)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
 for _entity, _plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
     HTML = f"replace({HTML}, '{_entity}', '{_plain}')"
@@ -193,8 +209,9 @@ SQL = {
       u as (select distinct item_id, unnest(t) as token from q), x as (select item_id, doc_id, count(*) as k from u join po using (token) group by all), b as (select item_id, first(doc_id order by k desc, doc_id) as doc_id, max(k) as k from x group by 1)
       select item_id, doc_id, round(k / len(t), 6) as score from b join q using (item_id) where k / len(t) >= 0.3""",
     "title_jaccard": f"with k as (select array_to_string(list_sort(list_distinct({SPLIT.format('title')})), ' ') as key, min(id) as id from articles group by 1), s as (select id, string_split(key, ' ') as s from k where key <> ''), p as (select x.id as a, y.id as b, round(len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 6) as jaccard from s x join s y on x.id < y.id) select * from p where jaccard >= 0.8",
-    "cosine_topk": f"with {SC} select vec_id, score from s order by score desc, vec_id limit 30",
-    "max_pool_recall": f"with {SC} select label, max(score) as score, first(vec_id order by score desc, vec_id) as vec_id from s group by 1",
+    "cosine_topk": f"with {SC} select query, vec_id, score from (select *, row_number() over (partition by query order by score desc, vec_id) as r from s) where r <= 30",
+    "max_pool_recall": f"with {SC} select query, label, max(score) as score, first(vec_id order by score desc, vec_id) as vec_id from s group by query, label",
+    "title_sets": f"with t as (select distinct id, array_to_string(list_sort(list_distinct({SPLIT.format('title')})), ' ') as key from articles) select distinct id, min(id) over (partition by key) as class_id from t where key <> ''",
     "mean_pool": "with m as (select label, pos, avg(x) as m from (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as pos from embeddings) group by all) select label, pos, round(m / sqrt(sum(m * m) over (partition by label)), 6) as value from m",
     "stale_embeddings": r"select distinct article_id, chunk_index from embed_tasks t where regexp_matches(text, '\S') and not exists (select 1 from article_embeddings e where e.article_id = t.article_id and e.chunk_index = t.chunk_index and e.input_hash = sha256(t.text))",
     "embedding_coverage": "select model_name, dimensions, count(distinct article_id) as n_articles, count(distinct article_id || '#' || chunk_index) as n_vectors from article_embeddings where embedding is not null and len(embedding) = dimensions group by 1, 2",
