@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 
 from citeloom.session import widened
 
-#: Words of a window, bits in which two fingerprints may differ, blocks of the 64 bits. RADIUS < BLOCKS: two fingerprints within the radius agree on a block.
+#: Words of a passage's window, bits in which two of its fingerprints may differ, blocks of the 64 bits. Fewer bits than blocks: two fingerprints within the radius agree on a block.
 WINDOW, RADIUS, BLOCKS = 13, 3, 4
-#: Windows of items that are held against the corpus in one pass; more items take more passes.
-PASS_WINDOWS = 200_000
-#: Words of a text that are worked on at once.
-SLICE = 200_000
+#: The same for windows of the size of items. An item has those of the largest size of this row that it holds: SMALLEST, twice that, and so on.
+SMALLEST, ITEM_RADIUS, ITEM_BLOCKS = 24, 7, 8
+#: Words of a shingle, and the share of two windows' weight that must be common.
+SHINGLE, LEAST = 5, 0.8
+#: Windows of items that are held against the corpus in one pass, and bytes of items that the driver takes at once; more items take more passes.
+PASS_WINDOWS, ITEM_BYTES = 200_000, 64_000_000
+#: Words of texts that are worked on at once, windows whose candidates are listed at once, and pairs that are compared at once.
+SLICE, STEP, PAIRS = 200_000, 50_000, 4_000
 INLINE = re.compile(r"</?(?:[a-z]+:)?(?:b|i|u|em|strong|sub|sup|span|a|italic|bold|small|mark|font)(?:\s[^<>]*)?>", re.I)
 TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 HIDDEN = re.compile("[\xad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
@@ -51,140 +55,241 @@ def word_hashes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
     return out
 
 
-def fingerprints(hashes: np.ndarray) -> np.ndarray:
-    """SimHash of each window of WINDOW words: a bit is set where most of the words have it."""
-    n = len(hashes) - WINDOW + 1
+def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """SimHash of each window of words: a bit is set where most of the words have it."""
+    n = len(hashes) - window + 1
     if n < 1:
         return np.zeros(0, dtype=np.uint64)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     total = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
     np.cumsum(bits, axis=0, out=total[1:])
-    most = (total[WINDOW:] - total[:-WINDOW]) > WINDOW // 2
+    most = (total[window:] - total[:-window]) > window // 2
     return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """A number for each run of SHINGLE words; of a matrix, down its columns."""
+    out = np.zeros((max(0, len(hashes) - SHINGLE + 1), *hashes.shape[1:]), dtype=np.uint64)
+    for k in range(SHINGLE):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + len(out)]
+    return out
+
+
+@dataclass(frozen=True)
+class Weights:
+    """A shingle weighs less the more items have it; one that none or one has weighs 1. keys are sorted."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.ones(found.shape)
+        at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+        return np.where(self.keys[at] == found, self.values[at], 1.0)
+
+
 @dataclass(frozen=True)
 class Items:
-    """The windows of the held-out items: fingerprints, block tables, words, and the weight of each window."""
+    """Windows of one size of the held-out items: fingerprints, whose, words, block tables; where a window begins in its item; the weights of all shingles of an item."""
 
     prints: np.ndarray
     owner: np.ndarray
     hashes: np.ndarray
     order: tuple[np.ndarray, ...]
     starts: tuple[np.ndarray, ...]
-    weight: np.ndarray
-    total: dict[int, float]
+    begin: np.ndarray
+    spans: dict[int, np.ndarray]
+    window: int = WINDOW
+    radius: int = RADIUS
+
 
+def blocks(prints: np.ndarray, parts: int = BLOCKS) -> list[np.ndarray]:
+    bits = 64 // parts
+    return [((prints >> np.uint64(bits * b)) & np.uint64((1 << bits) - 1)).astype(np.int64) for b in range(parts)]
 
-def blocks(prints: np.ndarray) -> list[np.ndarray]:
-    return [((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64) for b in range(BLOCKS)]
 
+def item_window(n_words: int) -> int | None:
+    """The largest of the windows' sizes that an item holds; none for one under SMALLEST words."""
+    return SMALLEST << ((n_words // SMALLEST).bit_length() - 1) if n_words >= SMALLEST else None
 
-def index_items(items: list[tuple[int, str]]) -> list[Items]:
-    """Tables of at most PASS_WINDOWS windows (more only for an item that has more). A window weighs less the more items have it."""
+
+def index_items(items: list[tuple[int, str]], weights: Weights | None = None) -> list[Items]:
+    """Tables of at most PASS_WINDOWS windows (more only for an item that has more): of passages, and of the size of the items."""
     known: dict[str, int] = {}
     tokens = [(k, word_hashes(words(t), known)) for k, t in items]
-    seen: dict[bytes, set[int]] = {}
+    weights = weights or Weights(*item_weights(tokens))
+    tables = []
+    sizes = {WINDOW: tokens}
     for k, h in tokens:
-        for i in range(len(h) - WINDOW + 1):
-            seen.setdefault(h[i : i + WINDOW].tobytes(), set()).add(k)
-    tables, part, count = [], [], 0
-    for k, h in [*tokens, (None, None)]:
-        n = 0 if h is None else max(0, len(h) - WINDOW + 1)
-        if part and (h is None or count + n > PASS_WINDOWS):
-            tables.append(index_part(part, seen))
-            part, count = [], 0
-        if n:
-            part.append((k, h))
-            count += n
+        if (size := item_window(len(h))) is not None:
+            sizes.setdefault(size, []).append((k, h))
+    for size, of_size in sizes.items():
+        part, count = [], 0
+        for k, h in [*of_size, (None, None)]:
+            n = 0 if h is None else max(0, len(h) - size + 1)
+            if part and (h is None or count + n > PASS_WINDOWS):
+                tables.append(index_part(part, weights, size))
+                part, count = [], 0
+            if n:
+                part.append((k, h))
+                count += n
     return tables
 
 
-def index_part(part: list[tuple[int, np.ndarray]], seen: dict[bytes, set[int]]) -> Items:
-    prints = np.concatenate([fingerprints(h) for _, h in part])
-    owner = np.concatenate([np.full(len(h) - WINDOW + 1, k, dtype=np.int64) for k, h in part])
-    hashes = np.concatenate([np.lib.stride_tricks.sliding_window_view(h, WINDOW) for _, h in part])
-    weight = np.array([1 / len(seen[h.tobytes()]) for h in np.ascontiguousarray(hashes)])
-    keys = blocks(prints)
+def item_weights(tokens: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several items have, sorted, and one by how many."""
+    each = [np.unique(shingles(h)) for _, h in tokens]
+    keys, n = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
+    return keys[n > 1], 1 / n[n > 1]
+
+
+def index_part(part: list[tuple[int, np.ndarray]], weights: Weights, window: int) -> Items:
+    prints = np.concatenate([fingerprints(h, window) for _, h in part])
+    owner = np.concatenate([np.full(len(h) - window + 1, k, dtype=np.int64) for k, h in part])
+    hashes = np.concatenate([np.lib.stride_tricks.sliding_window_view(h, window) for _, h in part])
+    begin = np.concatenate([np.arange(len(h) - window + 1) for _, h in part])
+    parts, radius = (BLOCKS, RADIUS) if window == WINDOW else (ITEM_BLOCKS, ITEM_RADIUS)
+    keys = blocks(prints, parts)
     order = tuple(np.argsort(k, kind="stable") for k in keys)
-    starts = tuple(np.searchsorted(k[o], np.arange((1 << 16) + 1)) for k, o in zip(keys, order, strict=True))
-    total: dict[int, float] = {}
-    for k, w in zip(owner, weight, strict=True):
-        total[int(k)] = total.get(int(k), 0) + float(w)
-    return Items(prints, owner, hashes, order, starts, weight, total)
+    starts = tuple(np.searchsorted(k[o], np.arange((1 << (64 // parts)) + 1)) for k, o in zip(keys, order, strict=True))
+    return Items(prints, owner, hashes, order, starts, begin, {k: weights.of(shingles(h)) for k, h in part}, window, radius)
 
 
 def candidates(prints: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (corpus window, item window) of fingerprints at most RADIUS apart: all of them, each once."""
-    left, right = [], []
-    for b, key in enumerate(blocks(prints)):
-        lo, hi = items.starts[b][key], items.starts[b][key + 1]
-        n = hi - lo
-        i = np.repeat(np.arange(len(prints)), n)
-        j = items.order[b][np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())]
-        near = np.bitwise_count(prints[i] ^ items.prints[j]) <= RADIUS
-        left.append(i[near])
-        right.append(j[near])
-    pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+    """Pairs (corpus window, item window) of fingerprints at most the radius apart: all of them, each once."""
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for lo in range(0, len(prints), STEP):
+        some = prints[lo : lo + STEP]
+        for b, key in enumerate(blocks(some, len(items.order))):
+            first, last = items.starts[b][key], items.starts[b][key + 1]
+            n = last - first
+            i = np.repeat(np.arange(len(some)), n)
+            j = items.order[b][np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())]
+            near = np.bitwise_count(some[i] ^ items.prints[j]) <= items.radius
+            found.append(np.stack([i[near] + lo, j[near]], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
-def leaks(batches: Iterator[pd.DataFrame], tables: list[Items]) -> Iterator[pd.DataFrame]:
-    """From (id, text) the rows (id, item_id, n_windows, containment, n_near): windows shared word by word, their weight's share of the item, windows only near."""
+def similarities(left: np.ndarray, right: np.ndarray, weights: Weights) -> np.ndarray:
+    """The weight of the shingles that windows have in common, of all that either has, pair by pair of word windows."""
+    out = np.ones(len(left))
+    for lo in range(0, len(left), PAIRS):
+        a, b = left[lo : lo + PAIRS], right[lo : lo + PAIRS]
+        other = np.flatnonzero((a != b).any(axis=1))
+        if not len(other):
+            continue
+        n = a.shape[1] - SHINGLE + 1
+        sa, sb = (shingles(x[other].T).T for x in (a, b))
+        wa, wb = weights.of(sa), weights.of(sb)
+        both = np.zeros(len(other))
+        for k in range(n):
+            both += wa[:, k] * (sa[:, k : k + 1] == sb).any(axis=1)
+        # windows that differ are never wholly alike, though a shingle may be in them twice
+        out[lo + other] = np.minimum(both / np.maximum(wa.sum(axis=1) + wb.sum(axis=1) - both, 1e-12), 1 - 1e-9)
+    return out
+
+
+def leaks(batches: Iterator[pd.DataFrame], tables: list[Items], weights: Weights) -> Iterator[pd.DataFrame]:
+    """From (id, text) the rows (id, item_id, n_windows, containment, n_near, similarity).
+
+    Candidates come from the fingerprints, and each is verified by its shingles: windows of equal words count as shared, those of LEAST
+    or more as near; for windows of the size of the item the greatest similarity is kept. What a text shares is united over its slices.
+    """
     known: dict[str, int] = {}
     for batch in batches:
-        rows = []
-        size, parts, keys = 0, [], []
-
-        def flush(parts: list[np.ndarray], keys: list, rows: list) -> None:
-            if not parts:
-                return
-            # windows across two texts are left out
-            lengths = np.array([len(p) for p in parts])
-            owner = np.repeat(np.arange(len(parts)), lengths)
+        keys = batch["id"].tolist()
+        shared: dict[tuple[int, int], set[int]] = {}
+        near: dict[tuple[int, int], set[int]] = {}
+        alike: dict[tuple[int, int], float] = {}
+        spans: dict[int, np.ndarray] = {}
+
+        def look(parts: list[np.ndarray], rows: list[int], shared=shared, near=near, alike=alike, spans=spans) -> None:
+            owner = np.repeat(np.array(rows, dtype=np.int64), [len(p) for p in parts])
+            piece = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             h = np.concatenate(parts)
-            prints = fingerprints(h)
-            whole = owner[: len(prints)] == owner[WINDOW - 1 :] if len(prints) else np.zeros(0, bool)
-            at = np.flatnonzero(whole)
-            view = np.lib.stride_tricks.sliding_window_view(h, WINDOW) if len(prints) else None
+            prints: dict[int, np.ndarray] = {}
             for items in tables:
-                i, j = candidates(prints[at], items)
+                w = items.window
+                if w not in prints:
+                    prints[w] = fingerprints(h, w)
+                # windows across two texts are left out
+                at = np.flatnonzero(piece[: len(prints[w])] == piece[w - 1 :]) if len(prints[w]) else np.zeros(0, dtype=np.int64)
+                i, j = candidates(prints[w][at], items)
                 if not len(i):
                     continue
-                same = (view[at[i]] == items.hashes[j]).all(axis=1)
-                found: dict[tuple[int, int], tuple[set, int]] = {}
-                for w, jj, exact in zip(owner[at[i]], j, same, strict=True):
-                    got, near = found.get((int(w), int(items.owner[jj])), (set(), 0))
-                    if exact:
-                        got.add(int(jj))
-                    found[int(w), int(items.owner[jj])] = (got, near + (not exact))
-                for (w, item), (got, near) in found.items():
-                    rows.append((keys[w], item, len(got), float(items.weight[list(got)].sum() / items.total[item]), near))
-
-        for key, text in zip(batch["id"], batch["text"], strict=True):
+                view = np.lib.stride_tricks.sliding_window_view(h, w)
+                score = similarities(view[at[i]], items.hashes[j], weights)
+                kept = score >= LEAST
+                for row, jj, x in zip(owner[at[i[kept]]].tolist(), j[kept].tolist(), score[kept].tolist(), strict=True):
+                    pair = (row, int(items.owner[jj]))
+                    spans[pair[1]] = items.spans[pair[1]]
+                    alike[pair] = max(alike.get(pair, 0.0), x if w != WINDOW else 0.0)
+                    if w == WINDOW:
+                        (shared if x == 1 else near).setdefault(pair, set()).add(int(items.begin[jj]))
+
+        size, parts, rows = 0, [], []
+        longest = max([t.window for t in tables], default=WINDOW)
+        for row, text in enumerate(batch["text"]):
             h = word_hashes(words(text), known)
             for lo in range(0, max(1, len(h) - WINDOW + 1), SLICE):
-                piece = h[lo : lo + SLICE + WINDOW - 1]
-                if len(piece) < WINDOW:
-                    continue
-                parts.append(piece)
-                keys.append(key)
-                size += len(piece)
+                piece = h[lo : lo + SLICE + longest - 1]
+                if len(piece) >= WINDOW:
+                    parts.append(piece)
+                    rows.append(row)
+                    size += len(piece)
                 if size >= SLICE:
-                    flush(parts, keys, rows)
-                    size, parts, keys = 0, [], []
-        flush(parts, keys, rows)
-        yield pd.DataFrame(rows, columns=["id", "item_id", "n_windows", "containment", "n_near"])
+                    look(parts, rows)
+                    size, parts, rows = 0, [], []
+        if parts:
+            look(parts, rows)
+        out = []
+        for pair, best in alike.items():
+            weight = spans[pair[1]]
+            covered = np.zeros(len(weight), dtype=bool)
+            for b in shared.get(pair, ()):
+                covered[b : b + WINDOW - SHINGLE + 1] = True
+            out.append((keys[pair[0]], pair[1], len(shared.get(pair, ())), float(weight[covered].sum() / max(weight.sum(), 1e-12)), len(near.get(pair, set()) - shared.get(pair, set())), best))
+        yield pd.DataFrame(out, columns=["id", "item_id", "n_windows", "containment", "n_near", "similarity"])
+
+
+def shingle_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(part, h): the shingles of each item once, with the part that it is in."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        each = [(part, np.unique(shingles(word_hashes(words(text), known)))) for part, text in zip(batch["part"], batch["text"], strict=True)]
+        yield pd.DataFrame({"part": np.repeat([p for p, _ in each], [len(s) for _, s in each]).astype("int32"), "h": (np.concatenate([s for _, s in each]) if each else np.zeros(0, np.uint64)).view(np.int64)})
 
 
 def leaked_items(corpus: DataFrame, key: str, text: str, items: DataFrame) -> DataFrame:
-    """(id, item_id, n_windows, containment, n_near) of each text and each held-out item of which it holds WINDOW words in a row, or windows near to its own.
+    """(id, item_id, n_windows, containment, n_near, similarity) of each text and each held-out item that it holds passages of.
 
-    items(item_id, text) is a set of held-out texts, far smaller than the corpus: its windows are held against the corpus in passes of a
-    bounded size, without a shuffle of the corpus. Texts are read whole. Null, empty and short texts have no row; repeated rows count once.
+    n_windows of the item's windows of WINDOW words are in the text word by word; containment is the share of the item's shingle weight
+    in them; n_near more are LEAST alike; similarity is the greatest one of a window of the item's size, 0 below LEAST. items(item_id,
+    text) are held-out texts, taken in parts of about ITEM_BYTES and held against the corpus in passes of PASS_WINDOWS windows, without
+    a shuffle of the corpus; weights count all items. Texts are read whole. Null, empty and short texts have no row; repeated rows count once.
     """
-    held = sorted({(int(r[0]), r[1]) for r in items.select("item_id", "text").where("item_id is not null and text is not null").collect()})
-    tables = index_items(held)
+    held = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    n = max(1, -(-(held.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // ITEM_BYTES))
+    held = held.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(n)).cast("int"))
+    each = held.mapInPandas(shingle_rows, "part int, h long")
+    common = each.groupBy("h").agg(F.count("*").alias("n"), F.collect_set("part").alias("parts")).where("n > 1")
     rows = corpus.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    found = widened(rows).mapInPandas(lambda batches: leaks(batches, tables), f"id {dict(rows.dtypes)['id']}, item_id long, n_windows long, containment double, n_near long")
-    return found.groupBy("id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("containment").alias("containment"), F.max("n_near").alias("n_near"))
+    schema = f"id {dict(rows.dtypes)['id']}, item_id long, n_windows long, containment double, n_near long, similarity double"
+    wide, found = widened(rows), None
+    for part in range(n):
+        some = sorted((r[0], r[1]) for r in held.where(F.col("part") == part).select("item_id", "text").collect())
+        counts = common.where(F.array_contains("parts", part)).select("h", "n").toPandas()
+        h = counts["h"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(h)
+        weights = Weights(h[order], 1 / counts["n"].to_numpy(dtype=np.float64)[order])
+        tables = index_items(some, weights)
+        while tables or found is None:
+            one_pass, size = [], 0
+            while tables and (not one_pass or size + len(tables[0].prints) <= 2 * PASS_WINDOWS):
+                size += len(tables[0].prints)
+                one_pass.append(tables.pop(0))
+            got = wide.mapInPandas(lambda b, one=one_pass, w=weights: leaks(b, one, w), schema)
+            found = got if found is None else found.unionByName(got)
+    return found.groupBy("id", "item_id").agg(*(F.max(c).alias(c) for c in ("n_windows", "containment", "n_near", "similarity")))

@@ -75,6 +75,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("n_windows > 0").select(F.col("id").alias("doc_id"), "item_id")
 
 
+def p8_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a window of the size of an item, word by word or nearly, and how alike it is."""
+    found = leaked_items(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"))
+    return found.where("similarity > 0").select(F.col("id").alias("doc_id"), "item_id", "n_windows", F.round("containment", 6).alias("containment"), F.round("similarity", 6).alias("similarity"))
+
+
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents"), table(spark, folder, "source_targets"))
 
@@ -94,7 +100,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return restore_encodings(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "lang_samples")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p3_survivors, p4_found, p4_pairs, p5_found, p6_found, p7_found, p7_pieces, p8_found, p9_mixture, p9_shares, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p3_survivors, p4_found, p4_pairs, p5_found, p6_found, p7_found, p7_pieces, p8_found, p8_near, p9_mixture, p9_shares, p10_found, p10_restored)}
 
 _BASKETS = """
 with items as (

@@ -289,9 +289,67 @@ def test_split_files(spark, tmp_path):
     assert all(raw[b:e].decode() == p for b, e, p in zip(got["begin"], got["end"], got["piece"], strict=True))
 
 
+def test_split_files_keeps_broken_bytes_in_place(spark, tmp_path):
+    raw = "".join(f"Line {i} is größer. " for i in range(9_000)).encode()
+    raw = raw[:50_001] + b"\xff\xc3" + raw[50_001:120_000] + b"\x80\x80\x80" + raw[120_000:]
+    (tmp_path / "b.txt").write_bytes(raw)
+    got = splitting.split_files(spark, [str(tmp_path / "b.txt")], 1000, 50).toPandas().sort_values("piece_no")
+    assert list(got["piece_no"]) == list(range(len(got))) and got["end"].iloc[-1] == len(raw) and got["begin"].iloc[0] == 0
+    assert all(raw[b:e].decode("utf-8", "replace") == p for b, e, p in zip(got["begin"], got["end"], got["piece"], strict=True))
+    assert all(0 < e - b <= 250 for b, e in zip(got["begin"].iloc[1:], got["end"].iloc[:-1], strict=True))
+
+
+def test_pieces_of_the_tasks(spark):
+    """The pieces of each task cover its text, overlap, are within the limit and are numbered."""
+    texts = {(r["article_id"], r["chunk_index"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/embed_tasks.parquet").collect() if r["text"] and len(r["text"]) > 4000}
+    got = queries.p7_pieces(spark, "/root/testdata/sf0.01").toPandas().sort_values(["article_id", "chunk_index", "piece_no"])
+    of = {}
+    for r in got.itertuples():
+        of.setdefault((r.article_id, r.chunk_index), []).append(r)
+    assert len(of) == len({t[:2] for t in texts})
+    for a, c, text in texts:
+        ps = [p for p in of[a, c] if text[p.begin : p.end] == p.piece]
+        assert [p.piece_no for p in ps] == list(range(len(ps))) and ps[0].begin == 0 and ps[-1].end == len(text) and all(len(p.piece) <= 4000 for p in ps)
+        assert all(0 < x.end - y.begin <= 250 for x, y in zip(ps, ps[1:], strict=False))
+
+
 # 8 leakage
 
 
+def test_near_leaks_are_found(spark):
+    """Items planted with a word in forty changed: found where brute force over shingles says so."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    items = {i: [rng.choice(vocab) for _ in range(rng.randrange(50, 100))] for i in range(60)}
+    docs, planted = [], set()
+    for i, w in items.items():
+        changed = list(w)
+        changed[rng.randrange(20, 30)] = "zzz"
+        docs.append((i, " ".join(rng.choice(vocab) for _ in range(80)) + " " + " ".join(changed) + " tail"))
+        size = leakage.item_window(len(w))
+
+        def grams(x):
+            return {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+
+        best = max(len(grams(changed[k : k + size]) & grams(w[k : k + size])) / len(grams(changed[k : k + size]) | grams(w[k : k + size])) for k in range(len(w) - size + 1))
+        if best >= 0.8:
+            planted.add((i, i))
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string"))
+    found = {(r["id"], r["item_id"]) for r in got.where("similarity > 0").collect()}
+    assert len(planted) >= 25 and len(found & planted) >= 0.9 * len(planted) and all(a == b for a, b in found)
+
+
+def test_a_leak_in_several_slices_is_one(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(leakage, "SLICE", 400)
+    w = [f"w{i}" for i in range(60)]
+    tables = leakage.index_items([(1, " ".join(w))])
+    text = " ".join(w[:30] + [f"x{i}" for i in range(1500)] + w[30:])
+    out = next(leakage.leaks(iter([pd.DataFrame({"id": [9], "text": [text]})]), tables, leakage.Weights(np.zeros(0, np.uint64), np.zeros(0))))
+    assert out["n_windows"].tolist() == [36] and 0.9 < out["containment"][0] < 1
+
+
 def test_leaks_equal_brute_force(spark):
     item = "the quick brown fox jumps over the lazy dog while nine small cats watch from the old wooden fence today"
     w = item.split()
