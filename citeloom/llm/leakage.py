@@ -18,8 +18,9 @@ from citeloom.session import widened
 
 #: Words of a passage's window, bits in which two of its fingerprints may differ, blocks of the 64 bits. Fewer bits than blocks: two fingerprints within the radius agree on a block.
 WINDOW, RADIUS, BLOCKS = 13, 3, 4
-#: The same for windows of the size of items. An item has those of the largest size of this row that it holds: SMALLEST, twice that, and so on.
-SMALLEST, ITEM_RADIUS, ITEM_BLOCKS = 24, 7, 8
+#: The same for windows of the size of items. An item has those of the largest size of this row that it holds: SMALLEST, twice that, and so on;
+#: one begins at each SPACING-th part of the size, and one ends with the item. In a text a window begins at every word.
+SMALLEST, ITEM_RADIUS, ITEM_BLOCKS, SPACING = 24, 7, 8, 8
 #: Words of a shingle, and the share of two windows' weight that must be common.
 SHINGLE, LEAST = 5, 0.8
 #: Windows of items that are held against the corpus in one pass, and bytes of items that the driver takes at once; more items take more passes.
@@ -55,14 +56,18 @@ def word_hashes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
     return out
 
 
-def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How many of the words before each place have each bit."""
+    total = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
+    np.cumsum(np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, out=total[1:])
+    return total
+
+
+def fingerprints(hashes: np.ndarray, window: int = WINDOW, sums: np.ndarray | None = None) -> np.ndarray:
     """SimHash of each window of words: a bit is set where most of the words have it."""
-    n = len(hashes) - window + 1
-    if n < 1:
+    if len(hashes) < window:
         return np.zeros(0, dtype=np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    total = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
-    np.cumsum(bits, axis=0, out=total[1:])
+    total = bit_sums(hashes) if sums is None else sums
     most = (total[window:] - total[:-window]) > window // 2
     return np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
 
@@ -127,7 +132,7 @@ def index_items(items: list[tuple[int, str]], weights: Weights | None = None) ->
     for size, of_size in sizes.items():
         part, count = [], 0
         for k, h in [*of_size, (None, None)]:
-            n = 0 if h is None else max(0, len(h) - size + 1)
+            n = 0 if h is None or len(h) < size else len(window_begins(len(h), size))
             if part and (h is None or count + n > PASS_WINDOWS):
                 tables.append(index_part(part, weights, size))
                 part, count = [], 0
@@ -144,11 +149,18 @@ def item_weights(tokens: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[n > 1], 1 / n[n > 1]
 
 
+def window_begins(n_words: int, window: int) -> np.ndarray:
+    """Where the windows of an item begin: at every word for passages, spaced for those of its size."""
+    last = n_words - window
+    return np.arange(last + 1) if window == WINDOW else np.unique([*range(0, last + 1, window // SPACING), last])
+
+
 def index_part(part: list[tuple[int, np.ndarray]], weights: Weights, window: int) -> Items:
-    prints = np.concatenate([fingerprints(h, window) for _, h in part])
-    owner = np.concatenate([np.full(len(h) - window + 1, k, dtype=np.int64) for k, h in part])
-    hashes = np.concatenate([np.lib.stride_tricks.sliding_window_view(h, window) for _, h in part])
-    begin = np.concatenate([np.arange(len(h) - window + 1) for _, h in part])
+    begins = [window_begins(len(h), window) for _, h in part]
+    prints = np.concatenate([fingerprints(h, window)[b] for (_, h), b in zip(part, begins, strict=True)])
+    owner = np.concatenate([np.full(len(b), k, dtype=np.int64) for (k, _), b in zip(part, begins, strict=True)])
+    hashes = np.concatenate([np.lib.stride_tricks.sliding_window_view(h, window)[b] for (_, h), b in zip(part, begins, strict=True)])
+    begin = np.concatenate(begins)
     parts, radius = (BLOCKS, RADIUS) if window == WINDOW else (ITEM_BLOCKS, ITEM_RADIUS)
     keys = blocks(prints, parts)
     order = tuple(np.argsort(k, kind="stable") for k in keys)
@@ -209,11 +221,12 @@ def leaks(batches: Iterator[pd.DataFrame], tables: list[Items], weights: Weights
             owner = np.repeat(np.array(rows, dtype=np.int64), [len(p) for p in parts])
             piece = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
             h = np.concatenate(parts)
+            sums = bit_sums(h)
             prints: dict[int, np.ndarray] = {}
             for items in tables:
                 w = items.window
                 if w not in prints:
-                    prints[w] = fingerprints(h, w)
+                    prints[w] = fingerprints(h, w, sums)
                 # windows across two texts are left out
                 at = np.flatnonzero(piece[: len(prints[w])] == piece[w - 1 :]) if len(prints[w]) else np.zeros(0, dtype=np.int64)
                 i, j = candidates(prints[w][at], items)
