@@ -41,9 +41,15 @@ def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def name_forms(names: DataFrame) -> DataFrame:
+    """(raw, core, initial, given, second) of names(raw), as forms_and_neighbours has them."""
+    return forms_and_neighbours(names)[0]
+
+
+def forms_and_neighbours(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(raw, core, initial, given, second) of distinct raw names: the core is the rarest token, weighed over all distinct names.
 
     Tokens that stand as given names more often than as surnames, as commas, initials and the order of all names show it, or second parts of a hyphenated word, are cores only where a name has nothing else; the list of given names adds one vote. Names of initials alone have no row. An organisation has the initial '#' and, as core, a name for all its spellings.
+    Beside them, (a, b): all pairs of persons' cores and given names that are one error apart, which all later steps share.
     """
     parsed = cut(names.select("raw").distinct().mapInPandas(parse, "raw string, parts array<string>, joined array<string>, organisation boolean, surnames array<string>, givens array<string>"))
     parsed = cut(parsed.drop("organisation").join(hidden_organisations(parsed), "raw"))
@@ -60,19 +66,22 @@ def name_forms(names: DataFrame) -> DataFrame:
     rank = F.when(short | F.col("t").isin(common) | F.array_contains("joined", F.col("t")) | (F.col("g") + known > F.col("s")), 1).otherwise(0)
     cores = exploded.join(df, "t").groupBy("raw").agg(F.min(F.struct(rank.alias("rank"), "df", (-F.length("t")).alias("l"), F.col("t"))).alias("m")).select("raw", F.col("m.t").alias("core"))
     forms = cut(people.join(cores, "raw").mapInPandas(shape, "raw string, core string, initial string, given string, second string"))
-    forms = forms.join(right_givens(forms), ["core", "given"], "left").select("raw", "core", F.when(F.col("right") != "", F.substring("right", 1, 1)).otherwise(F.col("initial")).alias("initial"), F.coalesce("right", "given").alias("given"), "second")
-    return forms.union(organisations(parsed.where("organisation").select("raw", "parts")))
+    pairs = cut(near_tokens(forms.select(F.explode(F.array("core", "given")).alias("core"))))
+    forms = forms.join(right_givens(forms, pairs), ["core", "given"], "left").select("raw", "core", F.when(F.col("right") != "", F.substring("right", 1, 1)).otherwise(F.col("initial")).alias("initial"), F.coalesce("right", "given").alias("given"), "second")
+    return forms.union(organisations(parsed.where("organisation").select("raw", "parts"))), pairs
 
 
 def hidden_organisations(parsed: DataFrame) -> DataFrame:
     """(raw, organisation): an organisation also where no word says so, but all the name's words, two or more, are met in organisations more than in other names ('Noklanosi Sleep SG')."""
-    words = parsed.select("raw", "organisation", F.explode("parts").alias("t")).where(F.length("t") >= SHORTEST)
-    share = words.groupBy("t").agg((F.sum(F.col("organisation").cast("int")) * 2 > F.count("*")).alias("theirs")).where("theirs")
-    other = words.where("not organisation").join(share, "t", "left").groupBy("raw").agg((F.bool_and(F.col("theirs").isNotNull()) & (F.count("*") > 1)).alias("hidden"))
-    return parsed.join(other, "raw", "left").select("raw", (F.col("organisation") | F.coalesce("hidden", F.lit(False))).alias("organisation"))
+    long = F.filter("parts", lambda t: F.length(t) >= SHORTEST)
+    words = parsed.select("raw", "organisation", F.size(long).alias("size"), F.explode(long).alias("t"))
+    theirs = words.groupBy("t").agg((F.sum(F.col("organisation").cast("int")) * 2 > F.count("*")).alias("theirs")).where("theirs").select("t")
+    # a name of which every word is theirs has as many words left as it had
+    met = words.where("not organisation and size > 1").join(theirs, "t").groupBy("raw").agg((F.count("*") == F.max("size")).alias("hidden")).where("hidden")
+    return parsed.select("raw", "organisation").join(met, "raw", "left").select("raw", (F.col("organisation") | F.coalesce("hidden", F.lit(False))).alias("organisation"))
 
 
-def right_givens(forms: DataFrame) -> DataFrame:
+def right_givens(forms: DataFrame, pairs: DataFrame) -> DataFrame:
     """(core, given, right) of given names taken as slips of the pen: one error apart from a better supported one.
 
     A real given name is met with several surnames, a slip with one; the right one is met with the same surname, or with several others.
@@ -84,7 +93,7 @@ def right_givens(forms: DataFrame) -> DataFrame:
     a = support.where("cores = 1").select(F.col("given").alias("a"), F.col("n").alias("na"))
     b = support.select(F.col("given").alias("b"), F.col("cores").alias("cb"), F.col("n").alias("nb"))
     better = (F.col("cb") > 1) | (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.length("b") < F.length("a"))) | ((F.col("nb") == F.col("na")) & (F.length("b") == F.length("a")) & (F.col("b") < F.col("a")))
-    slips = cut(near_cores(a.select(F.col("a").alias("core")), names).join(a, "a").join(b, "b").where(better))
+    slips = cut(near_cores(a.select(F.col("a").alias("core")), names, pairs).join(a, "a").join(b, "b").where(better))
     mine = used.select("core", F.col("given").alias("a")).join(slips, "a").join(used.select("core", F.col("given").alias("b"), F.lit(True).alias("same")), ["core", "b"], "left")
     best = mine.where("same or cb >= 3").groupBy("core", "a").agg(F.max(F.struct(F.coalesce("same", F.lit(False)).alias("same"), "cb", "nb", "b")).alias("m"))
     return best.select("core", F.col("a").alias("given"), F.col("m.b").alias("right"))
@@ -191,20 +200,26 @@ def grams(cores: DataFrame) -> DataFrame:
     return every.join(df, "gram").groupBy("core").agg(F.slice(order, 1, DESTROYED + 1).alias("g")).select("core", F.explode("g").alias("x")).select("core", F.col("x.gram").alias("gram"), F.col("x.pos").alias("pos"))
 
 
-def near_cores(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) of different cores of left and right one error apart: two such share a gram of their prefixes, at most one place apart; cores under LEAST_TYPO letters share a deletion."""
-    every = cut(left.select("core").union(right.select("core")).distinct().where(F.length("core") >= LEAST_NEAR))
+def near_tokens(tokens: DataFrame) -> DataFrame:
+    """(a, b) of different tokens(core) one error apart, both ways: two such share a gram of their prefixes, at most one place apart; tokens under LEAST_TYPO letters share a deletion."""
+    every = cut(tokens.select("core").where(F.length("core") >= LEAST_NEAR).distinct())
     prefix = cut(grams(every.where(F.length("core") >= LEAST_TYPO)))
-    a = left.select("core").distinct().join(prefix, "core").select(F.col("core").alias("a"), "gram", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
-    b = right.select("core").distinct().join(prefix, "core").select(F.col("core").alias("b"), "gram", "pos")
-    long = a.join(b, ["gram", "pos"]).select("a", "b")
+    a = prefix.select(F.col("core").alias("a"), "gram", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
+    long = a.join(prefix.withColumnRenamed("core", "b"), ["gram", "pos"]).select("a", "b")
     # short ones one error apart are equal once a letter is left out of one or both
     without = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, F.length("core"))))
     less = every.where(F.length("core") <= LEAST_TYPO).select("core", F.explode(F.array_distinct(F.array_append(without, F.col("core")))).alias("less"))
-    x = left.select("core").distinct().join(less, "core").select(F.col("core").alias("a"), "less")
-    y = right.select("core").distinct().join(less, "core").select(F.col("core").alias("b"), "less")
-    brief = x.join(y, "less").where(F.least(F.length("a"), F.length("b")) < LEAST_TYPO).select("a", "b")
-    return long.union(brief).where((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") != F.col("b")) & near(F.col("a"), F.col("b"))).distinct()
+    brief = less.withColumnRenamed("core", "a").join(less.withColumnRenamed("core", "b"), "less").where(F.least(F.length("a"), F.length("b")) < LEAST_TYPO).select("a", "b")
+    # each pair is compared once
+    one_way = long.union(brief).where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)).distinct().where(near(F.col("a"), F.col("b")))
+    return one_way.select("a", "b").withColumn("x", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("x.a", "x.b")
+
+
+def near_cores(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b) of different cores of left and right one error apart, out of pairs, which holds all that there are, or is made here."""
+    if pairs is None:
+        pairs = near_tokens(left.select("core").union(right.select("core")))
+    return pairs.join(left.select(F.col("core").alias("a")), "a", "left_semi").join(right.select(F.col("core").alias("b")), "b", "left_semi")
 
 
 def agree(x: str, y: str) -> Column:
@@ -242,7 +257,7 @@ def certain(a: str, b: str, givens: Column) -> Column:
     return (F.least(F.length(a), F.length(b)) >= LEAST_TYPO) | givens
 
 
-def author_entities(authors: DataFrame, forms: DataFrame) -> DataFrame:
+def author_entities(authors: DataFrame, forms: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
     """(author_id, core, block, initial, given, second, entity) of authors(author_id, display_name, institution): entity is the smallest author_id of the person or organisation."""
     place = F.udf(institution_key, "string")
     rows = authors.where("author_id is not null and display_name is not null").select("author_id", F.col("display_name").alias("raw"), "institution").distinct()
@@ -252,7 +267,7 @@ def author_entities(authors: DataFrame, forms: DataFrame) -> DataFrame:
     nodes = cut(rows.groupBy("core", "initial").agg(F.countDistinct("author_id").alias("n"), filled("given").alias("givens"), filled("second").alias("seconds"), filled("place").alias("places")))
     # a core stands for the better supported one among those an error away, if all else that is known agrees
     people = nodes.where("initial <> '#'")
-    pairs = near_cores(people, people)
+    pairs = near_cores(people, people, neighbours)
     x = nodes.select(F.col("core").alias("a"), "initial", F.col("n").alias("na"), F.col("givens").alias("ga"), F.col("seconds").alias("sa"), F.col("places").alias("pa"))
     y = nodes.select(F.col("core").alias("b"), "initial", F.col("n").alias("nb"), F.col("givens").alias("gb"), F.col("seconds").alias("sb"), F.col("places").alias("pb"))
     better = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
@@ -270,7 +285,7 @@ def author_entities(authors: DataFrame, forms: DataFrame) -> DataFrame:
     return cut(rows.where("clear").select("author_id", "core", "block", "initial", "given", "second", F.col("least").alias("entity")).union(parted))
 
 
-def entity_of_names(found: DataFrame, forms: DataFrame) -> DataFrame:
+def entity_of_names(found: DataFrame, forms: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
     """(raw, entity) of the raw names that stand for one of the entities: by core, else by a core one error away; the other tokens must agree.
 
     Of several entities that agree, the one with the same given name, the same second initial, then most authors wins.
@@ -288,14 +303,14 @@ def entity_of_names(found: DataFrame, forms: DataFrame) -> DataFrame:
 
     same = pick(shapes.join(known, ["core", "initial"]))
     left = cut(shapes.where("initial <> '#'").join(known.select("core").distinct(), "core", "left_anti"))
-    pairs = near_cores(left, known.where("initial <> '#'"))
+    pairs = near_cores(left, known.where("initial <> '#'"), neighbours)
     sure = certain("core", "b", F.array_contains("givens", F.col("given")))
     typo = pick(left.join(pairs.select(F.col("a").alias("core"), "b"), "core").join(known.withColumnRenamed("core", "b"), ["b", "initial"]).where(sure))
     typo = cut(typo)
     # two spellings with an error each are two apart, but one apart from the right one, which may stand among the names
     hop = known.select("entity", "givens", "seconds", "n").dropDuplicates(["entity"]).join(typo.select(F.col("core").alias("b"), "initial", "entity").distinct(), "entity")
     rest = cut(left.join(typo.select("core", "initial", "given", "second"), ["core", "initial", "given", "second"], "left_anti"))
-    pairs = near_cores(rest, hop.select(F.col("b").alias("core")))
+    pairs = near_cores(rest, hop.select(F.col("b").alias("core")), neighbours)
     twice = pick(rest.join(pairs.select(F.col("a").alias("core"), "b"), "core").join(hop, ["b", "initial"]).where(sure))
     return forms.join(same.union(typo).union(twice), ["core", "initial", "given", "second"]).select("raw", "entity")
 
@@ -303,10 +318,11 @@ def entity_of_names(found: DataFrame, forms: DataFrame) -> DataFrame:
 def linked_names(references: DataFrame, authors: DataFrame) -> DataFrame:
     """(key_a, key_b): all pairs of author_ids of one person or organisation, and its smallest author_id with link_id#position of each author of the references that stands for it."""
     position = references.select("link_id", F.posexplode("authors").alias("pos", "raw")).where("link_id is not null and raw is not null")
-    position = position.select(F.concat("link_id", F.lit("#"), (F.col("pos") + 1).cast("string")).alias("key_b"), "raw").distinct()
-    forms = cut(name_forms(authors.select(F.col("display_name").alias("raw")).where("raw is not null").union(position.select("raw"))))
-    found = author_entities(authors, forms)
+    position = position.select(F.concat("link_id", F.lit("#"), (F.col("pos") + 1).cast("string")).alias("key_b"), "raw")
+    forms, near_pairs = forms_and_neighbours(authors.select(F.col("display_name").alias("raw")).where("raw is not null").union(position.select("raw")))
+    forms = cut(forms)
+    found = author_entities(authors, forms, near_pairs)
     ids = found.select("entity", "author_id").distinct()
     pairs = ids.join(ids.withColumnRenamed("author_id", "other"), "entity").where(F.col("author_id") < F.col("other")).select(F.col("author_id").alias("key_a"), F.col("other").alias("key_b"))
-    names = entity_of_names(found, forms)
+    names = entity_of_names(found, forms, near_pairs)
     return pairs.union(position.join(names, "raw").select(F.col("entity").alias("key_a"), "key_b")).distinct()
