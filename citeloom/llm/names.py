@@ -52,8 +52,8 @@ def forms_and_neighbours(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     Beside them, (a, b): all pairs of persons' cores and given names that are one error apart, which all later steps share.
     """
     parsed = cut(names.select("raw").distinct().mapInPandas(parse, "raw string, parts array<string>, joined array<string>, organisation boolean, surnames array<string>, givens array<string>"))
-    parsed = cut(parsed.drop("organisation").join(hidden_organisations(parsed), "raw"))
-    people = parsed.where("not organisation")
+    hidden = cut(hidden_organisations(parsed))
+    people = parsed.where("not organisation").join(hidden, "raw", "left_anti")
     exploded = people.select("raw", F.explode("parts").alias("t"), "joined", "surnames", "givens", F.size("parts").alias("size"))
     # one letter is a name only before a comma or in a script whose letters are words
     exploded = exploded.where((F.length("t") > 1) | (F.col("t") >= "\u2e80") | F.array_contains("surnames", F.col("t")))
@@ -68,17 +68,16 @@ def forms_and_neighbours(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     forms = cut(people.join(cores, "raw").mapInPandas(shape, "raw string, core string, initial string, given string, second string"))
     pairs = cut(near_tokens(forms.select(F.explode(F.array("core", "given")).alias("core"))))
     forms = forms.join(right_givens(forms, pairs), ["core", "given"], "left").select("raw", "core", F.when(F.col("right") != "", F.substring("right", 1, 1)).otherwise(F.col("initial")).alias("initial"), F.coalesce("right", "given").alias("given"), "second")
-    return forms.union(organisations(parsed.where("organisation").select("raw", "parts"))), pairs
+    return forms.union(organisations(parsed.where("organisation").union(parsed.where("not organisation").join(hidden, "raw", "left_semi")).select("raw", "parts"))), pairs
 
 
 def hidden_organisations(parsed: DataFrame) -> DataFrame:
-    """(raw, organisation): an organisation also where no word says so, but all the name's words, two or more, are met in organisations more than in other names ('Noklanosi Sleep SG')."""
+    """(raw) of organisations of which no word says so, but all words, two or more, are met in organisations more than in other names ('Noklanosi Sleep SG')."""
     long = F.filter("parts", lambda t: F.length(t) >= SHORTEST)
     words = parsed.select("raw", "organisation", F.size(long).alias("size"), F.explode(long).alias("t"))
     theirs = words.groupBy("t").agg((F.sum(F.col("organisation").cast("int")) * 2 > F.count("*")).alias("theirs")).where("theirs").select("t")
     # a name of which every word is theirs has as many words left as it had
-    met = words.where("not organisation and size > 1").join(theirs, "t").groupBy("raw").agg((F.count("*") == F.max("size")).alias("hidden")).where("hidden")
-    return parsed.select("raw", "organisation").join(met, "raw", "left").select("raw", (F.col("organisation") | F.coalesce("hidden", F.lit(False))).alias("organisation"))
+    return words.where("not organisation and size > 1").join(theirs, "t").groupBy("raw").agg(F.count("*").alias("n"), F.max("size").alias("size")).where("n = size").select("raw")
 
 
 def right_givens(forms: DataFrame, pairs: DataFrame) -> DataFrame:
