@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.functions.cleaning import trimmed_lower
-from citeloom.session import cut
+from citeloom.session import cut, widened
 
 #: Where the vocabulary files of the public tokenizers lie.
 TOKENIZERS = os.environ.get("CITELOOM_TOKENIZERS", "/opt/tokenizers")
@@ -80,9 +80,9 @@ def balance(last: bool):
 
 
 def tokenized(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, source, tokens) of documents with text: source in lower case without outer blanks. Null and blank texts and null ids are left out; repeated rows count once."""
+    """(doc_id, source, tokens) of documents with text: source in lower case without outer blanks. Null and blank texts and null ids are left out; repeated rows stay, texts are not shuffled."""
     file = path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    rows = documents.select("doc_id", trimmed_lower("source").alias("source"), "text").where(r"doc_id is not null and text rlike '\\S'").distinct()
+    rows = widened(documents.select("doc_id", trimmed_lower("source").alias("source"), "text").where(r"doc_id is not null and text rlike '\\S'"))
     return rows.mapInPandas(lambda b: count_tokens(b, file), f"doc_id {dict(rows.dtypes)['doc_id']}, source string, tokens long")
 
 
