@@ -169,6 +169,10 @@ def detect(batches: Iterator[pd.DataFrame], model: Model) -> Iterator[pd.DataFra
         yield pd.DataFrame(rows, columns=["id", "lang", "share", "confidence", "segments"])
 
 
+#: Blanks that do not make a placeholder longer.
+BLANKS = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def detect_languages(texts: DataFrame, key: str, text: Column | str, samples: DataFrame) -> DataFrame:
     """(id, lang, share, confidence, segments) of each text that holds more than a placeholder; id is key as a string.
 
@@ -178,8 +182,8 @@ def detect_languages(texts: DataFrame, key: str, text: Column | str, samples: Da
     model = train(samples.select("lang", "text").toPandas())
     raw = widened(texts.select(F.col(key).cast("string").alias("id"), (text if isinstance(text, Column) else F.col(text)).alias("text")).where("id is not null and text is not null"))
     rows = raw.select("id", F.regexp_replace(F.regexp_replace("text", MARKUP, " "), CUT_MARK, "").alias("text"))
-    # no placeholder is longer than this; the expressions that tell them from text are for short ones
-    rows = rows.where(((F.length("text") > 80) & F.col("text").rlike(r"\p{L}{2}")) | own_text("text").isNotNull())
+    # no placeholder has so many characters that are no blanks; the expressions that tell them from text are for shorter texts
+    rows = rows.where(((F.length(F.translate("text", BLANKS, "")) > 80) & F.col("text").rlike(r"\p{L}{2}")) | own_text("text").isNotNull())
     return rows.mapInPandas(lambda batches: detect(batches, model), "id string, lang string, share double, confidence double, segments array<array<int>>")
 
 

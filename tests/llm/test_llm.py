@@ -514,3 +514,9 @@ def test_encodings_on_edges(spark):
     assert set(got) == {1, 2, 7} and got[1]["restored"] == "The café-based sessions ran weekly." and got[2]["lost"] and got[7]["restored"].endswith("café-based sessions.")
     assert encodings.restore_encodings(df.limit(0), "doc_id", "text", s).count() == 0
     assert F is not None
+
+
+def test_padded_placeholders_have_no_language(spark):
+    s = spark.read.parquet(SAMPLES)
+    df = spark.createDataFrame([("a", "No abstract available" + " " * 200), ("b", "\n" * 100 + "N/A" + " " * 100), ("c", "The registry extract described sleep quality and blood pressure in rural clinics over several years.")], "id string, text string")
+    assert {r["id"] for r in language.detect_languages(df, "id", "text", s).collect()} == {"c"}
