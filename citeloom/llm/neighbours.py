@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from citeloom.session import cut
 
-#: Vectors of a model, by the order of their hash, on which its partitioning is fitted; every vector is indexed.
+#: Vectors of a model, or of a part of it, by the order of their hash, on which its partitioning is fitted; every vector is indexed.
 SAMPLE = 8192
-#: Vectors that a part should hold, and most parts that a classifier tells apart.
+#: Vectors that a part should hold, and most parts that one classifier tells apart; larger models have a second classifier in each part.
 PART, MOST_PARTS = 2048, 256
 #: A query goes to the likeliest parts until they hold this much of its probability, to LEAST_PROBES at least.
 MASS, LEAST_PROBES = 0.985, 3
@@ -130,23 +131,106 @@ def usable_vectors(rows: DataFrame) -> DataFrame:
     return v.where(F.col("vector").isNotNull() & (F.size("vector") == F.col("dimensions")) & sound).select("model", "key", "vector")
 
 
-def route(batches: Iterator[pd.DataFrame], routers: dict[str, Router | None]) -> Iterator[pd.DataFrame]:
+@dataclass(frozen=True)
+class Tree:
+    """The classifiers of a model: one for its parts, and one in each part where there are more than MOST_PARTS; none for a model of one part."""
+
+    root: Router | None
+    inner: dict[int, Router]
+
+    def home_parts(self, x: np.ndarray) -> np.ndarray:
+        return self.root.probabilities(x).argmax(axis=1)
+
+    def routes(self, x: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """The part that each vector is indexed in, and those in which its neighbours are looked for, the likeliest first."""
+        if self.root is None:
+            return np.zeros(len(x), np.int64), [[0]] * len(x)
+        p = self.root.probabilities(x)
+        order, take = likeliest(p)
+        if not self.inner:
+            return order[:, 0], [o[:n].tolist() for o, n in zip(order, take, strict=True)]
+        width = MOST_PARTS
+        at = [[] for _ in range(p.shape[1])]
+        for i, (o, n) in enumerate(zip(order, take, strict=True)):
+            for part in o[:n]:
+                at[part].append(i)
+        found: list[list[tuple[float, int]]] = [[] for _ in range(len(x))]
+        for part, rows in enumerate(at):
+            if rows:
+                inner = self.inner.get(part)
+                q = inner.probabilities(x[rows]) if inner is not None else np.ones((len(rows), 1))
+                deep, need = likeliest(q)
+                for r, i in enumerate(rows):
+                    found[i] += [(-float(p[i, part] * q[r, k]), part * width + int(k)) for k in deep[r, : need[r]]]
+        probes, home = [], np.zeros(len(x), np.int64)
+        for i, f in enumerate(found):
+            # at home in the likeliest part of the likeliest part, where the index is split as it was fitted
+            top = order[i, 0]
+            home[i] = next(part for _, part in sorted(f) if part // width == top)
+            f.sort()
+            total = np.cumsum([-a for a, _ in f])
+            n = int((total < MASS * total[-1]).sum()) + 1
+            probes.append([part for _, part in f[: max(n, LEAST_PROBES)]])
+        return home, probes
+
+
+def likeliest(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts by probability, and how many of them hold MASS, LEAST_PROBES at least."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    need = (np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) < MASS).sum(axis=1) + 1
+    return order, np.minimum(np.maximum(need, LEAST_PROBES), p.shape[1])
+
+
+def route(batches: Iterator[pd.DataFrame], trees: dict[str, Tree]) -> Iterator[pd.DataFrame]:
     """From (model, rep, vector) the parts of each vector: home is where it is indexed, probes where its neighbours are looked for."""
     for batch in batches:
         for model, part in batch.groupby("model", sort=False):
             x = unit(np.stack(part["vector"].to_numpy()))
-            router = routers[model]
-            if router is None:
-                home, probes = np.zeros(len(x), np.int64), [[0]] * len(x)
-            else:
-                p = router.probabilities(x)
-                order = np.argsort(-p, axis=1)
-                home = order[:, 0]
-                need = (np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) < MASS).sum(axis=1) + 1
-                probes = [o[: max(n, LEAST_PROBES)].tolist() for o, n in zip(order, need, strict=True)]
+            home, probes = trees[model].routes(x)
             yield pd.DataFrame({"model": model, "rep": part["rep"].to_numpy(), "vector": list(x), "home": home, "probes": probes})
 
 
+def planted(reps: DataFrame) -> dict[str, Tree]:
+    """The trees of all models, fitted on bounded samples: roots on the driver, inner classifiers by the executors, one task a part."""
+    trees: dict[str, Tree] = {}
+    wide: dict[str, int] = {}
+    for model, n in sorted(reps.groupBy("model").count().collect()):
+        parts = 1
+        while n / parts > PART:
+            parts *= 2
+        root = None
+        if parts > 1:
+            sample = reps.where(F.col("model") == model).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()
+            root = fit(unit(np.stack(sample["vector"].to_numpy())), min(parts, MOST_PARTS))
+        trees[model] = Tree(root, {})
+        if parts > MOST_PARTS:
+            wide[model] = min(parts // MOST_PARTS, MOST_PARTS)
+    if not wide:
+        return trees
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for model, part in batch.groupby("model", sort=False):
+                yield pd.DataFrame({"model": model, "part": trees[model].home_parts(unit(np.stack(part["vector"].to_numpy()))), "rep": part["rep"].to_numpy(), "vector": part["vector"].to_numpy()})
+
+    def grow(sample: pd.DataFrame) -> pd.DataFrame:
+        model, part = sample["model"].iloc[0], int(sample["part"].iloc[0])
+        x = unit(np.stack(sample.sort_values("rep")["vector"].to_numpy()))
+        parts = wide[model]
+        while parts > 1 and len(x) < 4 * parts:
+            parts //= 2
+        return pd.DataFrame({"model": [model], "part": [part], "router": [pickle.dumps(fit(x, parts) if parts > 1 else None)]})
+
+    part = reps.where(F.col("model").isin(list(wide))).mapInPandas(homes, "model string, part int, rep string, vector array<float>")
+    w = Window.partitionBy("model", "part").orderBy(F.xxhash64("rep"), "rep")
+    samples = part.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE).drop("r")
+    for r in samples.groupBy("model", "part").applyInPandas(grow, "model string, part int, router binary").toLocalIterator():
+        router = pickle.loads(bytes(r["router"]))
+        if router is not None:
+            trees[r["model"]].inner[r["part"]] = router
+    return trees
+
+
 def rank_blocks(k: int):
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """Of a block of queries and a block of indexed vectors: each query's k most similar ones, ties by key."""
@@ -183,19 +267,11 @@ def similar_vectors(vectors: DataFrame, k: int = 5) -> DataFrame:
     first = rows.select("class", "model", "key").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     reps = rows.join(first.where("r = 1").select("class", "key"), ["class", "key"]).select("model", F.col("class").alias("rep"), "vector")
     reps = cut(reps)
-    routers: dict[str, Router | None] = {}
-    for model, n in sorted(reps.groupBy("model").count().collect()):
-        parts = 1
-        while parts < MOST_PARTS and n / parts > PART:
-            parts *= 2
-        routers[model] = None
-        if parts > 1:
-            sample = reps.where(F.col("model") == model).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector").toPandas()
-            routers[model] = fit(unit(np.stack(sample["vector"].to_numpy())), parts)
-    routed = cut(reps.mapInPandas(lambda b: route(b, routers), "model string, rep string, vector array<float>, home long, probes array<long>"))
+    trees = planted(reps)
+    routed = cut(reps.mapInPandas(lambda b: route(b, trees), "model string, rep string, vector array<float>, home long, probes array<long>"))
     base = routed.select("model", F.col("home").alias("part"), "rep", "vector")
     asked = routed.select("model", F.explode("probes").alias("part"), "rep", "vector")
-    # one row for each part of each model: at most MOST_PARTS a model
+    # one row for each part of each model: at most the square of MOST_PARTS a model
     blocks = lambda df, name: df.groupBy("model", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     counts = F.broadcast(cut(blocks(base, "nb").join(blocks(asked.select("model", "part"), "nq"), ["model", "part"])))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

@@ -96,6 +96,26 @@ def test_learned_partitions_keep_recall(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_trees_of_partitions_keep_recall(spark, monkeypatch):
+    """More parts than one classifier tells apart: a second one in each part."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16))
+    x = (centres[rng.integers(0, 60, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
+    df = vectors(spark, [(f"a{i:04d}", 0, v.tolist(), 16, "h", "m", T0) for i, v in enumerate(x)])
+    monkeypatch.setattr(neighbours, "PART", 64)
+    monkeypatch.setattr(neighbours, "MOST_PARTS", 8)
+    reps = neighbours.usable_vectors(df).withColumn("rep", F.col("key"))
+    tree = neighbours.planted(reps)["m"]
+    assert tree.root is not None and len(tree.inner) > 4
+    u = neighbours.unit(x)
+    home, probes = tree.routes(u)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    near = np.argsort(-s, axis=1)[:, :5]
+    found = np.mean([home[j] in set(probes[i]) for i in range(len(x)) for j in near[i]])
+    assert found >= 0.9 and len(np.unique(home)) > 20 and np.mean([len(p) for p in probes]) < 0.7 * len(np.unique(home))
+
+
 def test_parts_are_balanced():
     x = neighbours.unit(np.random.default_rng(1).normal(size=(800, 8)))
     size = np.bincount(neighbours.balanced_parts(x, neighbours.neighbour_graph(x, 8), 8), minlength=8)
