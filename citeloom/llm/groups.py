@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.identifiers import doi_key, title_key
+from citeloom.llm.keys import doi_key, title_key
 from citeloom.session import cut, is_empty
 
 #: Pointer jumps in a round: each doubles the length of the chains that a round shortens.

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.cleaning import CUT_MARK, MARKUP, own_text, trimmed_lower
+from citeloom.llm.cleaning import CUT_MARK, MARKUP, own_text, trimmed_lower
 from citeloom.session import widened
 
 #: Hash buckets of trigrams and of single characters.

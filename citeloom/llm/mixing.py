@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.cleaning import trimmed_lower
+from citeloom.llm.cleaning import trimmed_lower
 from citeloom.session import cut, widened
 
 #: Where the vocabulary files of the public tokenizers lie.

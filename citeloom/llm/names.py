@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.names import FULL_FORM, ORGANISATION_WORDS, PARTICLES, WEAK_WORDS, given_names, institution_key, name_roles, tokens
+from citeloom.llm.spellings import FULL_FORM, ORGANISATION_WORDS, PARTICLES, WEAK_WORDS, given_names, institution_key, name_roles, tokens
 from citeloom.llm.groups import connected_groups
 from citeloom.session import cut
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.cleaning import trimmed_lower
+from citeloom.llm.cleaning import trimmed_lower
 from citeloom.session import cut
 
 #: Items of the dense bit matrix: the most frequent ones. A matrix of a batch of BATCH baskets takes HEAVY * BATCH / 8 bytes.

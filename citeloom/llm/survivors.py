@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.functions.cleaning import own_text, trimmed_lower
+from citeloom.llm.cleaning import own_text, trimmed_lower
 
 #: Rank of a source that is missing or not listed: after all that are.
 UNLISTED = 2**31 - 1
