@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from citeloom.functions import identifiers, text
-from citeloom.functions.names import given_names, institution_key, tokens
 from citeloom.functions.stemming import stem
 
 
@@ -10,24 +9,11 @@ def one(spark, column, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(column.alias("y")).first()["y"]
 
 
-@pytest.mark.parametrize(
-    ("raw", "key"),
-    [("https://doi.org/10.5001%2FAB.1", "10.5001/ab.1"), ("doi:10.5001/ab.1", "10.5001/ab.1"), ("DOI: 10.5001/AB.1.", "10.5001/ab.1"), (" doi.org/10.5001/ab.1 ", "10.5001/ab.1"), ("http://dx.doi.org/10.5001/ab.1", "10.5001/ab.1"), ("10.5001/a(b)", "10.5001/a(b)"), ("(10.5001/ab)", "10.5001/ab"), ("100%", None), ("none", None), ("", None), (None, None), ("10.5001/%zz", "10.5001/%zz")],
-)
-def test_doi_key(spark, raw, key):
-    assert one(spark, identifiers.doi_key("x"), raw) == key
-
-
 @pytest.mark.parametrize(("raw", "key"), [("https://doi.org/10.1/A", "10.1/a"), ("DOI:10.1/A", "10.1/a"), ("N/A", None), ("-", None), (None, None)])
 def test_normalize_doi(spark, raw, key):
     assert one(spark, identifiers.normalize_doi("x"), raw) == key
 
 
-@pytest.mark.parametrize(("raw", "key"), [("Soil - carbon: a trial.", "soilcarbonatrial"), ("Editorial", None), ("[Cover]", None), (None, None)])
-def test_title_key(spark, raw, key):
-    assert one(spark, identifiers.title_key("x"), raw) == key
-
-
 @pytest.mark.parametrize(("raw", "issn"), [("13665545 (ISSN)", "1366-5545"), ("1234567x", "1234-567X"), ("1234-5678; 1", "1234-5678"), ("9781234567890", ""), ("", "")])
 def test_issn(spark, raw, issn):
     assert one(spark, text.normalize_issn("x"), raw) == issn
@@ -56,18 +42,3 @@ def test_label(spark):
 @pytest.mark.parametrize(("word", "root"), [("running", "run"), ("relational", "relat"), ("happily", "happili"), ("ponies", "poni"), ("generously", "generous"), ("hopping", "hop"), ("hoping", "hope"), ("sensational", "sensat"), ("skies", "sky"), ("abilities", "abil"), ("cats", "cat")])
 def test_stem(word, root):
     assert stem(word) == root
-
-
-@pytest.mark.parametrize(
-    ("name", "core", "given"),
-    [("Prof. Henrietta T. Danbanzegre", "danbanzegre", ("h", "henrietta", "t")), ("Danbanzegre, HT", "danbanzegre", ("h", "", "t")), ("Bill van der Fossen", "fossen", ("w", "william", "")), ("FOSSEN, EV", "fossen", ("e", "", "v")), ("Fossen-Holt J", "fossen", ("j", "", ""))],
-)
-def test_names(name, core, given):
-    parts, joined, organisation = tokens(name)
-    assert core in parts and not organisation
-    assert given_names(parts, joined, core) == given
-
-
-def test_institutions():
-    assert len({institution_key(x) for x in ("University of Temesi", "Univ. Temesi", "Temesi Univ", "Temesi Institute")}) == 1
-    assert institution_key(None) == ""

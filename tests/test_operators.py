@@ -1,4 +1,5 @@
 import pandas as pd
+from pyspark.sql import functions as F
 
 from citeloom.operators import graph, segments
 from citeloom.operators.dedup import duplicate_pairs, greedy_groups
@@ -63,3 +64,96 @@ def test_toolbar():
     assert parse_toolbar("y: 2010-2012") == ArticleFilter(year_from=2010, year_to=2012)
     assert parse_toolbar("year: 2012-2010").search == "year: 2012-2010"
     assert parse_toolbar("a: Smith").author == "Smith" and parse_toolbar("doi:10.1/x").doi == "10.1/x" and parse_toolbar("plain").search == "plain"
+
+
+def rows(df):
+    return {tuple(r) for r in df.collect()}
+
+
+def test_journals_match_by_the_surest_tier(spark):
+    from citeloom.operators import library
+
+    index = spark.createDataFrame([("j1", "Soil Science", "1234-5678", "1111-1111"), ("j2", "Soil & Water", "2222-2222", "1234-5678"), ("j0", "soil science (print)", "", None)], "journal_id string, title string, issn string, eissn string")
+    records = spark.createDataFrame([("a", "12345678", None, "x"), ("b", None, "1234-5678", "x"), ("c", "2222-2222", "1111-1111", "x"), ("d", "bad", None, "SOIL SCIENCE"), ("e", None, None, None), ("f", None, None, "soil and water")], "id string, issn string, eissn string, journal string")
+    assert rows(library.match_journals(records, index)) == {("a", 1, "j1"), ("b", 3, "j2"), ("c", 1, "j2"), ("d", 5, "j0"), ("f", 5, "j2")}
+    assert library.match_journals(records, index.limit(0)).count() == 0
+    assert [r["title"] for r in library.search_journals(index, "soil").collect()] == ["Soil & Water", "Soil Science", "soil science (print)"]
+    assert [r["journal_id"] for r in library.search_journals(index, "1234-5678").collect()] == ["j2", "j1"]
+
+
+def test_records_keep_their_identity(spark):
+    from citeloom.operators import library
+
+    have = spark.createDataFrame([("p1", "10.1/a", "T"), ("p2", None, "U")], "id string, doi string, title string")
+    new = spark.createDataFrame([("n1", "10.1/a", "other"), ("n2", None, "U"), ("n4", "10.1/z", "W"), ("n3", "10.1/z", "V"), ("n5", None, None)], "n string, doi string, title string")
+    assert rows(library.identify(have, new, [F.col("doi"), F.col("title")], "n")) == {("n1", "p1", True), ("n2", "p2", True), ("n3", "n3", False), ("n4", "n3", False)}
+    up = library.upsert(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), spark.createDataFrame([("b", 2), ("b", 5), ("c", 3)], "k string, v int"), ["k"], "v")
+    assert rows(up) == {("a", 1), ("b", 5), ("c", 3)}
+
+
+def test_numbers_follow_the_order(spark):
+    from citeloom.operators import library
+
+    df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "x int").repartition(7)
+    got = sorted(library.numbered(df, [F.col("x").asc()], 10).collect(), key=lambda r: r["x"])
+    assert [r["sequence_id"] for r in got] == list(range(11, 1011))
+
+
+def test_capacity_and_finalists(spark):
+    from citeloom.operators import library
+
+    assert spark.range(1).select(library.fills_capacity(F.array(*(F.lit(x).cast("long") for x in (5, 8, 4, 1))), 10).alias("t")).first()["t"] == [True, False, True, True]
+    a = spark.createDataFrame([("g", i, 1.0 / (i + 1)) for i in range(30)], "g string, i int, s double")
+    b = spark.createDataFrame([("g", i, float(i)) for i in range(30)], "g string, i int, s double")
+    got = [r["i"] for r in library.finalists(a, b, "g", "i", "s").orderBy("rank").collect()]
+    assert got == [*range(15), 29, 28, 27, 26, 25]
+
+
+def test_similar_sets_equal_brute_force(spark):
+    import random
+
+    from citeloom.operators.pages import similar_sets
+
+    rng = random.Random(1)
+    sets = {i: sorted({f"w{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(1, 9))}) for i in range(120)}
+    df = spark.createDataFrame([(i, s) for i, s in sets.items()] + [(500, []), (501, None)], "id int, s array<string>")
+    for least in (0.5, 0.8):
+        want = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= least * len(set(sets[a]) | set(sets[b])) - 1e-9}
+        assert {(r["a"], r["b"]) for r in similar_sets(df, "id", "s", least).collect()} == want
+
+
+def test_pages(spark):
+    from citeloom.operators import pages
+
+    heads = spark.createDataFrame([("a", 1, "Head 1\nbody\nfoot"), ("a", 2, "Head 2\nHead 2\nfoot"), ("a", 3, "x\ny"), ("b", 1, "only")], "id string, page int, text string")
+    assert rows(pages.without_running_heads(heads)) == {("a", 1, "body"), ("a", 2, "Head 2"), ("a", 3, "x\ny"), ("b", 1, "")}
+    p = spark.createDataFrame([(1, "Sleep", "concept", ["sleep"], ["s1"]), (2, "sleep", "concept", ["x"], ["s9"]), (3, "other", "concept", ["q"], ["s1", "s2"]), (4, "more", "concept", ["z"], ["s2", "s1"]), (5, "sleep", "author", ["sleep"], ["s1"])], "place int, slug string, kind string, stems array<string>, sources array<string>")
+    assert rows(pages.page_duplicates(p)) == {(1, 2), (3, 4)} and rows(pages.consolidated(p)) == {(2, 1), (4, 3)}
+    assert pages.gfm_tables("a | b\nc | d\n\ntext\nx1   y1   z1\nx2   y2   z2")[1] == ["| a | b |\n| --- | --- |\n| c | d |", "| x1 | y1 | z1 |\n| --- | --- | --- |\n| x2 | y2 | z2 |"]
+    assert pages.within_budget("One two three. Four five six seven. Eight", 4) == ["One two three.", "Four five six seven.", "Eight"]
+    q = spark.createDataFrame([(["  B  two", "a one", "b TWO", "none", ""], "A one and b two")], "q array<string>, s string")
+    assert q.select(pages.grounded(F.col("q"), F.col("s")).alias("g")).first()["g"] == ["a one", "B  two"]
+
+
+def test_communities_of_two_cliques(spark):
+    from citeloom.operators.graph import blocks_of_pairs, communities
+
+    e = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "ab" for i in range(5) for j in range(i)] + [("a0", "b0", 0.5)]
+    got = {r["node"]: r["community"] for r in communities(spark.createDataFrame(e, "src string, dst string, weight double")).collect()}
+    assert len(set(got.values())) == 2 and len({got[f"a{i}"] for i in range(5)}) == 1
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("z1", "z2")]
+    assert {r["block"] for r in blocks_of_pairs(spark.createDataFrame(chain, "a string, b string")).collect()} == {"n000", "z1"}
+
+
+def test_nearest_equals_brute_force(spark):
+    import numpy as np
+
+    from citeloom.operators.vectors import nearest
+
+    x = np.random.default_rng(0).normal(size=(60, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(90, [0.0] * 5, 1), (91, None, 1), (92, [], 1)], "id long, v array<float>, g int")
+    u = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 4)
+    got = {(r["query"], r["key"]) for r in nearest(df, df.where("id < 4"), "id", "v", 5).collect()}
+    assert got == {(q, int(k)) for q in range(4) for k in sorted(range(60), key=lambda k: (-s[q, k], k))[:5]}
+    assert nearest(df, df.where("id < 4"), "id", "v", 1, "g").count() == 12
