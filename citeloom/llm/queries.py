@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five vectors most similar to each usable vector, nearest first."""
-    return similar_vectors(usable_vectors(table(spark, folder, "article_embeddings"))).select("model", "key", F.posexplode("neighbours").alias("rank", "x")).select("model", "key", "rank", F.col("x.key").alias("near_key"), F.col("x.sim").alias("similarity"))
+    return similar_vectors(usable_vectors(table(spark, folder, "article_embeddings"))).select("model", "key", F.posexplode("neighbours").alias("rank", "x")).select("model", "key", "rank", F.col("x.key").alias("near_key"), F.round("x.sim", 4).alias("similarity"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,7 +135,21 @@ ranked as (
   union all select paper_id, 'import_source', link_id, row_number() over (partition by paper_id order by rnk, made desc, link_id) from r where src is not null)
 """
 
+_VECTORS = """
+with l as (
+  select model_name as model, article_id || '#' || chunk_index as key, last(embedding order by written_at nulls first, input_hash nulls first) as v, last(dimensions order by written_at nulls first, input_hash nulls first) as d, last(embedding is null order by written_at nulls first, input_hash nulls first) as gone
+  from article_embeddings where article_id is not null and chunk_index is not null and model_name is not null group by all),
+u as (select model, key, v::double[] as v from l where not gone and len(v) = d and len(list_filter(v, lambda x: x <> 0)) > 0 and len(list_filter(v, lambda x: x is null or isnan(x))) = 0),
+s as (select a.model, a.key, b.key as near_key, list_cosine_similarity(a.v, b.v) as similarity from u a join u b on a.model = b.model and a.key <> b.key),
+r as (select *, row_number() over (partition by model, key order by round(similarity, 9) desc, near_key) as k from s)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _VECTORS + "select distinct least(key, near_key) as key_a, greatest(key, near_key) as key_b from r where k <= 5",
+    "p2_neighbours": _VECTORS + "select model, key, k - 1 as rank, near_key, round(similarity, 4) as similarity from r where k <= 5",
+    "p3_survivors": _SURVIVORS + """, v as (select r.paper_id, field_name, r.link_id, any_value(abstract_text) as own, any_value(citation_count)::varchar as citation_count, any_value(import_source) as import_source from ranked k join r on r.paper_id = k.paper_id and r.link_id = k.link_id where k = 1 group by all)
+      select m.paper_id, max(own) filter (field_name = 'abstract_text') as abstract_text, max(citation_count) filter (field_name = 'citation_count') as citation_count, max(import_source) filter (field_name = 'import_source') as import_source,
+      max(link_id) filter (field_name = 'abstract_text') as abstract_text_link, max(link_id) filter (field_name = 'citation_count') as citation_count_link, max(link_id) filter (field_name = 'import_source') as import_source_link from (select distinct paper_id from r) m left join v using (paper_id) group by 1""",
     "p3_found": _SURVIVORS + "select paper_id, field_name, link_id from ranked join many using (paper_id) where k = 1",
     "p7_found": "select distinct article_id, chunk_index from embed_tasks where length(text) > 4000",
     "p4_found": _BASKETS + "select field_name, item_a, item_b from lifted",
