@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeloom.llm.encodings import restore_encodings
 from citeloom.llm.groups import work_groups
+from citeloom.llm.keys import DOI_PREFIX
 from citeloom.llm.language import wrong_labels
 from citeloom.llm.leakage import leaked_items
 from citeloom.llm.mixing import mixture, shares
@@ -144,7 +145,18 @@ s as (select a.model, a.key, b.key as near_key, list_cosine_similarity(a.v, b.v)
 r as (select *, row_number() over (partition by model, key order by round(similarity, 9) desc, near_key) as k from s)
 """
 
+_PREFIX = DOI_PREFIX.replace("'", "''")
+_GROUPS = rf"""
+with recursive b as (select id, doi, title, true as paper from reference_papers union select id, doi, null, false from articles),
+d as (select *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url_decode(url_decode(doi)), '[\s\x{{00A0}}\x{{00AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]+', '', 'g'), '^[<\[(\"''{{]+', ''), '{_PREFIX}', ''), '[.,;:\]\"''}}>/]+$', '') as t from b),
+e as (select *, lower(case when contains(t, '(') then t else regexp_replace(t, '[)\].,;:\"''}}>/]+$', '') end) as k, regexp_replace(lower(title), '[^\p{{L}}\p{{M}}\p{{N}}]+', '', 'g') as n from d),
+x as (select distinct id, 'd' || k as key from e where regexp_matches(k, '^10\.\d{{2,9}}(?:\.\d+)*/\S+$') union select id, 't' || n from e where paper and strlen(n) >= 10),
+h as (select id, min(id) over (partition by key) as hub from x), y as (select id as a, hub as b from h where id <> hub union select hub, id from h where id <> hub),
+r(id, seen) as (select distinct a, a from y union select r.id, y.b from r join y on r.seen = y.a)
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": _GROUPS + "select id as record_id, min(seen) as group_id from r group by 1",
     "p2_found": _VECTORS + "select distinct least(key, near_key) as key_a, greatest(key, near_key) as key_b from r where k <= 5",
     "p2_neighbours": _VECTORS + "select model, key, k - 1 as rank, near_key, round(similarity, 4) as similarity from r where k <= 5",
     "p3_survivors": _SURVIVORS + """, v as (select r.paper_id, field_name, r.link_id, any_value(abstract_text) as own, any_value(citation_count)::varchar as citation_count, any_value(import_source) as import_source from ranked k join r on r.paper_id = k.paper_id and r.link_id = k.link_id where k = 1 group by all)
