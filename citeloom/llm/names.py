@@ -59,7 +59,8 @@ def forms_and_neighbours(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     exploded = exploded.where((F.length("t") > 1) | (F.col("t") >= "\u2e80") | F.array_contains("surnames", F.col("t")))
     known = F.when(F.col("t").isin(list(FULL_FORM)), 1).otherwise(0)
     stands = lambda c: F.sum(F.array_contains(c, F.col("t")).cast("int"))
-    df = exploded.groupBy("t").agg(F.count("*").alias("df"), stands("surnames").alias("s"), stands("givens").alias("g"))
+    # written, so that its size is known: a small vocabulary is joined without a shuffle of the names
+    df = cut(exploded.groupBy("t").agg(F.count("*").alias("df"), stands("surnames").alias("s"), stands("givens").alias("g")))
     common = list({*ORGANISATION_WORDS, *WEAK_WORDS, *PARTICLES})
     # a word of one or two letters is weak beside longer ones, unless it stands as a surname
     short = (F.length("t") < 3) & (F.col("t") < "\u2e80") & (F.col("size") > 1) & (F.col("s") <= F.col("g"))
@@ -67,7 +68,7 @@ def forms_and_neighbours(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     cores = exploded.join(df, "t").groupBy("raw").agg(F.min(F.struct(rank.alias("rank"), "df", (-F.length("t")).alias("l"), F.col("t"))).alias("m")).select("raw", F.col("m.t").alias("core"))
     forms = cut(people.join(cores, "raw").mapInPandas(shape, "raw string, core string, initial string, given string, second string"))
     pairs = cut(near_tokens(forms.select(F.explode(F.array("core", "given")).alias("core"))))
-    forms = forms.join(right_givens(forms, pairs), ["core", "given"], "left").select("raw", "core", F.when(F.col("right") != "", F.substring("right", 1, 1)).otherwise(F.col("initial")).alias("initial"), F.coalesce("right", "given").alias("given"), "second")
+    forms = forms.join(cut(right_givens(forms, pairs)), ["core", "given"], "left").select("raw", "core", F.when(F.col("right") != "", F.substring("right", 1, 1)).otherwise(F.col("initial")).alias("initial"), F.coalesce("right", "given").alias("given"), "second")
     return forms.union(organisations(parsed.where("organisation").union(parsed.where("not organisation").join(hidden, "raw", "left_semi")).select("raw", "parts"))), pairs
 
 
