@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.operators.views import KEYS, articles, links, papers
+from citeloom.operators.views import KEYS, article_tags, articles, links, papers
 from citeloom.tables import table
 
 
@@ -162,8 +162,9 @@ def facet_none_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unknown_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    """Papers with a keyword that no raw reference has: array elements absent from a dimension, as an anti join."""
-    known = table(spark, folder, "raw_references").select(F.explode("keywords").alias("k")).select(F.lower(F.trim("k")).alias("k")).distinct()
+    """Papers with a keyword that no included article is tagged with: array elements absent from a dimension, as an anti join."""
+    own = table(spark, folder, "articles").where("status = 'included'").select(F.col("id").alias("article_id"))
+    known = article_tags(spark, folder).join(own, "article_id", "left_semi").select(F.col("tag").alias("k")).distinct()
     return table(spark, folder, "reference_papers").select("id", F.explode("keywords").alias("k")).select("id", F.lower(F.trim("k")).alias("k")).where("k <> ''").join(known, "k", "left_anti").select("id", "k").distinct()
 
 
@@ -210,7 +211,7 @@ SQL = {
     "facet_toolbar": f"with {A} select {COLS} from a where duplicate_of is null and publication_year between 2010 and 2012",
     "facet_all_of": "select id from (select id, lower(trim(unnest(keywords))) as k from reference_papers) where k in ('adult', 'systematic review') group by 1 having count(distinct k) = 2",
     "facet_none_of": "select distinct id from reference_papers where id not in (select id from (select id, lower(trim(unnest(keywords))) as k from reference_papers) where k in ('adult', 'humans'))",
-    "unknown_keywords": "select distinct id, k from (select id, lower(trim(unnest(keywords))) as k from reference_papers) where k <> '' and k not in (select k from (select lower(trim(unnest(keywords))) as k from raw_references) where k is not null)",
+    "unknown_keywords": "select distinct id, k from (select id, lower(trim(unnest(keywords))) as k from reference_papers) where k <> '' and k not in (select k from (select matched_article_id as a, lower(trim(unnest(keywords))) as k from reference_papers where matched_article_id in (select id from articles where status = 'included')) where k is not null)",
     "keyset_page": f"with {A} select id, sequence_id from a where status = 'working' and sequence_id > 100 order by 2, 1 limit 40",
     "multi_sort": f"with {A} select id, num_cited, publication_year from a order by coalesce(num_cited, -1) desc, publication_year desc nulls last, id limit 40",
     "paper_search": f"with {P}, s as (select distinct id, title from p where match_status = 'unmatched' and (contains(lower(coalesce(title, '')), 'sleep') or contains(lower(coalesce(abstract_text, '')), 'sleep') or contains(lower(coalesce(doi, '')), 'sleep') or contains(lower(coalesce(journal, '')), 'sleep'))) select id, title, coalesce(uses, 0) as uses from s left join (select paper as id, count(*) as uses from (select distinct parent, paper, type from article_links where parent is not null) group by 1) u using (id)",

@@ -269,3 +269,4 @@ SQL |= {
     "term_years": r"""with k as (select distinct id, publication_year, lower(regexp_replace(regexp_replace(regexp_replace(raw, '[\[\]\"'']', '', 'g'), '^[\s,.;:]+|[\s,.;:]+$', '', 'g'), '\s+', ' ', 'g')) as term from (select id, publication_year, unnest(keywords) as raw from reference_papers) where raw is not null), t as (select * from k where term <> '' and publication_year is not null),
       y as (select publication_year, count(*) as n from t where term in (select term from t group by 1 having count(distinct id) >= 5) group by 1) select publication_year, n, publication_year = (select publication_year from y order by n desc, publication_year limit 1) as busiest from y""",
 }
+SQL["main_path"] = f"with recursive w as ({SQL['spc_weights']}), b as (select src, dst, weight from (select *, row_number() over (partition by src order by weight desc, dst) as r from w where weight > 0) where r = 1), m(src, dst, weight) as (select src, dst, weight from b where src not in (select dst from w) union select b.src, b.dst, b.weight from m join b on b.src = m.dst) select * from m"

@@ -133,10 +133,6 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return segments.chunk_documents(table(spark, folder, "documents"), "doc_id", "text")
 
 
-def captions(spark: SparkSession, folder: str) -> DataFrame:
-    return segments.caption_rows(table(spark, folder, "documents"), "doc_id", "text")
-
-
 def criteria_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Of each article the two documents of at most 600 words in which the query's words are densest."""
     words = {w: QUERY.split().count(w) for w in QUERY.split() if w not in STOP_WORDS}
@@ -173,23 +169,9 @@ def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).where("text rlike '</?[A-Za-z]'").select("doc_id", strip_html("text").alias("plain"))
 
 
-def wikilinks(spark: SparkSession, folder: str) -> DataFrame:
-    """Links of the form [[target|alias]] by target, and URLs by host, of all documents."""
-    d = documents(spark, folder)
-    wiki = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"))).alias("target")).select("doc_id", F.lit("wiki").alias("kind"), F.lower(F.trim("target")).alias("target"))
-    url = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"https?://([A-Za-z0-9.-]+)"))).alias("target")).select("doc_id", F.lit("url").alias("kind"), F.lower("target").alias("target"))
-    return wiki.union(url).groupBy("kind", "target").agg(F.countDistinct("doc_id").alias("n_docs"))
-
-
-def page_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """Short lines that stand in three documents of an article or more: running heads."""
-    lines = documents(spark, folder).where("article_id is not null").select("article_id", "doc_id", F.explode(F.split("text", "\n")).alias("line")).select("article_id", "doc_id", F.trim(F.regexp_replace("line", r"\d+", "#")).alias("line")).where("length(line) between 3 and 80")
-    return lines.groupBy("article_id", "line").agg(F.countDistinct("doc_id").alias("n_docs")).where("n_docs >= 3")
-
-
 QUERIES = {
     f.__name__: f
-    for f in (token_counts, bm25_search, stem_counts, containment_best, title_jaccard, title_sets, criteria_chunks, cosine_topk, max_pool_recall, mean_pool, stale_embeddings, embedding_coverage, expected_rows, chunk_documents, captions, criteria_rank, context_budget, html_to_text, wikilinks, page_headers)
+    for f in (token_counts, bm25_search, stem_counts, containment_best, title_jaccard, title_sets, criteria_chunks, cosine_topk, max_pool_recall, mean_pool, stale_embeddings, embedding_coverage, expected_rows, chunk_documents, criteria_rank, context_budget, html_to_text)
 }
 
 SPLIT = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
@@ -218,6 +200,4 @@ SQL = {
     "expected_rows": "select distinct id as article_id, -1 as chunk_index, sha256(concat_ws(chr(10) || chr(10), trim(title), case when trim(abstract_text) <> '' then trim(abstract_text) end)) as input_hash from articles",
     "criteria_rank": f"with {D}, s as (select article_id, doc_id, round({' + '.join(f'''len(list_filter(t, lambda x: x = '{w}'))''' for w in QUERY.split() if w not in STOP_WORDS)}::double, 12) / len(t) as sc from tk where article_id is not null and len(t) between 1 and 600), r as (select article_id, doc_id, round(sc, 6) as score from s) select * from (select *, row_number() over (partition by article_id order by score desc, doc_id) as r from r where score > 0) where r <= 2",
     "context_budget": f"with {D} select article_id, doc_id, used from (select article_id, doc_id, sum(length(text)) over (partition by article_id order by doc_id rows unbounded preceding) as used from d where article_id is not null) where used <= 3000",
-    "wikilinks": rf"with {D}, w as (select doc_id, 'wiki' as kind, lower(trim(unnest(regexp_extract_all(text, '\[\[([^\]|]+)(?:\|[^\]]*)?\]\]', 1)))) as target from d union all select doc_id, 'url', lower(unnest(regexp_extract_all(text, 'https?://([A-Za-z0-9.-]+)', 1))) from d) select kind, target, count(distinct doc_id) as n_docs from w group by 1, 2",
-    "page_headers": rf"with {D}, x as (select article_id, doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\d+', '#', 'g')) as line from d where article_id is not null) select article_id, line, count(distinct doc_id) as n_docs from x where length(line) between 3 and 80 group by 1, 2 having count(distinct doc_id) >= 3",
 }
