@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.fields import term_form
 from citeloom.functions.text import sanitize_term, significant_words
 from citeloom.operators import graph
+from citeloom.operators.library import numbered
 from citeloom.operators.views import article_tags, author_bridge, links
 from citeloom.tables import table
 
@@ -208,9 +209,8 @@ def circular_layout(spark: SparkSession, folder: str) -> DataFrame:
     """Keyword nodes on a circle, by their rank in name order."""
     n = keyword_nodes(spark, folder).select("term")
     total = n.agg(F.count("*").alias("n"))
-    w = Window.orderBy("term")  # one row a term of the network
-    angle = 2 * F.pi() * (F.row_number().over(w) - 1) / F.col("n")
-    return n.crossJoin(F.broadcast(total)).select("term", F.round(100 * F.cos(angle), 4).alias("x"), F.round(100 * F.sin(angle), 4).alias("y"))
+    angle = 2 * F.pi() * F.col("place") / F.col("n")
+    return numbered(n, [F.col("term").asc()], -1, "place").crossJoin(F.broadcast(total)).select("term", F.round(100 * F.cos(angle), 4).alias("x"), F.round(100 * F.sin(angle), 4).alias("y"))
 
 
 QUERIES = {
