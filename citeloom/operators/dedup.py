@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeloom.functions.distance import close_pairs
 from citeloom.functions.identifiers import normalize_doi
 from citeloom.functions.text import last_name, normalize_title, short_title
-from citeloom.session import spread
+from citeloom.operators.blocks import block_pairs
+from citeloom.operators.graph import blocks_of_pairs
+from citeloom.session import cut, spread
+
+#: Titles of one block.
+BLOCK = 2048
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -24,11 +33,32 @@ def similarity(a: str, b: str, least: float) -> Column:
     return F.when(longest == 0, 1.0).when(distance < 0, 0.0).otherwise(1 - distance / longest)
 
 
+def alike(rows: DataFrame, part: str, least: float) -> DataFrame:
+    """(a, b, score), a < b: the rows(id, title) of one part whose titles are least alike or more. Blocks of titles meet in pairs; distances over a band are left to Spark."""
+    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("longest", pa.int32()), ("distance", pa.int32()), ("title_a", pa.string()), ("title_b", pa.string())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, titles = ([batch.column(f"{side}_{c}")[row].values for side in "xy"] for c in ("id", "title"))
+                xs, ys = (t.to_pylist() for t in titles)
+                for i, j, d in close_pairs(xs, ys, least, batch.column("same")[row].as_py()):
+                    a, b = ids[0].take(pa.array(i)), ids[1].take(pa.array(j))
+                    open_ = pa.array(d < 0)
+                    title = [pa.compute.if_else(open_, t.take(pa.array(k)), None) for t, k in zip(titles, (i, j), strict=True)]
+                    longest = pa.compute.max_element_wise(*(pa.compute.utf8_length(t.take(pa.array(k))) for t, k in zip(titles, (i, j), strict=True)))
+                    yield from pa.Table.from_arrays([a, b, longest, pa.array(d.astype("int32")), *title], schema=schema).to_batches(65536)
+
+    found = block_pairs(rows.where(F.col(part).isNotNull()), [part], F.col("id"), BLOCK, ["id", "title"]).mapInArrow(work, "a string, b string, longest int, distance int, title_a string, title_b string")
+    score = F.when(F.col("distance") < 0, similarity("title_a", "title_b", least)).when(F.col("longest") == 0, 1.0).otherwise(1 - F.col("distance") / F.col("longest"))
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), score.alias("score")).where(F.col("score") >= least)
+
+
 def duplicate_pairs(rows: DataFrame) -> DataFrame:
     """(a, b, kind, score), a < b: equal DOIs; else titles of one year 0.95 alike (exact) or 0.7 alike (fuzzy); else of one first author 0.8 alike (fuzzy).
 
-    Blocks are DOI, year with title length, and author, so that no pair outside a block is compared; lengths too far apart for the
-    threshold never reach the distance.
+    No pair outside a DOI, year or author is compared. The titles of a year meet in blocks, where shared bigrams rule most pairs out;
+    titles of one author whose lengths are too far apart for the threshold never reach the distance.
     """
     r = prepared(rows)
     x, y = r.select(*(F.col(c).alias(f"{c}_x") for c in r.columns)), r.select(*(F.col(c).alias(f"{c}_y") for c in r.columns))
@@ -36,29 +66,41 @@ def duplicate_pairs(rows: DataFrame) -> DataFrame:
     by_doi = x.join(y, (F.col("doi_x") == F.col("doi_y")) & ordered).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
     long = x.where("not short_x"), y.where("not short_y")
     close = lambda share: F.abs(F.length("title_x") - F.length("title_y")) <= (1 - share) * F.greatest(F.length("title_x"), F.length("title_y"))
-    # bands of length in which neighbours differ by the factor that the threshold allows: pairs lie in one band or next to it
-    band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.log(F.lit(1 / 0.7))).cast("int")
-    wide = long[0].withColumn("band", F.explode(F.sequence(band("title_x") - 1, band("title_x") + 1)))
-    by_year = spread(wide, "year_x", "band").join(spread(long[1].withColumn("band_y", band("title_y")), "year_y", "band_y"), (F.col("year_x") == F.col("year_y")) & (F.col("band") == F.col("band_y")) & ordered & close(0.7)).withColumn("score", similarity("title_x", "title_y", 0.7)).where("score >= 0.7").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
+    by_year = alike(r.where("not short"), "year", 0.7).select("a", "b", F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
     by_author = spread(long[0], "author_x").join(spread(long[1], "author_y"), (F.col("author_x") == F.col("author_y")) & (F.col("author_x") != "") & ordered & close(0.8)).withColumn("score", similarity("title_x", "title_y", 0.8)).where("score >= 0.8").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(4).alias("tier"), "score")
     best = by_doi.union(by_year).union(by_author).groupBy("a", "b").agg(F.min(F.struct("tier", "score")).alias("m"))
     return best.select("a", "b", F.when(F.col("m.tier") <= 2, "exact").otherwise("fuzzy").alias("kind"), F.round("m.score", 6).alias("score"))
 
 
+def open_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs(a, b, kind, score) those that the greedy pass may look at, solid where b cannot leave: a record's partners up to the first solid one, which it takes at the latest."""
+    leaving = pairs.where("kind = 'exact'").select("b").distinct().withColumn("_leaves", F.lit(True))
+    p = pairs.join(leaving, "b", "left").withColumn("solid", F.col("_leaves").isNull())
+    w = Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    return p.withColumn("_before", F.coalesce(F.max("solid").over(w), F.lit(False))).where("not _before").select("a", "b", "kind", "score", "solid")
+
+
+def kept_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs(a, b, kind, score), a < b, that a pass in id order keeps, replayed in each block of records that pairs with a partner that may leave connect; other records take their first partner."""
+    p = cut(open_pairs(cut(pairs)))
+    blocks = blocks_of_pairs(p.where("not solid")).withColumnRenamed("node", "a")
+    columns = ["a", "b", "kind", "score"]
+    replayed = p.join(blocks, "a").groupBy("block").applyInPandas(lambda df: greedy_groups(df), "a string, b string, kind string, score double")
+    return replayed.unionByName(p.join(blocks, "a", "left_anti").select(*columns))
+
+
 def greedy_groups(pairs: pd.DataFrame) -> pd.DataFrame:
     """The pairs of one block that a pass in id order keeps: each record takes its first partner that is left; an exact partner leaves."""
     gone: set[str] = set()
     rows = []
-    for a, part in pairs.sort_values(["a", "b"]).groupby("a", sort=True):
-        if a in gone:
+    done = None
+    for a, b, kind, score in pairs[["a", "b", "kind", "score"]].sort_values(["a", "b"]).itertuples(index=False, name=None):
+        if a == done or a in gone or b in gone:
             continue
-        for r in part.itertuples():
-            if r.b in gone:
-                continue
-            rows.append((r.a, r.b, r.kind, r.score))
-            if r.kind == "exact":
-                gone.add(r.b)
-            break
+        rows.append((a, b, kind, score))
+        done = a
+        if kind == "exact":
+            gone.add(b)
     return pd.DataFrame(rows, columns=["a", "b", "kind", "score"])
 
 

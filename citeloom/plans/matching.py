@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from citeloom.functions.identifiers import normalize_doi
 from citeloom.functions.text import author_display, estimate_tokens, is_english, last_name, normalize_journal, normalize_title, paper_label, sanitize_term, significant_words, slug, snippet
-from citeloom.operators.dedup import duplicate_pairs, greedy_groups, tiered_match
-from citeloom.operators.graph import blocks_of_pairs
+from citeloom.operators.dedup import duplicate_pairs, kept_pairs, tiered_match
 from citeloom.operators.views import articles, author_bridge, links, papers
-from citeloom.session import cut
 from citeloom.tables import table
 
 
@@ -95,11 +93,8 @@ def dedup_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dedup_greedy(spark: SparkSession, folder: str) -> DataFrame:
-    """The pairs that a pass in id order keeps, replayed in each block of records that pairs connect by their smallest record."""
-    pairs = duplicate_pairs(table(spark, folder, "articles"))
-    pairs = cut(pairs)
-    blocks = blocks_of_pairs(pairs).withColumnRenamed("node", "a")
-    return pairs.join(blocks, "a").groupBy("block").applyInPandas(lambda df: greedy_groups(df), "a string, b string, kind string, score double")
+    """The pairs that a pass in id order keeps: each record takes its first partner that is left."""
+    return kept_pairs(duplicate_pairs(table(spark, folder, "articles")))
 
 
 def doc_exact_dups(spark: SparkSession, folder: str) -> DataFrame:

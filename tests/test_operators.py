@@ -52,6 +52,62 @@ def test_greedy_takes_the_first_partner():
     assert [tuple(r) for r in greedy_groups(p)[["a", "b"]].to_numpy()] == [("a", "b"), ("c", "d")]
 
 
+def test_greedy_replays_only_what_may_leave(spark):
+    import random
+
+    from citeloom.operators.dedup import kept_pairs, open_pairs
+
+    rng = random.Random(3)
+    rows = [(f"n{a:02}", f"n{b:02}", "exact" if rng.random() < 0.1 else "fuzzy", 0.8) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.3]
+    pairs = spark.createDataFrame(rows, "a string, b string, kind string, score double")
+    want = greedy_groups(pd.DataFrame(rows, columns=["a", "b", "kind", "score"]))
+    assert sorted(tuple(r) for r in kept_pairs(pairs).collect()) == sorted(want.itertuples(index=False, name=None))
+    clique = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", "fuzzy", 0.8) for a in range(100) for b in range(a + 1, 100)], "a string, b string, kind string, score double")
+    assert open_pairs(clique).count() == 99
+
+
+def test_distances_of_many_titles():
+    import random
+
+    from citeloom.functions.distance import BAND, close_pairs, most
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(1)
+    texts = []
+    for size in (0, 3, 12, 40, 64, 65, 90, 120):
+        base = [rng.choice("abcdé ") for _ in range(size)]
+        for _ in range(6):
+            text = list(base)
+            for _ in range(rng.randrange(size // 3 + 1)):
+                at = rng.randrange(len(text) + 1)
+                text[at : at + rng.randrange(2)] = rng.choice(["", "a", "é"])
+            texts.append("".join(text))
+    found = {(i, j): d for part in close_pairs(texts, texts, 0.7, True) for i, j, d in zip(*part, strict=True)}
+    for i, a in enumerate(texts):
+        for j in range(i + 1, len(texts)):
+            d, limit = distance(a, texts[j]), most(max(len(a), len(texts[j])), 0.7)
+            if limit > BAND:  # left to Spark
+                assert found.get((i, j)) == -1 or d > limit
+            else:
+                assert found.get((i, j)) == (d if d <= limit else None)
+
+
+def test_titles_of_a_year_meet_over_all_blocks(spark, monkeypatch):
+    from citeloom.operators import dedup
+
+    monkeypatch.setattr(dedup, "BLOCK", 8)
+    rows = [(f"r{i:02}", f"a title that is number {i:02} of all " + "long " * (30 if i > 50 else 0), 2001 + i % 2) for i in range(60)]
+    found = {(r["a"], r["b"]) for r in dedup.alike(spark.createDataFrame(rows, "id string, title string, year int"), "year", 0.7).collect()}
+    assert found == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and len(a[1]) == len(b[1])}
+
+
 def test_chunks():
     text = "# Methods\n" + "One two three four. " * 200 + "\n# References\nx\n# Results\nShort end."
     c = segments.chunks(text)
