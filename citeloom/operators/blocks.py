@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from citeloom.session import spread
 
 
-def block_pairs(rows: DataFrame, part: list[str], place: Column, size: int, columns: list[str]) -> DataFrame:
+def block_pairs(rows: DataFrame, part: list[str], place: Column, size: int, columns: list[str], most: int | None = None, largest: int = 131072) -> DataFrame:
     """(part, same, x_<column>, y_<column> arrays) of all pairs of blocks of each part, a block with itself once (same).
 
-    Blocks are dealt out by the hash of place, so that equal places stand in one block; a block has about size rows. Rows are sent
+    Blocks are dealt out by the hash of place, so that equal places stand in one block; a block has about size rows,
+    more (to largest) where a part would have over most blocks. Rows are sent
     once for each block of their part, never once for each pair of rows.
     """
     r = rows.select(*part, *columns, F.xxhash64(place).alias("_place"))
-    n = r.groupBy(*part).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"))
+    count = F.ceil(F.count("*") / size)
+    count = F.greatest(F.least(count, F.lit(most)), F.ceil(F.count("*") / largest)) if most else count
+    n = r.groupBy(*part).agg(count.cast("int").alias("_n"))
     r = r.join(n, part).withColumn("_no", F.pmod(F.xxhash64("_place"), F.col("_n")).cast("int"))
     blocks = r.groupBy(*part, "_no").agg(F.max("_n").alias("_n"), *(F.collect_list(c).alias(c) for c in columns))
     side = lambda name, i, j, to: blocks.select(*part, F.col("_no").alias(i), F.explode(to).alias(j), *(F.col(c).alias(f"{name}_{c}") for c in columns))

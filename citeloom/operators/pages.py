@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from citeloom.functions.identifiers import as_column
 from citeloom.operators.graph import blocks_of_pairs
+from citeloom.operators.sets import similar_sets
 from citeloom.session import cut
 
 #: Columns of two lines may be so many characters apart and still be one; lines of a table without bars.
@@ -53,23 +54,6 @@ def lint(pages: DataFrame, sources: DataFrame) -> DataFrame:
     return out.unionByName(issue(p.where("source is null").select("slug").unionByName(p.where("source is not null").join(sources, "source", "left_anti").select("slug")), "ungrounded"))
 
 
-def similar_sets(rows: DataFrame, key: str, items: str, least: float) -> DataFrame:
-    """(a, b, jaccard) of rows(key, items: arrays without repeats) whose sets are least alike or more: candidates share one of their rarest items, are of fitting sizes, and are compared once.
-
-    The sets meet a pair only when its ids are single; until then key, size and item travel.
-    """
-    r = rows.select(key, items).where(F.size(items) > 0)
-    each = r.select(key, F.size(items).alias("n"), F.explode(items).alias("w"))
-    df = each.groupBy("w").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = each.join(df, "w").groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    # single items meet nothing: of the n - ceil(least n) + 1 rarest those that are left
-    open_ = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9).cast("int") + 1 - (F.col("n") - F.size("s"))
-    prefix = ranked.where(open_ > 0).select(key, "n", F.explode(F.slice("s", 1, open_)).alias("x")).select(key, "n", F.col("x.w").alias("w"))
-    pairs = prefix.toDF("a", "na", "w").join(prefix.toDF("b", "nb", "w"), "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
-    both = pairs.join(r.toDF("a", "sa"), "a").join(r.toDF("b", "sb"), "b")
-    return both.select("a", "b", F.round(F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb")), 6).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
 def page_duplicates(pages: DataFrame, least: float = 0.5, shared: int = 2) -> DataFrame:
     """(a, b): places a < b of pages(place, slug, kind, stems, sources) of one kind, but authors', with equal slugs, stems alike, or shared sources."""
     p = pages.where("kind <> 'author'")

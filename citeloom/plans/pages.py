@@ -9,6 +9,7 @@ from citeloom.functions.fields import array_in_json, claim_key
 from citeloom.functions.stemming import stem
 from citeloom.functions.text import STOP_WORDS, author_key, slug, tokenize, tokenize_for_match
 from citeloom.operators import library, pages, segments
+from citeloom.operators.sets import similar_sets
 from citeloom.operators.views import article_tags
 from citeloom.plans.networks import citation_edges
 from citeloom.plans.retrieval import K1, LEAST_IDF, QUERY, B, documents, stem_words
@@ -47,7 +48,7 @@ def pages_consolidated(spark: SparkSession, folder: str) -> DataFrame:
 def similar_titles(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of different papers' word sets that are half alike, between representatives of equal sets."""
     t = _title_sets(spark, folder).groupBy("key").agg(F.min("id").alias("id"))
-    return pages.similar_sets(t.select("id", F.split("key", " ").alias("s")), "id", "s", 0.5)
+    return similar_sets(t.select("id", F.split("key", " ").alias("s")), "id", "s", 0.5)
 
 
 def title_classes(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from citeloom.functions.stemming import stem
 from citeloom.functions.text import STOP_WORDS, strip_html, tokenize, tokenize_for_match
 from citeloom.operators import segments
-from citeloom.operators.pages import similar_sets
+from citeloom.operators.sets import similar_sets
 from citeloom.operators.vectors import dot, nearest, pooled
 from citeloom.tables import table
 

@@ -99,6 +99,20 @@ def test_distances_of_many_titles():
                 assert found.get((i, j)) == (d if d <= limit else None)
 
 
+def test_sets_of_common_items_equal_brute_force(spark, monkeypatch):
+    import random
+
+    from citeloom.operators import sets
+
+    monkeypatch.setattr(sets, "BLOCK", 20)
+    rng = random.Random(2)
+    rows = [(f"k{i:03}", rng.sample("abcdefgh", rng.randrange(1, 7)) + rng.sample([f"w{n}" for n in range(60)], rng.randrange(3))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, s array<string>")
+    for least in (0.5, 0.8):
+        want = sorted((a, b, round(len(set(x) & set(y)) / len(set(x) | set(y)), 6)) for a, x in rows for b, y in rows if a < b and len(set(x) & set(y)) / len(set(x) | set(y)) >= least)
+        assert sorted(tuple(r) for r in sets.similar_sets(df, "id", "s", least, heavy=20).collect()) == want
+
+
 def test_titles_of_a_year_meet_over_all_blocks(spark, monkeypatch):
     from citeloom.operators import dedup
 
