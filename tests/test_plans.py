@@ -51,3 +51,9 @@ def test_scans_read_the_columns_used(spark, name, table, columns):
             schema = re.sub(r"array<[^<>]*>", "array", line.split("ReadSchema: struct<", 1)[1])
             read |= {c.split(":")[0] for c in schema.rsplit(">", 1)[0].split(",")}
     assert read == columns
+
+
+@pytest.mark.parametrize("name", ["similar_titles", "title_jaccard"])
+def test_pairs_of_sets_are_not_shuffled(spark, name):
+    plan = all_queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[a#" not in plan
