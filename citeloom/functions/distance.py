@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: The largest distance that a band of 64 diagonals holds; texts of one block that are compared as one matrix; pairs of one step.
-BAND, SLAB, STEP = 31, 1024, 8192
+#: The largest distance that a band of 32 diagonals holds; texts of one block that are compared as one matrix; pairs of one step; columns between two looks at which pairs are out; words of the windows of one matrix.
+BAND, SLAB, STEP, LOOK, WINDOWS = 31, 1024, 8192, 8, 1 << 23
 
 
 class Texts:
@@ -39,48 +39,106 @@ def most(longest: np.ndarray, least: float) -> np.ndarray:
     return np.floor((1 - least) * longest + 1e-9).astype(np.int64)
 
 
-def banded(x: np.ndarray, m: int, y: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, alphabet: int) -> np.ndarray:
-    """Distances of the pairs (i, j) of texts x, all of m characters, and y of n; right up to BAND, larger else. Pairs come in the order of n[j]; lengths differ by BAND at most.
+def windows(codes: np.ndarray, alphabet: int, columns: int) -> np.ndarray:
+    """(start, text, character): bit b stands where the text has the character at start + b, starts from -BAND on; character 0, which stands behind an end, is everywhere."""
+    out = np.zeros((columns + BAND + 1, len(codes), alphabet), np.uint32)
+    rows = np.arange(len(codes))
+    for start in range(codes.shape[1] - 1, -BAND - 1, -1):
+        np.left_shift(out[start + BAND + 1], np.uint32(1), out=out[start + BAND])
+        if start >= 0:
+            out[start + BAND][rows, codes[:, start]] |= np.uint32(1)
+    out[:, :, 0] = 0xFFFFFFFF
+    return out
+
+
+def banded(match: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (i, j) of texts of m characters, given by their windows, and texts y of n, its columns first; limit + 1 for one above its limit, which is BAND at most. Lengths differ by the limit at most.
 
-    Hyyrö's bit vectors of a diagonal band: bit b at step t stands for row t - 32 + b.
+    Hyyrö's bit vectors of a diagonal band: bit b at column t stands for row t - below + b, where below is what the limit leaves to
+    diagonals under the first one. The distance is the number of steps that cost along the diagonal of the last cell; rows above
+    the first cost, columns behind an end do not. It only grows, so that a pair over its limit is out.
     """
-    words = (m + 63) // 64 + 2
-    match = np.zeros((words, len(x), alphabet), np.uint64)
-    rows = np.arange(len(x))
-    for p in range(m):
-        match[p // 64, rows, x[:, p]] |= np.uint64(1 << (p % 64))
-    ends, u = n[j], np.uint64
-    positive, negative = np.full(len(i), ((1 << 64) - 1) << (63 - BAND) & ((1 << 64) - 1), u), np.zeros(len(i), u)
-    score, out = np.full(len(i), min(m, BAND), np.int64), np.full(len(i), BAND + 1, np.int64)
-    at, one, turn = i * alphabet, u(1), max(m - BAND, 0)
-    lo = int(np.searchsorted(ends, 0, "right"))
-    out[:lo] = score[:lo]
-    for t in range(int(ends[-1]) if len(ends) else 0):
-        start = t - 63 + BAND
-        if start < 0:
-            window = match[0] << u(-start)
-        else:
-            w, p = divmod(start, 64)
-            window = match[w] >> u(p) if w < words else np.zeros_like(match[0])
-            if p and w + 1 < words:
-                window = window | (match[w + 1] << u(64 - p))
-        same = window.ravel()[at + y[:, t][j]]
-        diagonal = (((same & positive) + positive) ^ positive) | same | negative
-        plus, minus = negative | ~(diagonal | positive), diagonal & positive
-        if t < turn:
-            score += ((diagonal >> u(63)) ^ one).astype(np.int64)
-        else:
-            bit = u(m + BAND - t)
-            score += ((plus >> bit) & one).astype(np.int64)
-            score -= ((minus >> bit) & one).astype(np.int64)
-        diagonal >>= one
-        positive, negative = minus | ~(diagonal | plus), diagonal & plus
-        hi = int(np.searchsorted(ends, t + 1, "right"))
-        out[lo:hi] = score[lo:hi]
-        lo = max(lo, hi)
+    u = np.uint32
+    shift = m[i] - n[j]
+    below = (limit - shift) // 2
+    rows, alphabet = match.shape[1:]
+    flat, turn = match.ravel(), rows * alphabet
+    at = ((BAND - below) * rows + i) * alphabet
+    here, out, end = np.arange(len(i)), limit + 1, int(n[j].max(initial=0))
+    last, spare = (shift + below).astype(u), (limit - np.maximum(shift, 0)).astype(np.int32)
+    positive, negative, free = u(0xFFFFFFFF) << below.astype(u), np.zeros(len(i), u), np.zeros(len(i), u)
+    a, b, c = (np.empty(len(i), u) for _ in range(3))
+    for t in range(end):
+        same = flat.take(y[t].take(j) + at)
+        at += turn
+        np.bitwise_and(same, positive, out=a)
+        a += positive
+        a ^= positive
+        a |= same
+        a |= negative  # steps along a diagonal that cost nothing
+        np.right_shift(a, last, out=b)
+        b &= u(1)
+        free += b
+        np.bitwise_or(a, positive, out=b)
+        np.invert(b, out=b)
+        b |= negative
+        np.bitwise_and(a, positive, out=c)
+        a >>= u(1)
+        np.bitwise_and(a, b, out=negative)
+        np.bitwise_or(a, b, out=positive)
+        np.invert(positive, out=positive)
+        positive |= c
+        if t % LOOK == LOOK - 1:
+            left = np.flatnonzero(t + 1 - free.astype(np.int32) <= spare)
+            if len(left) < 0.8 * len(free):
+                here, at, j, last, spare, positive, negative, free = (v.take(left) for v in (here, at, j, last, spare, positive, negative, free))
+                a, b, c = (v[: len(left)] for v in (a, b, c))
+                if not len(left):
+                    break
+    out[here] = np.minimum(out[here], out[here] - 1 - spare + end - free.astype(np.int64))
     return out
 
 
+def distances(x: Texts, y: Texts, columns: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray, alphabet: int) -> np.ndarray:
+    """Distances of the pairs (i, j), which come in the order of i, as banded gives them; -1 where the limit is over BAND. columns: the codes of y, columns first, as far as texts within BAND go."""
+    d = np.full(len(i), -1, np.int64)
+    narrow = np.flatnonzero(limit <= BAND)
+    if not len(narrow):
+        return d
+    width = int(max(x.length[i[narrow]].max(), y.length[j[narrow]].max()))
+    rows = max(1, WINDOWS // (alphabet * (width + BAND + 1)))
+    first, last = int(i[narrow[0]]), int(i[narrow[-1]])
+    for lo in range(first, last + 1, rows):
+        part = narrow[slice(*np.searchsorted(i[narrow], (lo, lo + rows)))]
+        if len(part):
+            hi = int(i[part[-1]]) + 1
+            match = windows(x.codes[lo:hi, :width], alphabet, width)
+            for k in range(0, len(part), STEP):
+                p = part[k : k + STEP]
+                d[p] = banded(match, x.length[lo:hi], columns, y.length, i[p] - lo, j[p], limit[p])
+    return d
+
+
+def by_columns(y: Texts, changes: np.ndarray) -> np.ndarray:
+    """The codes of texts, columns first, as far as texts go that may differ by BAND at most."""
+    return y.codes[:, : int(np.searchsorted(changes, BAND, "right"))].T.astype(np.intp, order="C")
+
+
+def listed_pairs(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of those of the listed pairs of xs and ys that close_pairs would give: for many small groups."""
+    codes = {c: k for k, c in enumerate(sorted(set().union(*xs, *ys)), 1)}
+    x, y = (Texts(texts, codes) for texts in (xs, ys))
+    i, j = (np.argsort(t.order)[k] for t, k in ((x, i), (y, j)))
+    changes = most(np.arange(max(x.length.max(initial=0), y.length.max(initial=0)) + 1), least)
+    limit = changes[np.maximum(x.length[i], y.length[j])]
+    near = np.flatnonzero(np.abs(x.length[i] - y.length[j]) <= limit)
+    near = near[np.argsort(i[near], kind="stable")]
+    i, j, limit = i[near], j[near], limit[near]
+    d = distances(x, y, by_columns(y, changes), i, j, limit, len(codes) + 1)
+    kept = d <= limit
+    return x.order[i[kept]], y.order[j[kept]], d[kept]
+
+
 def close_pairs(xs: list[str], ys: list[str], least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, distance) of the pairs of xs and ys whose distance leaves a likeness of least; -1 for a distance that is still to be taken, as it may be over BAND. With same, xs are ys, and i < j."""
     codes = {c: k for k, c in enumerate(sorted(set().union(*xs, *ys)), 1)}
@@ -89,38 +147,42 @@ def close_pairs(xs: list[str], ys: list[str], least: float, same: bool) -> Itera
     y = x if same else Texts(ys, codes)
     gx = x.grams(alphabet)
     gy = gx if same else y.grams(alphabet)
+    names, code = np.unique(np.concatenate([gx[1], gy[1]]), return_inverse=True)
+    gx, gy = (gx[0], code[: len(gx[0])]), (gy[0], code[len(code) - len(gy[0]) :])
+    lengths = np.arange(max(x.length.max(initial=0), y.length.max(initial=0)) + 1)
+    changes = most(lengths, least)
+    # a change undoes two bigrams at most
+    needed = (lengths - 1 - 2 * changes).astype(np.float32)
+    columns = by_columns(y, changes)
     for lo in range(0, len(xs), SLAB):
+        lx = x.length[lo : lo + SLAB]
         for at in range(lo if same else 0, len(ys), SLAB):
-            lx, ly = x.length[lo : lo + SLAB], y.length[at : at + SLAB]
+            ly = y.length[at : at + SLAB]
             if min(lx[-1], ly[-1]) < least * max(lx[0], ly[0]) - 1e-9:
                 continue
-            a, b = (g[1][(k := (g[0] >= s) & (g[0] < s + SLAB))] for g, s in ((gx, lo), (gy, at)))
-            ra, rb = gx[0][(gx[0] >= lo) & (gx[0] < lo + SLAB)] - lo, gy[0][(gy[0] >= at) & (gy[0] < at + SLAB)] - at
-            both = np.intersect1d(a, b)
+            (ra, a), (rb, b) = ((r[(k := slice(*np.searchsorted(r, (s, s + SLAB))))] - s, g[k]) for (r, g), s in ((gx, lo), (gy, at)))
+            both = np.zeros((2, len(names)), bool)
+            both[0, a], both[1, b] = True, True
+            both = both.all(0)
+            place = np.cumsum(both) - 1
             shared = np.zeros((len(lx), len(ly)), np.float32)
-            for s in range(0, len(both), 4 * SLAB):
-                some = both[s : s + 4 * SLAB]
-                fx, fy = np.zeros((len(lx), len(some)), np.float32), np.zeros((len(ly), len(some)), np.float32)
+            for s in range(0, int(both.sum()), 4 * SLAB):
+                width = min(4 * SLAB, int(both.sum()) - s)
+                fx, fy = np.zeros((len(lx), width), np.float32), np.zeros((len(ly), width), np.float32)
                 for f, r, g in ((fx, ra, a), (fy, rb, b)):
-                    place = np.minimum(np.searchsorted(some, g), len(some) - 1)
-                    hit = some[place] == g
-                    f[r[hit], place[hit]] = 1
+                    hit = both[g] & (place[g] >= s) & (place[g] < s + width)
+                    f[r[hit], place[g[hit]] - s] = 1
                 shared += fx @ fy.T
-            longest = np.maximum(lx[:, None], ly[None])
-            allowed = most(longest, least)
-            # a change undoes two bigrams at most
-            maybe = (shared >= longest - 1 - 2 * allowed) & (np.abs(lx[:, None] - ly[None]) <= allowed)
+            ux, nx = np.unique(lx, return_counts=True)
+            uy, ny = np.unique(ly, return_counts=True)
+            longest = np.maximum(ux[:, None], uy[None])
+            least_shared = np.where(np.abs(ux[:, None] - uy[None]) <= changes[longest], needed[longest], np.float32(np.inf))
+            maybe = shared >= np.repeat(np.repeat(least_shared, nx, 0), ny, 1)
             if same and lo == at:
                 maybe &= np.arange(len(lx))[:, None] < np.arange(len(ly))[None]
             i, j = np.nonzero(maybe)
-            limit, d = allowed[i, j], np.full(len(i), -1, np.int64)
-            for m in np.unique(lx[i]):
-                left, right = np.searchsorted(lx, m, "left"), np.searchsorted(lx, m, "right")
-                pairs = np.flatnonzero((lx[i] == m) & (limit <= BAND))
-                pairs = pairs[np.argsort(ly[j[pairs]], kind="stable")]
-                for k in range(0, len(pairs), STEP):
-                    p = pairs[k : k + STEP]
-                    d[p] = banded(x.codes[lo + left : lo + right], int(m), y.codes[at : at + SLAB], ly, i[p] - left, j[p], alphabet)
+            limit = changes[np.maximum(lx[i], ly[j])]
+            d = distances(x, y, columns, i + lo, j + at, limit, alphabet)
             kept = d <= limit
             i, j, d = x.order[lo + i[kept]], y.order[at + j[kept]], d[kept]
             yield (np.minimum(i, j), np.maximum(i, j), d) if same else (i, j, d)

@@ -18,7 +18,7 @@ def block_pairs(rows: DataFrame, part: list[str], place: Column, size: int, colu
     r = rows.select(*part, *columns, F.xxhash64(place).alias("_place"))
     count = F.ceil(F.count("*") / size)
     count = F.greatest(F.least(count, F.lit(most)), F.ceil(F.count("*") / largest)) if most else count
-    n = r.groupBy(*part).agg(count.cast("int").alias("_n"))
+    n = r.groupBy(*part).agg(count.cast("int").alias("_n"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
     r = r.join(n, part).withColumn("_no", F.pmod(F.xxhash64("_place"), F.col("_n")).cast("int"))
     blocks = r.groupBy(*part, "_no").agg(F.max("_n").alias("_n"), *(F.collect_list(c).alias(c) for c in columns))
     side = lambda name, i, j, to: blocks.select(*part, F.col("_no").alias(i), F.explode(to).alias(j), *(F.col(c).alias(f"{name}_{c}") for c in columns))

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeloom.functions.distance import close_pairs
+from citeloom.functions.distance import close_pairs, listed_pairs
 from citeloom.functions.identifiers import normalize_doi
 from citeloom.functions.text import last_name, normalize_title, short_title
 from citeloom.operators.blocks import block_pairs
 from citeloom.operators.graph import blocks_of_pairs
-from citeloom.session import cut, spread
+from citeloom.session import cut, is_empty
 
-#: Titles of one block.
-BLOCK = 2048
+#: Titles of one block; pairs of titles up to which a pair of blocks is compared along with others; pairs of one step.
+BLOCK, SMALL, STEP = 2048, 16384, 262144
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """(id, doi, title, year, author, short) of articles: the keys that pairs are compared on."""
-    return rows.select("id", normalize_doi("doi").alias("doi"), normalize_title("title").alias("title"), F.col("publication_year").alias("year"), last_name(F.get("authors", F.lit(0))).alias("author"), short_title("title").alias("short")).distinct()
+    """(id, several, doi, title, year, author, short) of articles: the keys that pairs are compared on, each once; several where an id has more than one of them."""
+    keys = F.struct(normalize_doi("doi").alias("doi"), normalize_title("title").alias("title"), F.col("publication_year").alias("year"), last_name(F.get("authors", F.lit(0))).alias("author"), short_title("title").alias("short"))
+    return rows.groupBy("id").agg(F.collect_set(keys).alias("keys")).select("id", (F.size("keys") > 1).alias("several"), F.inline("keys"))
 
 
 def similarity(a: str, b: str, least: float) -> Column:
@@ -33,23 +36,86 @@ def similarity(a: str, b: str, least: float) -> Column:
     return F.when(longest == 0, 1.0).when(distance < 0, 0.0).otherwise(1 - distance / longest)
 
 
-def alike(rows: DataFrame, part: str, least: float) -> DataFrame:
-    """(a, b, score), a < b: the rows(id, title) of one part whose titles are least alike or more. Blocks of titles meet in pairs; distances over a band are left to Spark."""
+def members(i: np.ndarray, j: np.ndarray, d: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of rows for pairs of titles, where x and y have the title of each row; with same those of one title too."""
+    (ox, nx), (oy, ny) = ((np.argsort(t, kind="stable"), np.bincount(t)) for t in (x, y))
+    if same:
+        more = np.flatnonzero(nx > 1)
+        i, j, d = (np.concatenate(v) for v in ((i, more), (j, more), (d, np.zeros(len(more), d.dtype))))
+    bx, by = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+    n = nx[i] * ny[j]
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(i):
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + STEP, "right")))
+        k = np.repeat(np.arange(start, stop), n[start:stop])
+        off = np.arange(len(k)) - (ends[k] - n[k] - done)
+        p, q = bx[i[k]] + off // ny[j[k]], by[j[k]] + off % ny[j[k]]
+        once = (i[k] != j[k]) | (p < q) if same else np.ones(len(k), bool)
+        yield ox[p[once]], oy[q[once]], d[k[once]]
+        start = stop
+
+
+def alike(rows: DataFrame, part: str, least: float, apart: Sequence[str] = ()) -> DataFrame:
+    """(a, b, score), a < b: the rows(id, title) of one part whose titles are least alike or more, but those that are equal in one of the columns apart.
+
+    Blocks of titles meet in pairs, each title once; small blocks are compared many at a time. Distances over a band are left to Spark.
+    """
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("longest", pa.int32()), ("distance", pa.int32()), ("title_a", pa.string()), ("title_b", pa.string())])
 
+    def table(sides: list[dict[str, pa.Array]], i: np.ndarray, j: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = [pa.array(i), pa.array(j)]
+        for column in apart:
+            values = [s[column].take(k) for s, k in zip(sides, at, strict=True)]
+            differ = pc.or_(pc.equal(values[0], ""), pc.not_equal(*values)).to_numpy(zero_copy_only=False)
+            at, d = [k.filter(pa.array(differ)) for k in at], d[differ]
+        open_ = pa.array(d < 0)
+        titles = [s["title"].take(k) for s, k in zip(sides, at, strict=True)]
+        longest = pc.max_element_wise(*(pc.utf8_length(t) for t in titles))
+        ids = [s["id"].take(k) for s, k in zip(sides, at, strict=True)]
+        yield from pa.Table.from_arrays([*ids, longest, pa.array(d.astype("int32")), *(pc.if_else(open_, t, None) for t in titles)], schema=schema).to_batches(65536)
+
+    def listed(pool: list[tuple[list[dict[str, pa.Array]], bool]]) -> Iterator[pa.RecordBatch]:
+        sides = [{c: pa.concat_arrays([p[0][k][c] for p in pool]) for c in ("id", "title", *apart)} for k in (0, 1)]
+        i, j, x, y = [], [], 0, 0
+        for (left, right), same in pool:
+            n, m = len(left["id"]), len(right["id"])
+            a, b = np.triu_indices(n, 1) if same else np.divmod(np.arange(n * m), m)
+            i.append(a + x)
+            j.append(b + y)
+            x, y = x + n, y + m
+        yield from table(sides, *listed_pairs(*(s["title"].to_pylist() for s in sides), np.concatenate(i), np.concatenate(j), least))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pool, pairs = [], 0
             for row in range(batch.num_rows):
-                ids, titles = ([batch.column(f"{side}_{c}")[row].values for side in "xy"] for c in ("id", "title"))
-                xs, ys = (t.to_pylist() for t in titles)
-                for i, j, d in close_pairs(xs, ys, least, batch.column("same")[row].as_py()):
-                    a, b = ids[0].take(pa.array(i)), ids[1].take(pa.array(j))
-                    open_ = pa.array(d < 0)
-                    title = [pa.compute.if_else(open_, t.take(pa.array(k)), None) for t, k in zip(titles, (i, j), strict=True)]
-                    longest = pa.compute.max_element_wise(*(pa.compute.utf8_length(t.take(pa.array(k))) for t, k in zip(titles, (i, j), strict=True)))
-                    yield from pa.Table.from_arrays([a, b, longest, pa.array(d.astype("int32")), *title], schema=schema).to_batches(65536)
-
-    found = block_pairs(rows.where(F.col(part).isNotNull()), [part], F.col("id"), BLOCK, ["id", "title"]).mapInArrow(work, "a string, b string, longest int, distance int, title_a string, title_b string")
+                sides = [{c: batch.column(f"{side}_{c}")[row].values for c in ("id", "title", *apart)} for side in "xy"]
+                same, size = batch.column("same")[row].as_py(), len(sides[0]["id"]) * len(sides[1]["id"])
+                if size <= SMALL:
+                    pool.append((sides, same))
+                    pairs += size
+                    if pairs > STEP:
+                        yield from listed(pool)
+                        pool, pairs = [], 0
+                    continue
+                x, y = (s["title"].dictionary_encode() for s in sides)
+                of = [t.indices.to_numpy() for t in (x, y)]
+                for found in close_pairs(x.dictionary.to_pylist(), y.dictionary.to_pylist(), least, same):
+                    for some in members(*found, *of, False):
+                        yield from table(sides, *some)
+                if same:
+                    none = np.zeros(0, np.int64)
+                    for some in members(none, none, none, *of, True):
+                        yield from table(sides, *some)
+            if pool:
+                yield from listed(pool)
+
+    # equal titles stand in one block; lists hold no nulls, so that what is missing is empty
+    known = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c) for c in apart)
+    met = block_pairs(rows.where(F.col(part).isNotNull()).select("id", "title", F.col(part).alias("part"), *known), ["part"], F.col("title"), BLOCK, ["id", "title", *apart])
+    found = met.mapInArrow(work, "a string, b string, longest int, distance int, title_a string, title_b string")
     score = F.when(F.col("distance") < 0, similarity("title_a", "title_b", least)).when(F.col("longest") == 0, 1.0).otherwise(1 - F.col("distance") / F.col("longest"))
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), score.alias("score")).where(F.col("score") >= least)
 
@@ -57,19 +123,19 @@ def alike(rows: DataFrame, part: str, least: float) -> DataFrame:
 def duplicate_pairs(rows: DataFrame) -> DataFrame:
     """(a, b, kind, score), a < b: equal DOIs; else titles of one year 0.95 alike (exact) or 0.7 alike (fuzzy); else of one first author 0.8 alike (fuzzy).
 
-    No pair outside a DOI, year or author is compared. The titles of a year meet in blocks, where shared bigrams rule most pairs out;
-    titles of one author whose lengths are too far apart for the threshold never reach the distance.
+    No pair outside a DOI, year or author is compared. A pair comes from the first of these alone, so that pairs are shuffled only
+    where an id has several rows of keys.
     """
-    r = prepared(rows)
-    x, y = r.select(*(F.col(c).alias(f"{c}_x") for c in r.columns)), r.select(*(F.col(c).alias(f"{c}_y") for c in r.columns))
-    ordered = F.col("id_x") < F.col("id_y")
-    by_doi = x.join(y, (F.col("doi_x") == F.col("doi_y")) & ordered).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
-    long = x.where("not short_x"), y.where("not short_y")
-    close = lambda share: F.abs(F.length("title_x") - F.length("title_y")) <= (1 - share) * F.greatest(F.length("title_x"), F.length("title_y"))
-    by_year = alike(r.where("not short"), "year", 0.7).select("a", "b", F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
-    by_author = spread(long[0], "author_x").join(spread(long[1], "author_y"), (F.col("author_x") == F.col("author_y")) & (F.col("author_x") != "") & ordered & close(0.8)).withColumn("score", similarity("title_x", "title_y", 0.8)).where("score >= 0.8").select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(4).alias("tier"), "score")
-    best = by_doi.union(by_year).union(by_author).groupBy("a", "b").agg(F.min(F.struct("tier", "score")).alias("m"))
-    return best.select("a", "b", F.when(F.col("m.tier") <= 2, "exact").otherwise("fuzzy").alias("kind"), F.round("m.score", 6).alias("score"))
+    r = cut(prepared(rows))
+    x, y = r.select(*(F.col(c).alias(f"{c}_x") for c in ("id", "doi"))), r.select(*(F.col(c).alias(f"{c}_y") for c in ("id", "doi")))
+    by_doi = x.join(y, (F.col("doi_x") == F.col("doi_y")) & (F.col("id_x") < F.col("id_y"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
+    long = r.where("not short")
+    by_year = alike(long, "year", 0.7, ["doi"]).select("a", "b", F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
+    by_author = alike(long.where("author <> ''"), "author", 0.8, ["doi", "year"]).select("a", "b", F.lit(4).alias("tier"), "score")
+    best = by_doi.union(by_year).union(by_author)
+    if not is_empty(r.where("several")):
+        best = best.groupBy("a", "b").agg(F.min(F.struct("tier", "score")).alias("m")).select("a", "b", "m.*")
+    return best.select("a", "b", F.when(F.col("tier") <= 2, "exact").otherwise("fuzzy").alias("kind"), F.round("score", 6).alias("score"))
 
 
 def open_pairs(pairs: DataFrame) -> DataFrame:

@@ -122,6 +122,70 @@ def test_titles_of_a_year_meet_over_all_blocks(spark, monkeypatch):
     assert found == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and len(a[1]) == len(b[1])}
 
 
+def test_duplicates_of_repeated_titles_equal_brute_force(spark, monkeypatch):
+    import random
+
+    from citeloom.operators import dedup
+
+    rng = random.Random(5)
+    words = "sleep therapy hygiene runoff carbon review".split()
+    titles = [" ".join(rng.choice(words) for _ in range(5)) for _ in range(12)]
+    rows = [(f"k{n:03}", rng.choice([None, None, "10.1/a", "10.1/b"]), rng.choice(titles) + rng.choice(["", " x", " two"]), rng.choice([2001, 2001, 2002, None]), [rng.choice(["Ann Lee", "Bo Ray", "Cy Orr"])]) for n in range(90)]
+    rows += [("k001", "10.1/c", "another title of the record", 2002, ["Ann Lee"])]  # two rows of one id
+    rows += rows[5:9]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0]:
+                s = 1 - distance(x[2], y[2]) / max(len(x[2]), len(y[2]))
+                tier = 1 if x[1] and x[1] == y[1] else (2 if s >= 0.95 else 3) if x[3] and x[3] == y[3] and s >= 0.7 else 4 if x[4] == y[4] and s >= 0.8 else None
+                if tier:
+                    want[x[0], y[0]] = min(want.get((x[0], y[0]), (9, 0)), (tier, round(1.0 if tier == 1 else s, 6)))
+    want = sorted((a, b, "exact" if t <= 2 else "fuzzy", s) for (a, b), (t, s) in want.items())
+    df = spark.createDataFrame(rows, "id string, doi string, title string, publication_year int, authors array<string>")
+    for block, small in ((2048, 16384), (8, 0), (8, 20)):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        monkeypatch.setattr(dedup, "SMALL", small)
+        monkeypatch.setattr(dedup, "STEP", 50)
+        assert sorted(tuple(r) for r in dedup.duplicate_pairs(df).collect()) == want
+
+
+def test_pairs_of_duplicates_are_not_shuffled(spark):
+    from citeloom.operators.dedup import duplicate_pairs
+
+    df = spark.createDataFrame([(f"k{n}", None, f"a title of some length {n}", 2001, ["Ann Lee"]) for n in range(30)], "id string, doi string, title string, publication_year int, authors array<string>")
+    plan = duplicate_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan.split("Union")[0] and "Aggregate" not in plan.split("Union")[0]
+    one = {("k1", "k2", "fuzzy")}
+    far = spark.createDataFrame([("k1", None, "shift rotation and runoff", 2001, ["Lee"]), ("k2", None, "shift rotation and runofs", 2002, ["Lee"]), ("k3", None, "shift rotation and runofs", 2003, ["Ray"])], df.schema)
+    assert {(r["a"], r["b"], r["kind"]) for r in duplicate_pairs(far).collect()} == one
+
+
+def test_listed_distances_equal_those_of_blocks():
+    import random
+
+    import numpy as np
+
+    from citeloom.functions import distance
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (0, 5, 30, 62, 90, 130)]
+    texts = [b[: rng.randrange(len(b) + 1)] + rng.choice(["", "xy", b]) for b in base for _ in range(9)] + base
+    i, j = np.triu_indices(len(texts), 1)
+    for least in (0.7, 0.8):
+        want = {(a, b): d for part in distance.close_pairs(texts, texts, least, True) for a, b, d in zip(*part, strict=True)}
+        assert {(a, b): d for a, b, d in zip(*distance.listed_pairs(texts, texts, i, j, least), strict=True)} == want
+
+
 def test_chunks():
     text = "# Methods\n" + "One two three four. " * 200 + "\n# References\nx\n# Results\nShort end."
     c = segments.chunks(text)
