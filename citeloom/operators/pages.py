@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from citeloom.functions.identifiers import as_column
-from citeloom.operators.graph import blocks_of_pairs
 from citeloom.operators.sets import similar_sets
-from citeloom.session import cut
+from citeloom.session import cut, widened
 
 #: Columns of two lines may be so many characters apart and still be one; lines of a table without bars.
 TOLERANCE, LEAST_LINES = 2, 2
+#: Pages decided in a round; of one matrix; in order one by one; pages from which on a stem counts as common.
+HEAD, ROWS, TRIED, COMMON = 4096, 512, 16, 32
 SEPARATOR = re.compile(r"\s{2,}")
 PAGE_MARK = r"<!-- PAGE:([^>]*?) -->"
 # Headings that end an abstract, and those that begin a list of references.
@@ -66,21 +70,121 @@ def page_duplicates(pages: DataFrame, least: float = 0.5, shared: int = 2) -> Da
     return by_slug.unionByName(by_stems).unionByName(by_source).distinct()
 
 
-def first_in_order(pairs: pd.DataFrame) -> pd.DataFrame:
-    """(place, canonical) of one block: in order each page that is left takes in the later ones that are its duplicates."""
-    taken: dict[int, int] = {}
-    for a, b in pairs.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
-        if a not in taken and b not in taken:
-            taken[b] = a
-    return pd.DataFrame(list(taken.items()), columns=["place", "canonical"])
-
-
-def consolidated(pages: DataFrame) -> DataFrame:
-    """(place, canonical): which page each duplicate is merged into: the earliest one that is none itself, replayed in each block that pairs connect."""
-    pairs = cut(page_duplicates(pages))
-    blocks = blocks_of_pairs(pairs).withColumnRenamed("node", "a")
-    kind = dict(pairs.dtypes)["a"]
-    return pairs.join(blocks, "a").groupBy("block").applyInPandas(lambda df: first_in_order(df), f"place {kind}, canonical {kind}")
+class Kept:
+    """Pages (slug, stems, sources) that stand, in order, indexed to tell the first of which others are duplicates: equal slugs, stems alike, or shared sources."""
+
+    def __init__(self, pages: list[tuple], least: float, shared: int):
+        self.least, self.shared, self.n = least, shared, len(pages)
+        self.slug: dict[str, int] = {}
+        for k, (slug, _, _) in enumerate(pages):
+            if slug is not None:
+                self.slug.setdefault(slug, k)
+        self.size = np.array([len(stems) for _, stems, _ in pages], np.float32)
+        self.stems, self.sources = (postings([page[c] for page in pages]) for c in (1, 2))
+        common = [w for w, at in self.stems.items() if len(at) > COMMON]
+        self.common = {w: k for k, w in enumerate(common)}
+        self.matrix = np.zeros((len(common), self.n), np.float32)
+        for k, w in enumerate(common):
+            self.matrix[k, self.stems.pop(w)] = 1
+
+    def first(self, pages: list[tuple]) -> np.ndarray:
+        """Of each page the number of the first one kept that it is a duplicate of; the number of all where there is none."""
+        out = np.full(len(pages), self.n)
+        if not self.n or not pages:
+            return out
+        for lo in range(0, len(pages), ROWS):
+            some = pages[lo : lo + ROWS]
+            shared = self.common_items([p[1] for p in some])
+            size = np.array([len(p[1]) for p in some], np.float32)
+            alike = shared >= np.maximum(np.float32(self.least / (1 + self.least)) * (size[:, None] + self.size[None]) - np.float32(1e-3), 0.5)
+            for row, (slug, _, sources) in enumerate(some):
+                if sum(w in self.sources for w in sources) >= self.shared:
+                    alike[row] |= np.bincount(np.concatenate([self.sources[w] for w in sources if w in self.sources]), minlength=self.n) >= self.shared
+                if slug in self.slug:
+                    alike[row, self.slug[slug]] = True
+            out[lo : lo + ROWS] = np.where(alike.any(1), alike.argmax(1), self.n)
+        return out
+
+    def common_items(self, sets: list[list[str]]) -> np.ndarray:
+        """(page, kept page): how many stems both have: common ones by a matrix product, others by lists."""
+        has = np.zeros((len(sets), len(self.common)), np.float32)
+        rows, at = [], []
+        for row, stems in enumerate(sets):
+            for w in stems:
+                if (k := self.common.get(w)) is not None:
+                    has[row, k] = 1
+                elif (found := self.stems.get(w)) is not None:
+                    rows.append(row)
+                    at.append(found)
+        out = has @ self.matrix
+        if at:
+            np.add.at(out.ravel(), np.repeat(rows, [len(x) for x in at]) * self.n + np.concatenate(at), 1)
+        return out
+
+
+def postings(sets: list[list[str]]) -> dict[str, np.ndarray]:
+    """Of each item the sets that have it."""
+    out: dict[str, list[int]] = {}
+    for k, items in enumerate(sets):
+        for w in items:
+            out.setdefault(w, []).append(k)
+    return {w: np.array(at) for w, at in out.items()}
+
+
+def first_in_order(pages: list[tuple], least: float, shared: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """(kept, taken): which of pages(slug, stems, sources) in order stand, and which are duplicates of which of these: each page that is left takes in the later ones that are its duplicates."""
+    kept: list[int] = []
+    taken: list[tuple[int, int]] = []
+    for lo in range(0, len(pages), ROWS):
+        some = pages[lo : lo + ROWS]
+        before = Kept([pages[k] for k in kept], least, shared).first(some)
+        taken += [(lo + row, kept[k]) for row, k in enumerate(before) if k < len(kept)]
+        left = [lo + row for row, k in enumerate(before) if k == len(kept)]
+        while left:  # the first one that is left stands; a few more are tried at a time
+            tried: list[int] = []
+            for at in left[:TRIED]:
+                k = int(Kept([pages[x] for x in tried], least, shared).first([pages[at]])[0])
+                if k < len(tried):
+                    taken.append((at, tried[k]))
+                else:
+                    tried.append(at)
+            kept += tried
+            rest = left[TRIED:]
+            found = Kept([pages[x] for x in tried], least, shared).first([pages[x] for x in rest])
+            taken += [(at, tried[k]) for at, k in zip(rest, found, strict=True) if k < len(tried)]
+            left = [at for at, k in zip(rest, found, strict=True) if k == len(tried)]
+    return kept, taken
+
+
+def consolidated(pages: DataFrame, least: float = 0.5, shared: int = 2) -> DataFrame:
+    """(place, canonical) of pages(place, slug, kind, stems, sources), one a place: which page each duplicate, as in page_duplicates, is merged into: the earliest one that is none itself.
+
+    In rounds the first HEAD pages that are left are decided in order, and those of them that stand take their duplicates from all
+    later pages. No pair of pages is kept; the driver holds HEAD pages at a time.
+    """
+    of_kind = lambda c: F.concat("kind", F.lit("\x01"), c)
+    items = lambda c: F.coalesce(F.transform(F.filter(F.array_distinct(c), lambda x: x.isNotNull()), of_kind), F.array().cast("array<string>"))
+    left = cut(pages.where("kind <> 'author' and place is not null").select("place", of_kind(F.lower("slug")).alias("slug"), items("stems").alias("stems"), items("sources").alias("sources")))
+    kind = dict(left.dtypes)["place"]
+    spark, found = pages.sparkSession, []
+    while head := left.orderBy("place").limit(HEAD).collect():
+        stand, taken = first_in_order([tuple(r)[1:] for r in head], least, shared)
+        found.append(spark.createDataFrame([(head[b][0], head[a][0]) for b, a in taken], f"place {kind}, canonical {kind}"))
+        if len(head) < HEAD:
+            break
+        index, places = Kept([tuple(head[k])[1:] for k in stand], least, shared), [head[k][0] for k in stand]
+
+        def work(batches: Iterator[pa.RecordBatch], index: Kept = index, places: list = places) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                first = index.first(list(zip(*(batch.column(c).to_pylist() for c in ("slug", "stems", "sources")), strict=True)))
+                column = pa.array([places[k] if k < len(places) else None for k in first.tolist()], batch.schema.field("place").type)
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "canonical"])
+
+        rest = widened(left.where(F.col("place") > F.lit(head[-1][0])))
+        matched = cut(rest.mapInArrow(work, f"place {kind}, slug string, stems array<string>, sources array<string>, canonical {kind}"))
+        found.append(matched.where("canonical is not null").select("place", "canonical"))
+        left = matched.where("canonical is null").drop("canonical")
+    return reduce(DataFrame.unionByName, found) if found else left.select("place", F.col("place").alias("canonical"))
 
 
 def last_by_slug(pages: DataFrame) -> DataFrame:

@@ -269,6 +269,27 @@ def test_pages(spark):
     assert q.select(pages.grounded(F.col("q"), F.col("s")).alias("g")).first()["g"] == ["a one", "B  two"]
 
 
+def test_pages_are_consolidated_in_rounds(spark, monkeypatch):
+    import random
+
+    from citeloom.operators import pages
+
+    rng = random.Random(6)
+    data = [(f"p{n:03}", rng.choice([None, f"s{rng.randrange(40)}", f"S{n}"]), rng.choice(["concept", "method"]), rng.sample([f"w{k}" for k in range(14)], rng.randrange(5)), rng.sample(["a", "b", "c", "d", "e", "f", "g", None], 2)) for n in range(150)]
+    df = spark.createDataFrame(data, "place string, slug string, kind string, stems array<string>, sources array<string>")
+    want = {}
+    for a, b in sorted((r["a"], r["b"]) for r in pages.page_duplicates(df).collect()):
+        if a not in want and b not in want:
+            want[b] = a
+    assert len(set(want.values())) > 10
+    for head, rows_, common in ((4096, 512, 32), (40, 16, 2), (7, 4, 1)):
+        for name, value in (("HEAD", head), ("ROWS", rows_), ("COMMON", common), ("TRIED", 3)):
+            monkeypatch.setattr(pages, name, value)
+        assert rows(pages.consolidated(df)) == set(want.items())
+    monkeypatch.setattr(pages, "page_duplicates", None)  # pairs of pages are never made
+    assert rows(pages.consolidated(df)) == set(want.items())
+
+
 def test_communities_of_two_cliques(spark):
     from citeloom.operators.graph import blocks_of_pairs, communities
 
