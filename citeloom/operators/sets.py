@@ -14,7 +14,7 @@ from citeloom.operators.blocks import block_pairs
 from citeloom.session import cut
 
 #: Items of so many sets are heavy, but no more than MOST items, of the most sets; rows and number of blocks; sets of one group; groups of one matrix; pairs of one batch.
-HEAVY, MOST, BLOCK, BLOCKS, GROUP, SLAB, STEP = 256, 16384, 8192, 12, 1024, 1024, 262144
+HEAVY, MOST, BLOCK, BLOCKS, GROUP, SLAB, STEP = 256, 16384, 8192, 7, 1024, 1024, 262144
 SLACK = 1e-9
 
 

@@ -113,6 +113,14 @@ def test_sets_of_common_items_equal_brute_force(spark, monkeypatch):
         assert sorted(tuple(r) for r in sets.similar_sets(df, "id", "s", least, heavy=20).collect()) == want
 
 
+def test_sets_are_sent_eight_times_at_most(spark):
+    from citeloom.operators import blocks, sets
+
+    met = blocks.block_pairs(spark.range(400).withColumn("part", F.lit(0)), ["part"], F.col("id"), 4, ["id"], sets.BLOCKS)
+    sent = met.agg(F.sum(F.size("x_id") + F.when(F.col("same"), F.size("x_id")).otherwise(F.size("y_id")))).first()[0]
+    assert sent <= 8 * 400
+
+
 def test_titles_of_a_year_meet_over_all_blocks(spark, monkeypatch):
     from citeloom.operators import dedup
 
