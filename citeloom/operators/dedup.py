@@ -20,6 +20,8 @@ from citeloom.session import cut, is_empty
 
 #: Titles of one block; pairs of titles up to which a pair of blocks is compared along with others; pairs of one step.
 BLOCK, SMALL, STEP = 2048, 16384, 262144
+#: The likeness from which titles of one year are an exact duplicate.
+EXACT = 0.95
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -120,17 +122,22 @@ def alike(rows: DataFrame, part: str, least: float, apart: Sequence[str] = ()) -
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), score.alias("score")).where(F.col("score") >= least)
 
 
+def doi_pairs(keys: DataFrame) -> DataFrame:
+    """(a, b), a < b: the prepared records of one DOI."""
+    x, y = (keys.select(*(F.col(c).alias(f"{c}_{side}") for c in ("id", "doi"))) for side in "xy")
+    return x.join(y, (F.col("doi_x") == F.col("doi_y")) & (F.col("id_x") < F.col("id_y"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+
+
 def duplicate_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, kind, score), a < b: equal DOIs; else titles of one year 0.95 alike (exact) or 0.7 alike (fuzzy); else of one first author 0.8 alike (fuzzy).
+    """(a, b, kind, score), a < b: equal DOIs; else titles of one year EXACT alike (exact) or 0.7 alike (fuzzy); else of one first author 0.8 alike (fuzzy).
 
     No pair outside a DOI, year or author is compared. A pair comes from the first of these alone, so that pairs are shuffled only
     where an id has several rows of keys.
     """
     r = cut(prepared(rows))
-    x, y = r.select(*(F.col(c).alias(f"{c}_x") for c in ("id", "doi"))), r.select(*(F.col(c).alias(f"{c}_y") for c in ("id", "doi")))
-    by_doi = x.join(y, (F.col("doi_x") == F.col("doi_y")) & (F.col("id_x") < F.col("id_y"))).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
+    by_doi = doi_pairs(r).select("a", "b", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
     long = r.where("not short")
-    by_year = alike(long, "year", 0.7, ["doi"]).select("a", "b", F.when(F.col("score") >= 0.95, 2).otherwise(3).alias("tier"), "score")
+    by_year = alike(long, "year", 0.7, ["doi"]).select("a", "b", F.when(F.col("score") >= EXACT, 2).otherwise(3).alias("tier"), "score")
     by_author = alike(long.where("author <> ''"), "author", 0.8, ["doi", "year"]).select("a", "b", F.lit(4).alias("tier"), "score")
     best = by_doi.union(by_year).union(by_author)
     if not is_empty(r.where("several")):
@@ -138,6 +145,13 @@ def duplicate_pairs(rows: DataFrame) -> DataFrame:
     return best.select("a", "b", F.when(F.col("tier") <= 2, "exact").otherwise("fuzzy").alias("kind"), F.round("score", 6).alias("score"))
 
 
+def exact_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) of the exact ones among duplicate_pairs: titles need no comparison below EXACT, nor within an author."""
+    r = cut(prepared(rows))
+    pairs = doi_pairs(r).union(alike(r.where("not short"), "year", EXACT, ["doi"]).select("a", "b"))
+    return pairs if is_empty(r.where("several")) else pairs.distinct()
+
+
 def open_pairs(pairs: DataFrame) -> DataFrame:
     """Of pairs(a, b, kind, score) those that the greedy pass may look at, solid where b cannot leave: a record's partners up to the first solid one, which it takes at the latest."""
     leaving = pairs.where("kind = 'exact'").select("b").distinct().withColumn("_leaves", F.lit(True))

@@ -9,7 +9,7 @@ from citeloom.functions import fields
 from citeloom.functions.identifiers import normalize_doi
 from citeloom.functions.text import SIGNIFICANT_STOP_WORDS, author_display, author_key, normalize_journal, significant_words, slug
 from citeloom.operators import library
-from citeloom.operators.dedup import duplicate_pairs
+from citeloom.operators.dedup import duplicate_pairs, exact_pairs
 from citeloom.operators.views import article_tags, articles, assessments, criteria, journal_index, links, made_issn
 from citeloom.plans.facets import ArticleFilter
 from citeloom.plans.matching import dedup_greedy
@@ -297,7 +297,7 @@ def duplicates_merged(spark: SparkSession, folder: str) -> DataFrame:
     filled = sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("abstract_text", "authors", "publication_year", "doi", "journal", "language", "num_cited")), F.lit(0))
     f = a.groupBy("id").agg(F.max(filled).alias("n"), F.bool_or(F.col("duplicate_of").isNotNull()).alias("gone"))
     f = f.where("not gone").select("id", "n")
-    pairs = duplicate_pairs(a).where("kind = 'exact'").join(f.toDF("a", "na"), "a").join(f.toDF("b", "nb"), "b")
+    pairs = exact_pairs(a.join(f, "id", "left_semi")).join(f.toDF("a", "na"), "a").join(f.toDF("b", "nb"), "b")
     return pairs.select(F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("survivor"), F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("duplicate"))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from citeloom.operators import graph, segments
 from citeloom.operators.dedup import duplicate_pairs, greedy_groups
 from citeloom.plans.facets import ArticleFilter, parse_toolbar
+from tests.oracle import DATA
 
 
 def edges(spark, pairs):
@@ -167,6 +168,21 @@ def test_duplicates_of_repeated_titles_equal_brute_force(spark, monkeypatch):
         assert sorted(tuple(r) for r in dedup.duplicate_pairs(df).collect()) == want
 
 
+def test_exact_pairs_need_no_comparison_of_near_titles(spark, monkeypatch):
+    from citeloom.operators import dedup
+    from citeloom.plans.library import duplicates_merged
+
+    title = "shift rotation and runoff in the north of a country"
+    rows = [("k1", "10.1/a", title, 2001, ["Lee"]), ("k2", "10.1/a", "other", 2002, ["Ray"]), ("k3", None, title + "s", 2001, ["Lee"]), ("k4", None, title + " of all", 2001, ["Lee"]), ("k5", None, title, 2002, ["Lee"]), ("k3", "10.1/a", title, 2003, ["Orr"])]
+    df = spark.createDataFrame(rows, "id string, doi string, title string, publication_year int, authors array<string>")
+    exact = sorted((r["a"], r["b"]) for r in dedup.duplicate_pairs(df).where("kind = 'exact'").collect())
+    assert exact == [("k1", "k2"), ("k1", "k3"), ("k2", "k3")] == sorted(map(tuple, dedup.exact_pairs(df).collect()))
+    asked, alike = [], dedup.alike
+    monkeypatch.setattr(dedup, "alike", lambda rows, part, least, *a: asked.append((part, least)) or alike(rows, part, least, *a))
+    duplicates_merged(spark, DATA)
+    assert asked == [("year", 0.95)]
+
+
 def test_pairs_of_duplicates_are_not_shuffled(spark):
     from citeloom.operators.dedup import duplicate_pairs
 
