@@ -183,12 +183,20 @@ def organisations(parsed: DataFrame) -> DataFrame:
     return keys.join(named, "written").join(groups, "name", "left").select("raw", F.coalesce("group", "name").alias("core"), F.lit("#").alias("initial"), empty.alias("given"), empty.alias("second"))
 
 
-def near(a: Column, b: Column) -> Column:
-    """Whether two tokens are at most one typing error apart."""
-    one = F.levenshtein(a, b, 1) >= 0
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    swapped = (F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & (letters(a) == letters(b))
-    return one | swapped
+def halves(a: Column, b: Column) -> Column:
+    """Whether two tokens begin or end alike, as they do where one letter is wrong, missing or added: what is before or behind it is half of a token, but for one letter."""
+    h = F.greatest(F.floor(F.least(F.length(a), F.length(b)) / 2).cast("int") - 1, F.lit(0))
+    return (F.substring(a, F.lit(1), h) == F.substring(b, F.lit(1), h)) | (F.substring(a, -h, h) == F.substring(b, -h, h))
+
+
+def letters(c: Column) -> Column:
+    return F.array_sort(F.split(c, ""))
+
+
+def near(a: Column, b: Column, la: Column, lb: Column) -> Column:
+    """Whether two tokens are at most one typing error apart; la and lb, a number for the letters of each, and halves are cheaper looks, by which most candidates go."""
+    one = halves(a, b) & (F.levenshtein(a, b, 1) >= 0)
+    return one | ((la == lb) & (F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & (letters(a) == letters(b)))
 
 
 def grams(cores: DataFrame) -> DataFrame:
@@ -203,16 +211,17 @@ def grams(cores: DataFrame) -> DataFrame:
 def near_tokens(tokens: DataFrame) -> DataFrame:
     """(a, b) of different tokens(core) one error apart, both ways: two such share a gram of their prefixes, at most one place apart; tokens under LEAST_TYPO letters share a deletion."""
     every = cut(tokens.select("core").where(F.length("core") >= LEAST_NEAR).distinct())
-    prefix = cut(grams(every.where(F.length("core") >= LEAST_TYPO)))
-    a = prefix.select(F.col("core").alias("a"), "gram", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
-    long = a.join(prefix.withColumnRenamed("core", "b"), ["gram", "pos"]).select("a", "b")
+    number = F.xxhash64(letters(F.col("core"))).alias("l")
+    prefix = cut(grams(every.where(F.length("core") >= LEAST_TYPO)).select("core", "gram", "pos", number))
+    a = prefix.select(F.col("core").alias("a"), F.col("l").alias("la"), "gram", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos"))
+    long = a.join(prefix.withColumnsRenamed({"core": "b", "l": "lb"}), ["gram", "pos"]).select("a", "b", "la", "lb")
     # short ones one error apart are equal once a letter is left out of one or both
     without = F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, F.length("core"))))
-    less = every.where(F.length("core") <= LEAST_TYPO).select("core", F.explode(F.array_distinct(F.array_append(without, F.col("core")))).alias("less"))
-    brief = less.withColumnRenamed("core", "a").join(less.withColumnRenamed("core", "b"), "less").where(F.least(F.length("a"), F.length("b")) < LEAST_TYPO).select("a", "b")
-    # each pair is compared once
-    one_way = long.union(brief).where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)).distinct().where(near(F.col("a"), F.col("b")))
-    return one_way.select("a", "b").withColumn("x", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("x.a", "x.b")
+    less = every.where(F.length("core") <= LEAST_TYPO).select("core", number, F.explode(F.array_distinct(F.array_append(without, F.col("core")))).alias("less"))
+    brief = less.withColumnsRenamed({"core": "a", "l": "la"}).join(less.withColumnsRenamed({"core": "b", "l": "lb"}), "less").where(F.least(F.length("a"), F.length("b")) < LEAST_TYPO).select("a", "b", "la", "lb")
+    # each pair is compared one way
+    one_way = long.union(brief).where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)).where(near(F.col("a"), F.col("b"), F.col("la"), F.col("lb"))).select("a", "b").distinct()
+    return one_way.withColumn("x", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).select("x.a", "x.b")
 
 
 def near_cores(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None) -> DataFrame:

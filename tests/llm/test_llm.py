@@ -540,3 +540,17 @@ def test_padded_placeholders_have_no_language(spark):
     s = spark.read.parquet(SAMPLES)
     df = spark.createDataFrame([("a", "No abstract available" + " " * 200), ("b", "\n" * 100 + "N/A" + " " * 100), ("c", "The registry extract described sleep quality and blood pressure in rural clinics over several years.")], "id string, text string")
     assert {r["id"] for r in language.detect_languages(df, "id", "text", s).collect()} == {"c"}
+
+
+def test_most_candidates_of_an_error_go_before_their_distance(spark):
+    from citeloom.llm.names import halves, letters, near, one_error
+
+    rng = random.Random(6)
+    bases = ["".join(rng.choice("abcé") for _ in range(n)) for n in (3, 4, 5, 6, 7, 8, 9) for _ in range(6)]
+    tokens = sorted({*bases, *(v for t in bases for k in range(len(t)) for v in (t[:k] + "x" + t[k + 1 :], t[:k] + t[k + 1 :], t[:k] + "x" + t[k:], t[:k] + t[k + 1 : k + 2] + t[k : k + 1] + t[k + 2 :]))})
+    pairs = [(a, b) for a in tokens for b in [*rng.sample(tokens, 12), *bases[:3], *(t for t in tokens if one_error(a, t))] if a != b and len(a) > 2 and len(b) > 2]
+    a, b = F.col("a"), F.col("b")
+    plain = (F.levenshtein(a, b, 1) >= 0) | ((F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & (letters(a) == letters(b)))
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", halves(a, b).alias("halves"), near(a, b, F.xxhash64(letters(a)), F.xxhash64(letters(b))).alias("near"), plain.alias("plain")).collect()
+    assert all(r["near"] == r["plain"] and (r["near"] or not one_error(r["a"], r["b"])) for r in found)
+    assert sum(r["near"] for r in found) > 100 and sum(not r["halves"] for r in found) > 100
