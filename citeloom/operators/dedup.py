@@ -16,7 +16,7 @@ from citeloom.functions.identifiers import normalize_doi
 from citeloom.functions.text import last_name, normalize_title, short_title
 from citeloom.operators.blocks import block_pairs
 from citeloom.operators.graph import blocks_of_pairs
-from citeloom.session import cut, is_empty
+from citeloom.session import cut, is_empty, spread
 
 #: Titles of one block; pairs of titles up to which a pair of blocks is compared along with others; pairs of one step.
 BLOCK, SMALL, STEP = 2048, 16384, 262144
@@ -161,27 +161,36 @@ def open_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def kept_pairs(pairs: DataFrame) -> DataFrame:
-    """The pairs(a, b, kind, score), a < b, that a pass in id order keeps, replayed in each block of records that pairs with a partner that may leave connect; other records take their first partner."""
+    """The pairs(a, b, kind, score), a < b, that a pass in id order keeps, replayed among the records that pairs with a partner that may leave connect; other records take their first partner.
+
+    No record stands in two such blocks, so that one pass over all blocks of a partition keeps what a pass over each would.
+    """
     p = cut(open_pairs(cut(pairs)))
     blocks = blocks_of_pairs(p.where("not solid")).withColumnRenamed("node", "a")
     columns = ["a", "b", "kind", "score"]
-    replayed = p.join(blocks, "a").groupBy("block").applyInPandas(lambda df: greedy_groups(df), "a string, b string, kind string, score double")
-    return replayed.unionByName(p.join(blocks, "a", "left_anti").select(*columns))
+    open_ = spread(p.join(blocks, "a").select("block", *columns), "block").sortWithinPartitions("a", "b").select(*columns)
+    return open_.mapInPandas(greedy_pass, "a string, b string, kind string, score double").unionByName(p.join(blocks, "a", "left_anti").select(*columns))
 
 
-def greedy_groups(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of one block that a pass in id order keeps: each record takes its first partner that is left; an exact partner leaves."""
+def greedy_pass(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs, in the order of a and b, that a pass keeps: each record takes its first partner that is left; an exact partner leaves."""
     gone: set[str] = set()
-    rows = []
     done = None
-    for a, b, kind, score in pairs[["a", "b", "kind", "score"]].sort_values(["a", "b"]).itertuples(index=False, name=None):
-        if a == done or a in gone or b in gone:
-            continue
-        rows.append((a, b, kind, score))
-        done = a
-        if kind == "exact":
-            gone.add(b)
-    return pd.DataFrame(rows, columns=["a", "b", "kind", "score"])
+    for pairs in parts:
+        kept = []
+        for row, (a, b, kind) in enumerate(zip(pairs["a"], pairs["b"], pairs["kind"], strict=True)):
+            if a == done or a in gone or b in gone:
+                continue
+            kept.append(row)
+            done = a
+            if kind == "exact":
+                gone.add(b)
+        yield pairs.iloc[kept]
+
+
+def greedy_groups(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The pairs that a pass over all of these keeps, in any order."""
+    return next(greedy_pass(iter([pairs[["a", "b", "kind", "score"]].sort_values(["a", "b"])]))).reset_index(drop=True)
 
 
 def tiered_match(papers: DataFrame, articles: DataFrame) -> DataFrame:

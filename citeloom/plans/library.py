@@ -279,10 +279,10 @@ def sequence_numbers(spark: SparkSession, folder: str) -> DataFrame:
 def imports_classified(spark: SparkSession, folder: str) -> DataFrame:
     """What becomes of newly imported articles: exact duplicates of another leave for it, near ones wait for a review, the rest is worked on."""
     new = table(spark, folder, "articles").where("import_source = 'ris_import'").select("id").distinct()
-    pairs = dedup_greedy(spark, folder)
-    sides = pairs.join(new.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("b").alias("id"), F.col("a").alias("other"), "kind")
-    rest = pairs.join(new.withColumnRenamed("id", "b"), "b", "left_anti").join(new.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("a").alias("id"), F.col("b").alias("other"), "kind")
-    found = sides.unionByName(rest).groupBy("id").agg(F.min(F.struct("kind", "other")).alias("m"))
+    # each pair counts for its second record where that is new, else for its first; the pairs are read once, those of no new record meet none
+    pairs = dedup_greedy(spark, folder).join(new.select(F.col("id").alias("b"), F.lit(True).alias("_new")), "b", "left")
+    of = lambda x, y: F.when(F.col("_new"), F.col(x)).otherwise(F.col(y))
+    found = pairs.select(of("b", "a").alias("id"), of("a", "b").alias("other"), "kind").groupBy("id").agg(F.min(F.struct("kind", "other")).alias("m"))
     return new.join(found, "id", "left").select("id", F.when(F.col("m.kind") == "exact", "duplicate").when(F.col("m.kind") == "fuzzy", "review").otherwise("working").alias("status"), F.when(F.col("m.kind") == "exact", F.col("m.other")).alias("duplicate_of"))
 
 

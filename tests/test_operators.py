@@ -67,6 +67,23 @@ def test_greedy_replays_only_what_may_leave(spark):
     assert open_pairs(clique).count() == 99
 
 
+def test_imports_replay_the_pairs_once(spark):
+    from citeloom.plans.library import imports_classified
+    from citeloom.plans.matching import dedup_greedy
+
+    plan = imports_classified(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "FlatMapGroups" not in plan
+    new = {r["id"] for r in spark.read.parquet(f"{DATA}/articles.parquet").where("import_source = 'ris_import'").collect()}
+    found = {}
+    for r in dedup_greedy(spark, DATA).collect():
+        for x, y in ((r["b"], r["a"]), (r["a"], r["b"])):
+            if x in new:
+                found[x] = min(found.get(x, (r["kind"], y)), (r["kind"], y))
+                break
+    want = {(x, {"exact": "duplicate", "fuzzy": "review"}.get(found.get(x, [""])[0], "working"), found[x][1] if found.get(x, [""])[0] == "exact" else None) for x in new}
+    assert {tuple(r) for r in imports_classified(spark, DATA).collect()} == want
+
+
 def test_distances_of_many_titles():
     import random
 
