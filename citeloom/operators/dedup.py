@@ -19,7 +19,7 @@ from citeloom.operators.graph import blocks_of_pairs
 from citeloom.session import cut, is_empty, spread
 
 #: Titles of one block; pairs of titles up to which a pair of blocks is compared along with others; pairs of one step.
-BLOCK, SMALL, STEP = 2048, 16384, 262144
+BLOCK, SMALL, STEP = 4096, 16384, 262144
 #: The likeness from which titles of one year are an exact duplicate.
 EXACT = 0.95
 

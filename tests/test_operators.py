@@ -117,6 +117,27 @@ def test_distances_of_many_titles():
                 assert found.get((i, j)) == (d if d <= limit else None)
 
 
+def test_titles_that_begin_alike_are_stepped_through_once(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from citeloom.functions import distance
+
+    rng = random.Random(4)
+    begins = [" ".join(rng.choice(["sleep", "therapy", "runoff", "of", "carbon"]) for _ in range(5)) for _ in range(3)]
+    texts = list(dict.fromkeys(b + " " + "".join(rng.choice("abcdé ") for _ in range(rng.randrange(30))) for b in begins for _ in range(40)))
+    i, j = np.triu_indices(len(texts), 1)
+    for least in (0.7, 0.95):
+        want = {(int(a), int(b)): int(d) for a, b, d in zip(*distance.listed_pairs(texts, texts, i, j, least), strict=True)}
+        with monkeypatch.context() as m:
+            m.setattr(distance, "banded", None)
+            for looked in (distance.LOOK, 1):  # also one look a column
+                m.setattr(distance, "LOOK", looked)
+                assert want == {(int(a), int(b)): int(d) for part in distance.close_pairs(texts, texts, least, True) for a, b, d in zip(*part, strict=True)}
+    assert want
+
+
 def test_sets_of_common_items_equal_brute_force(spark, monkeypatch):
     import random
 
